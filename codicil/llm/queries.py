@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, imatch, mixing, url_filter
+from codicil.llm import hilbert, imatch, mixing, permutation, pieces, url_filter
+from codicil.llm import toxicity as toxicity_
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -21,6 +22,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.document_tree(), mixing.DOCUMENT_WEIGHTS, percent=150, max_epochs=4, seed=7)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_with_edits(read(spark, sf_dir, "documents"))
 
@@ -36,7 +46,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
+def piece_model() -> str:
+    """File of the public piece model; PIECE_MODEL in the environment overrides it."""
+    if "PIECE_MODEL" in os.environ:
+        return os.environ["PIECE_MODEL"]
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), piece_model())
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op9_pieces": op9_pieces, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
 
 SQL: dict[str, str] = {}
 
