@@ -9,7 +9,7 @@ from codicil.llm.common import stored
 
 #: Part of the lexicon that each randomised subset keeps: some keep most terms, some few, so that both small and large
 #: edits leave some of the hashes alike.
-KEEPS = (1.0, 0.7, 0.5, 0.25, *[1 / 8] * 2, *[1 / 16] * 2, *[1 / 32] * 3, *[1 / 64] * 4, *[1 / 128] * 5, *[1 / 256] * 6)
+KEEPS = (1.0, 0.7, 0.5, 0.25, 1 / 8, 1 / 16, *[1 / 32] * 2, *[1 / 64] * 3, *[1 / 128] * 4, *[1 / 256] * 3)
 
 
 def terms(text: Column) -> Column:
@@ -39,7 +39,7 @@ def as_table(words: DataFrame, slots: int = 1 << 14) -> Column:
     lists = words.groupBy(spot.alias("spot")).agg(F.collect_list(F.struct("term", "mask")).alias("list"))
     every = words.sparkSession.range(slots).select(F.col("id").cast("int").alias("spot")).join(lists, "spot", "left")
     none = F.expr("filter(array(named_struct('term', '', 'mask', 0)), x -> false)")
-    full = every.agg(F.array_sort(F.collect_list(F.struct("spot", F.coalesce("list", none).alias("list")))).alias("all"))
+    full = every.agg(F.sort_array(F.collect_list(F.struct("spot", F.coalesce("list", none).alias("list")))).alias("all"))
     text = full.select(F.to_json(F.transform("all", lambda x: x["list"])).alias("json")).first()["json"]
     return F.from_json(F.lit(text), "array<array<struct<term:string,mask:int>>>")
 
@@ -49,17 +49,21 @@ def add_print(df: DataFrame, text: str, table: Column, name: str, slots: int = 1
 
     A text without any term of the lexicon is hashed by its sorted distinct terms, or if it has none by itself.
     """
-    sought = F.transform(
-        F.array_sort(terms(F.col(text))),
-        lambda t: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")), lambda x: x["term"] == t), 0),
-    )
-    df = df.withColumn("held_", F.filter(sought, lambda x: x.isNotNull()))
-    bits = F.array(*[F.lit(1 << k) for k in range(len(KEEPS))])
-    kept = F.transform(bits, lambda b: F.array_join(F.transform(F.filter("held_", lambda x: x["mask"].bitwiseAND(b) != 0), lambda x: x["term"]), " "))
-    hashes = F.transform(kept, lambda s: F.when(s == "", "-").otherwise(F.substring(F.md5(s), 1, 12)))
-    plain = F.array_join(F.array_sort(terms(F.col(text))), " ")
+    find = lambda t: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")), lambda x: x["term"] == t), 0)
+    # terms sort by name first, so this is the order of the terms
+    df = df.withColumn("held_", F.sort_array(F.filter(F.transform(terms(F.col(text)), find), lambda x: x.isNotNull())))
+    # rarer subsets look only at terms that some rare subset keeps
+    df = df.withColumn("some_", F.filter("held_", lambda x: x["mask"] >= 1 << 4)).withColumn("few_", F.filter("some_", lambda x: x["mask"] >= 1 << 6))
+
+    def kept(source: str, low: int, high: int) -> Column:
+        bits = F.array(*[F.lit(1 << k) for k in range(low, high)])
+        return F.transform(bits, lambda b: F.array_join(F.transform(F.filter(source, lambda x: x["mask"].bitwiseAND(b) != 0), lambda x: x["term"]), " "))
+
+    joined = F.concat(kept("held_", 0, 4), kept("some_", 4, 6), kept("few_", 6, len(KEEPS)))
+    hashes = F.transform(joined, lambda s: F.when(s == "", "-").otherwise(F.substring(F.md5(s), 1, 12)))
+    plain = F.array_join(F.sort_array(terms(F.col(text))), " ")
     own = F.concat(F.lit("="), F.substring(F.md5(F.when(plain == "", F.col(text)).otherwise(plain)), 1, 11))
-    return df.withColumn(name, F.when(F.size("held_") > 0, hashes).otherwise(F.array_repeat(own, len(KEEPS)))).drop("held_")
+    return df.withColumn(name, F.when(F.size("held_") > 0, hashes).otherwise(F.array_repeat(own, len(KEEPS)))).drop("held_", "some_", "few_")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -78,7 +82,7 @@ def range_bucket(df: DataFrame, key: str, parts: int) -> DataFrame:
     return df.crossJoin(F.broadcast(cuts)).withColumn("bucket_", found).drop("cuts_")
 
 
-def fingerprint_with_edits(docs: DataFrame, low_idf: float = 1.0, high_idf: float = 6.9) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, low_idf: float = 1.5, high_idf: float = 6.0) -> DataFrame:
     """Fingerprint every text and its edited form, in which the last half is replaced by the start of the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document is
