@@ -33,7 +33,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     spark = df.sparkSession
     path = new_path(spark, name)
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    # once the table is written, nothing reads the shuffles behind it again
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._codicil_path = path
     return back

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, imatch, mixing, permutation, pieces, url_filter
+from codicil.llm import hilbert, imatch, mixing, permutation, pieces, rans, url_filter
 from codicil.llm import toxicity as toxicity_
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -22,6 +22,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.document_tree(), mixing.DOCUMENT_WEIGHTS, percent=150, max_epochs=4, seed=7)
 
 
+def public_file(name: str, variable: str) -> str:
+    """File of a public tokenizer; the environment variable overrides it."""
+    if variable in os.environ:
+        return os.environ[variable]
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(read(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json", "BYTE_TOKENIZER"), end_id=2)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,20 +59,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-def piece_model() -> str:
-    """File of the public piece model; PIECE_MODEL in the environment overrides it."""
-    if "PIECE_MODEL" in os.environ:
-        return os.environ["PIECE_MODEL"]
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(read(spark, sf_dir, "documents"), piece_model())
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model", "PIECE_MODEL"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op9_pieces": op9_pieces, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op9_pieces": op9_pieces, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
 
 SQL: dict[str, str] = {}
 
