@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, imatch, mixing, permutation, pieces, rans, repeats, url_filter
+from codicil.llm import hilbert, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, url_filter
 from codicil.llm import toxicity as toxicity_
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -68,7 +68,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model", "PIECE_MODEL"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_jaccard_join": op10_jaccard_join, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
 
 SQL: dict[str, str] = {}
 
