@@ -198,9 +198,9 @@ def decode(ids: np.ndarray, edges: np.ndarray, p: Pieces) -> list[str]:
     return [data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def round_trip(docs: DataFrame, path: str, more: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, more: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids, and report: doc_id, n_tokens, n_words, ids_crc32 (ids as little-endian unsigned
-    32-bit integers), n_chars and text_crc32 of the decoded text, and round_trip (it equals the text).
+    32-bit integers), n_chars and text_crc32 of the decoded text, round_trip (it equals the text), and with `with_ids` the ids.
 
     Null and empty texts have no tokens. A row with characters no piece covers is spelled in bytes there. Repeated rows
     are reported each; an empty table gives no rows; columns other than doc_id, text and `more` are ignored.
@@ -208,7 +208,7 @@ def round_trip(docs: DataFrame, path: str, more: list[str] | None = None) -> Dat
     more = [c for c in (more or []) if c in docs.columns]
     schema = docs.select("doc_id", *more).schema
     names = [f.name for f in schema.fields]
-    kinds = pa.schema([pa.field(n, pa.int64()) for n in ("n_tokens", "ids_crc32", "n_chars", "text_crc32")] + [pa.field("round_trip", pa.bool_())])
+    kinds = ["n_tokens", "ids_crc32", "n_chars", "text_crc32", "round_trip"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
@@ -228,7 +228,10 @@ def round_trip(docs: DataFrame, path: str, more: list[str] | None = None) -> Dat
                     pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back], pa.int64()),
                     pa.array([x == y for x, y in zip(back, part, strict=True)], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in whole.columns[:-1]] + columns, names=names + kinds.names)
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in whole.columns[:-1]] + columns, names=names + kinds)
 
-    out = docs.select(*names, F.col("text")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", n_tokens long, ids_crc32 long, n_chars long, text_crc32 long, round_trip boolean")
-    return out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    schema += ", n_tokens long, ids_crc32 long, n_chars long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(*names, F.col("text")).mapInArrow(run, schema)

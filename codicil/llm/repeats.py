@@ -237,7 +237,7 @@ def judge_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the covered bytes out of batches (doc_id, k, text, runs)."""
+    """Take the covered bytes out of batches (doc_id, k, text, runs, and columns to hand on)."""
     for batch in batches:
         runs = batch.column(3)
         edges = runs.offsets.to_numpy()
@@ -259,10 +259,10 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(b"".join(texts), np.uint8)[~covered].tobytes()
             kept_at = at - total[at]
             columns = [
-                batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes), pa.array(np.diff(total[at])), pa.array(np.diff(spans[at])),
+                *[c.slice(a, b - a) for c in (batch.column(0), *batch.columns[4:])], pa.array(sizes), pa.array(np.diff(total[at])), pa.array(np.diff(spans[at])),
                 pa.array([data[x:y] for x, y in zip(kept_at[:-1], kept_at[1:], strict=True)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *batch.schema.names[4:], "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def numbered(base: DataFrame) -> DataFrame:
@@ -270,21 +270,21 @@ def numbered(base: DataFrame) -> DataFrame:
     several = base.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     several = stored(several, "several")
     if several.isEmpty():
-        return base.select("doc_id", F.lit(0).alias("k"), "text")
+        return base.withColumn("k", F.lit(0))
     own = base.join(several, "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
     ranked = own.groupBy("doc_id").agg(F.sort_array(F.collect_list("digest")).alias("all"))
     met = base.withColumn("digest", F.sha2("text", 256)).join(ranked, "doc_id", "left")
-    return met.select("doc_id", F.coalesce(F.array_position("all", F.col("digest")).cast("int"), F.lit(0)).alias("k"), "text")
+    return met.withColumn("k", F.coalesce(F.array_position("all", F.col("digest")).cast("int"), F.lit(0))).drop("digest", "all")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Remove each byte of every text that a passage of `LENGTH` bytes covers which also starts earlier.
 
     Earlier: in a smaller doc_id, or at an earlier start of the same text; passages may overlap, never cross texts, and
     are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans (runs removed) and kept (the other bytes), a row
     for each row of `docs`. Null texts are empty, null doc_ids come first; texts under `LENGTH` bytes keep all; different
     texts of one doc_id are ordered by SHA-256, and equal rows count as one text, so they keep the same bytes; an empty
-    table gives no rows; columns other than doc_id and text are ignored.
+    table gives no rows. Columns named in `carry` are handed on, others ignored.
 
     Bucket identifiers are 64-bit hashes, so that tasks agree on them without a common sort. Partitions of the shuffles
     are held in memory one at a time: spark.sql.shuffle.partitions sets their size.
@@ -292,8 +292,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
-    base = numbered(documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
-    groups = base.mapInArrow(find_groups, GROUP)
+    carry = carry or []
+    base = numbered(documents(docs, *carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
+    groups = base.select("doc_id", "k", "text").mapInArrow(find_groups, GROUP)
     route = F.when(F.col("kind") == KNOWN, F.xxhash64("doc_id", "lo")).when(F.col("kind") == OPEN, F.col("gram")).otherwise(F.col("cover"))
     judged = stored(groups.repartition(parts, route).mapInArrow(judge_groups, GROUP), "groups")
     left = judged.filter(F.col("kind") == OPEN).select("doc_id", "k", "lo", "hi", "gram")
@@ -305,6 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = stored(passages.repartition(parts, "route").mapInArrow(judge_passages, GROUP), "passages")
     runs = judged.filter(F.col("kind") == KNOWN).unionByName(found).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     no_runs = F.expr("filter(array(named_struct('lo', 0L, 'hi', 0L)), x -> false)")
-    met = base.join(runs, ["doc_id", "k"], "left").select("doc_id", "k", "text", F.coalesce("runs", no_runs).alias("runs"))
-    out = met.mapInArrow(remove, "doc_id long, k int, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    met = base.join(runs, ["doc_id", "k"], "left").select("doc_id", "k", "text", F.coalesce("runs", no_runs).alias("runs"), *carry)
+    more = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in carry)
+    out = met.mapInArrow(remove, f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *carry)

@@ -105,12 +105,14 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
     A text is judged by its most suspicious window, so that one insult in a long text counts: after a start on all
     windows, each step's gradient flows through the highest window of each text. A fifth of the texts sets the cut.
     """
+    if not texts or labels.min() == labels.max():
+        return np.zeros(s.buckets, np.float32), 0.0, 4.0
     rng = np.random.default_rng(s.seed)
     words, tokens, counts = read_words(pa.array(texts, pa.large_string()))
     flat, n_feats = word_features(words, s.buckets)
     feat_at = np.r_[0, np.cumsum(n_feats)][:-1]
     starts, owner = windows_of(counts, s.window)
-    if not len(starts) or labels.min(initial=1) == labels.max(initial=0):
+    if not len(starts):
         return np.zeros(s.buckets, np.float32), 0.0, 4.0
     ends = np.minimum(starts + s.window, np.r_[0, np.cumsum(counts)][1:][owner])
     train = rng.random(len(texts)) < 0.8
@@ -210,10 +212,10 @@ def best_cut(odds: np.ndarray, labels: np.ndarray) -> float:
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], odds: np.ndarray, bias: float, cut: float, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Scores of batches (doc_id, text)."""
+    """Batches whose last column is the text, with its score in the text's place."""
     base = math.log(s.cut / (1 - s.cut))
     for batch in batches:
-        words, tokens, counts = read_words(batch.column(1))
+        words, tokens, counts = read_words(batch.column(batch.num_columns - 1))
         flat, n_feats = word_features(words, s.buckets)
         of_word = sums(odds[flat].astype(np.float64), np.r_[0, np.cumsum(n_feats)][:-1])
         starts, owner = windows_of(counts, s.window)
@@ -223,7 +225,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], odds: np.ndarray, bias: flo
             at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             z[owner[at]] = np.maximum.reduceat(value, at)
         score = 1 / (1 + np.exp(-np.clip(z - cut + base, -60, 60)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
@@ -246,12 +248,12 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str],
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, carry: list[str] | None = None) -> DataFrame:
     """Score every whole text of `docs` (doc_id, text) for toxicity as marked by `labels` (doc_id, toxic).
 
     Learns only from rows whose crc32(doc_id) mod 3 is not 1. Returns doc_id, held_out, score (0 to 1), predicted (1 from
     0.7). Null and empty texts are scored by the bias alone; rows with equal texts get equal scores; without labels of
-    both kinds nothing is flagged; an empty table gives no rows; other columns are ignored.
+    both kinds nothing is flagged; an empty table gives no rows. Columns named in `carry` are handed on, others ignored.
     """
     s = settings or Settings()
     base = docs.select("doc_id", "text")
@@ -261,6 +263,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return score_batches(batches, shared.value, bias, cut, s)
 
-    out = base.mapInArrow(run, "doc_id long, score double")
+    own = docs.select("doc_id", *(carry or []), F.col("text").alias("text_"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    out = own.mapInArrow(run, schema + ", score double")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"), *(carry or []))

@@ -24,9 +24,11 @@ def distinct_words(texts: pa.Array, pattern: str, lower: bool = True) -> tuple[l
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups of words of equal length: their numbers, and their code points as a matrix."""
+    if not words:
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0]) if len(words) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0])
     for a, b in zip(starts, np.r_[starts[1:], len(words)], strict=True):
         n = int(lengths[order[a]])
         if n:
