@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from codicil.llm.common import documents, lookup, stored
 from codicil.llm.components import components
 from codicil.llm.repeats import chunks
-from codicil.llm.shingles import shingle_sets
+from codicil.llm.shingles import in_order, shingle_sets
 from codicil.llm.words import mix64
 
 PERCENT = 80  # linked if 100 * intersection >= PERCENT * union
 GROUPS = 64  # coordinates of a count vector
 LEAF = 16  # points of an R-tree's leaf
 SLICE = 1500  # rows of a block that one task joins at most
+CHUNK = 2_000_000  # bytes of text handled at a time, or one text
 FREQUENT = 1000  # a shingle in more than 1/FREQUENT of all texts comes last in the order of prefixes
 
 
@@ -89,9 +90,11 @@ def frequent_shingles(base: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in chunks(batch, 1):
+            for _, _, texts in chunks(batch, 1, CHUNK):
                 h, _ = shingle_sets(texts)
-                found, n = np.unique(h, return_counts=True)
+                h.sort()
+                begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+                found, n = h[begin], np.diff(np.r_[begin, len(h)])
                 some = n > max(1, len(texts) // (2 * FREQUENT))
                 yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
 
@@ -106,7 +109,7 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
     The prefix: linked sets share one of the first size - least overlap + 1 elements, in an order common to all sets.
     """
     for batch in batches:
-        for a, b, texts in chunks(batch, 1):
+        for a, b, texts in chunks(batch, 1, CHUNK):
             h, sizes = shingle_sets(texts)
             edges = np.r_[0, np.cumsum(sizes)]
             text = np.repeat(np.arange(len(sizes)), sizes)
@@ -117,7 +120,8 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             signed = h.view(np.int64)
             spot = np.minimum(np.searchsorted(last, signed), max(0, len(last) - 1))
             rank = (last[spot] == signed) if len(last) else np.zeros(len(h), bool)
-            order = np.lexsort((mix64(h), rank, text))
+            # identifiers are hashes and ascend, so their order is random; frequent ones come last
+            order = in_order(text * 2 + rank, 2 * len(texts))
             # a set of n elements shares at least ceil(n * PERCENT / 100) with any linked one
             length = np.where(sizes > 0, sizes - (-(-sizes * PERCENT // 100)) + 1, 0)
             inside = np.arange(len(h)) - edges[text]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from codicil.llm.words import mix64
 
 LENGTH = 100  # bytes of a passage that is removed when it came before
 GRAM = 25  # bytes of the first buckets; LENGTH is GRAM * 4
-CHUNK = 6_000_000  # bytes of text handled at a time, or one text
+CHUNK = 4_000_000  # bytes of text handled at a time, or one text
 
 
 def first_buckets(data: np.ndarray) -> np.ndarray:
@@ -80,13 +81,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return own, lo - edges[own], hi - edges[own], spot - edges[own], grams[spot], cover
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Rows [a, b) of a batch with their texts as bytes, about `CHUNK` bytes at a time."""
-    texts = batch.column(column).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-    sizes = np.cumsum([len(t) for t in texts])
-    cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(CHUNK, sizes[-1] if len(sizes) else 0, CHUNK)) + 1, len(texts)])
+def chunks(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows [a, b) of a batch with their texts as bytes, about `size` bytes at a time; only these are copied."""
+    texts = batch.column(column)
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(size, sizes[-1] if len(sizes) else 0, size)) + 1, len(texts)])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield a, b, texts[a:b]
+        yield int(a), int(b), texts.slice(a, b - a).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
 def merged(doc: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:

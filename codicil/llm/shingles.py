@@ -28,8 +28,8 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     counts = np.diff(np.searchsorted(starts, edges))
     # distinct words, hashed eight bytes at a time
-    keep = np.zeros(len(data) + 1, np.int64)
-    keep[1:] = np.cumsum(solid)
+    keep = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(solid, out=keep[1:])
     offsets = np.r_[keep[starts], keep[-1]].astype(np.int64)
     packed = data[solid]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())]).dictionary_encode()
@@ -50,6 +50,11 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[words.indices.to_numpy()], counts
 
 
+def in_order(numbers: np.ndarray, top: int) -> np.ndarray:
+    """Stable order of numbers below `top`; small ones are sorted by radix."""
+    return np.argsort(numbers.astype(np.uint16 if top <= 1 << 16 else np.int64), kind="stable")
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text in ascending order, text after text, and how many each has.
 
@@ -65,7 +70,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(SIZE):
         some = i < size if len(texts) and (counts < SIZE).any() else slice(None)
         h[some] = mix64(h[some] * np.uint64(0xD6E8FEB86659FD93) + ids[starts[some] + i])
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    order = np.argsort(h)
+    h = h[order[in_order(text[order], len(texts))]]  # each text's shingles ascend in its own places
     new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
     return h[new], np.bincount(text[new], minlength=len(texts))
