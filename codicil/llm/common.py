@@ -46,6 +46,13 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most `rows` rows at a time to Python, so that whole texts take little memory on either side."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by `stored` that no later plan reads."""
     for df in tables:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import documents, lookup, stored
+from codicil.llm.common import documents, lookup, small_batches, stored
 from codicil.llm.components import components
 from codicil.llm.repeats import chunks
 from codicil.llm.shingles import in_order, shingle_sets
@@ -179,32 +179,32 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows (route, center, node, text): in each route, the center's set against the others', exactly."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
+    kept = []
+    for batch in batches:
+        for a, b, texts in chunks(batch, 3, CHUNK):
+            h, sizes = shingle_sets(texts)
+            total = np.zeros(len(sizes), np.uint64)
+            np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), mix64(h ^ np.uint64(0xA5A5A5A5)))
+            route, center, node = (batch.column(i).slice(a, b - a).to_numpy() for i in range(3))
+            # rows that only share a doc_id with the wanted text are left out
+            real = mix64(total + sizes.astype(np.uint64)).view(np.int64) == node
+            kept.append((route[real], center[real], node[real], sizes[real], mix64(h ^ mix64(np.repeat(route.view(np.uint64), sizes)))[np.repeat(real, sizes)]))
+    if not kept:
         return
-    table = pa.Table.from_batches(rows)
-    route, node = table.column(0).to_numpy(), table.column(2).to_numpy()
-    center = table.column(1).to_numpy()
-    texts = [t.encode() for t in table.column(3).to_pylist()]
-    h, sizes = shingle_sets(texts)
+    route, center, node, sizes, key = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del kept
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.zeros(len(sizes), np.uint64)
-    np.add.at(total, owner, mix64(h ^ np.uint64(0xA5A5A5A5)))
-    real = mix64(total + sizes.astype(np.uint64)).view(np.int64) == node  # rows that share a doc_id only are left out
-    _, number = np.unique(route, return_inverse=True)
-    key = mix64(h ^ mix64(number[owner].astype(np.uint64) + np.uint64(1)))
-    is_center = (center == node) & real
+    is_center = center == node
     held = np.unique(key[is_center[owner]])
-    other = np.flatnonzero((center != node) & real)
-    mine = np.isin(owner, other)
-    if not len(held) or not mine.any():
+    if not len(held) or is_center.all():
         return
-    spot = np.minimum(np.searchsorted(held, key[mine]), len(held) - 1)
-    common = np.bincount(owner[mine], held[spot] == key[mine], len(sizes)).astype(np.int64)
+    spot = np.minimum(np.searchsorted(held, key), len(held) - 1)
+    common = np.bincount(owner, held[spot] == key, len(sizes)).astype(np.int64)
+    _, number = np.unique(route, return_inverse=True)
     size_of = np.zeros(number.max() + 1, np.int64)
     size_of[number[is_center]] = sizes[is_center]
     union = sizes + size_of[number] - common
-    good = other[(100 * common >= PERCENT * union)[other] & (size_of[number[other]] > 0)]
+    good = ~is_center & (size_of[number] > 0) & (100 * common >= PERCENT * union)
     yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
 
 
@@ -237,7 +237,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     that hold several components are joined, each by an R-tree over count vectors, large ones in slices of `SLICE`.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))

@@ -26,8 +26,8 @@ class Settings:
     """
 
     toxic_rows: int = 1200
-    clean_rows: int = 2400
-    sample_chars: int = 16_000_000
+    clean_rows: int = 2000
+    sample_chars: int = 12_000_000
     buckets: int = 1 << 18
     dim: int = 6
     window: int = 12
@@ -121,8 +121,11 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
     pairs = np.unique(text_of[train[text_of]].astype(np.int64) * len(words) + tokens[train[text_of]])
     which = pairs % len(words)
     df = np.zeros(s.buckets, np.int64)
-    n_in = n_feats[which]
-    np.add.at(df, flat[np.repeat(feat_at[which] - np.r_[0, np.cumsum(n_in)][:-1], n_in) + np.arange(n_in.sum())], 1)
+    for a in range(0, len(which), 100_000):
+        some = which[a : a + 100_000]
+        n_in = n_feats[some]
+        df += np.bincount(flat[np.repeat(feat_at[some] - np.r_[0, np.cumsum(n_in)][:-1], n_in) + np.arange(n_in.sum())], minlength=s.buckets)
+    del pairs, which, text_of
     known = df >= s.least + train.sum() // 800
     kept = known[flat]
     total_feats = n_feats  # unknown features count in the average
