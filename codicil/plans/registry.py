@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codicil.plans import catalog_core, catalog_search
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = catalog_core.QUERIES | catalog_search.QUERIES
+SQL = catalog_core.SQL | catalog_search.SQL
 FLAGSHIP = "keyword_lane"
