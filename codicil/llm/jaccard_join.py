@@ -104,7 +104,7 @@ def frequent_shingles(base: DataFrame) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Size, identifier, prefix and count vector of the shingle set of batches (doc_id, text).
+    """Size, identifier, prefix, count vector and 2**16 fine groups of the shingle set of batches (doc_id, text).
 
     The prefix: linked sets share one of the first size - least overlap + 1 elements, in an order common to all sets.
     """
@@ -126,10 +126,14 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             length = np.where(sizes > 0, sizes - (-(-sizes * PERCENT // 100)) + 1, 0)
             inside = np.arange(len(h)) - edges[text]
             chosen = order[inside < length[text]]
+            fine = ((h >> np.uint64(42)) & np.uint64(0xFFFF)).astype("<u2")
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(signed[chosen]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix, pa.array([c.tobytes() for c in counts], pa.binary())],
-                names=["doc_id", "n", "node", "prefix", "counts"],
+                [
+                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix, pa.array([c.tobytes() for c in counts], pa.binary()),
+                    pa.array([fine[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+                ],
+                names=["doc_id", "n", "node", "prefix", "counts", "fine"],
             )
 
 
@@ -208,18 +212,55 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
-    """Those pairs (a, b) whose texts link. A center's partners are split into routes of about 256."""
-    pairs = stored(pairs.distinct(), "pairs")
+def closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (route, center, node, n, fine), the pairs of center and node that the bound over fine groups leaves.
+
+    A fine group is 16 bits of a shingle's identifier; the sum of smaller counts is the size of a common multiset.
+    """
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    route, center, node, n = (table.column(i).to_numpy() for i in range(4))
+    _, number = np.unique(route, return_inverse=True)
+    value = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u2").astype(np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    # sort the values of each row, and number equal ones
+    key = (owner.astype(np.uint64) << np.uint64(16)) | value
+    key.sort()
+    begin = np.r_[True, key[1:] != key[:-1]]
+    again = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
+    key = (number[owner].astype(np.uint64) << np.uint64(32)) | ((key & np.uint64(0xFFFF)) << np.uint64(16)) | np.minimum(again, 0xFFFF).astype(np.uint64)
+    is_center = center == node
+    held = np.unique(key[is_center[owner]])
+    if not len(held):
+        return
+    spot = np.minimum(np.searchsorted(held, key), len(held) - 1)
+    common = np.bincount(owner, held[spot] == key, len(n)).astype(np.int64)
+    size_of = np.zeros(number.max() + 1, np.int64)
+    size_of[number[is_center]] = n[is_center]
+    good = ~is_center & (size_of[number] > 0) & (common >= least_overlap(n, size_of[number]))
+    yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
+
+
+def routed(pairs: DataFrame) -> DataFrame:
+    """Roles (route, center, node) of pairs (a, b): a center's partners are split into routes of about 256."""
     width = stored(pairs.groupBy("a").agg(F.count("*").alias("m")), "width").withColumn("s", F.ceil(F.col("m") / 256).cast("int"))
-    total = pairs.count()
-    sliced = lookup(pairs, width, "a", "m", total)
+    sliced = lookup(pairs, width, "a", "m", pairs.count())
     member = sliced.select(F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("slice"))
     own = width.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("slice"))
+    return member.unionByName(own).select(F.xxhash64("center", "slice").alias("route"), "center", "node")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
+    """Those pairs (a, b) whose texts link: first by the bound over fine groups, then exactly by the texts of what is left."""
+    pairs = stored(pairs.distinct(), "pairs")
+    fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
+    near = stored(fine.repartition(parts, "route").mapInArrow(closer, "a long, b long"), "near")
     # a node's roles: bounded by its prefix as a member, by its partners / 256 as a center
-    roles = member.unionByName(own).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("center", "node", "slice")).alias("roles"))
+    roles = routed(near).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
     met = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r"))
-    rows = met.select(F.xxhash64("r.center", "r.slice").alias("route"), F.col("r.center").alias("center"), F.col("r.node").alias("node"), "text")
+    rows = met.select("r.route", "r.center", "r.node", "text")
     return stored(rows.repartition(parts, "route").mapInArrow(verify, "a long, b long"), "links")
 
 
@@ -242,9 +283,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
-    sets = stored(base.mapInArrow(lambda b: describe(b, last.value), "doc_id long, n long, node long, prefix array<long>, counts binary"), "sets")
-    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts")).alias("x"), F.count("*").alias("m"))
-    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), "m"), "nodes")
+    sets = stored(base.mapInArrow(lambda b: describe(b, last.value), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary"), "sets")
+    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"), F.count("*").alias("m"))
+    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine"), "m"), "nodes")
     token = nodes.select(F.explode("prefix").alias("token"), "node", "n")
     blocks = token.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1")
     n_tokens = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
