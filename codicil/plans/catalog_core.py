@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.operators import scope, timeline, usage
 from codicil.plans.views import Views, with_views
 from codicil.sources import tables
 
-DAY = F.lit("1998-06-01").cast("date")
 D = "date '1998-06-01'"
 QUERIES, SQL = {}, {}
 
 
+def day() -> Column:
+    """The day that queries ask about."""
+    return F.lit("1998-06-01").cast("date")
+
+
 def query(name: str, sql: str | None):
     def add(build):
         QUERIES[name] = lambda spark, directory: build(Views(spark, directory))
@@ -70,12 +74,12 @@ def build(v: Views) -> DataFrame:
 select policy_id, version_id, case when status = 'withdrawn' then 'withdrawn' when effective_from > {D} then 'scheduled' when effective_to <= {D} then 'historical' else 'current' end as state
 from timeline""")
 def states(v: Views) -> DataFrame:
-    return timeline.with_state(timeline.build_timeline(v.versions()), DAY).select("policy_id", "version_id", "state")
+    return timeline.with_state(timeline.build_timeline(v.versions()), day()).select("policy_id", "version_id", "state")
 
 
 @query("in_force", f"select policy_id, version_id, effective_from from timeline where effective_from <= {D} and (effective_to is null or effective_to > {D})")
 def in_force(v: Views) -> DataFrame:
-    return timeline.build_timeline(v.versions()).filter(timeline.effective_on(DAY)).select("policy_id", "version_id", "effective_from")
+    return timeline.build_timeline(v.versions()).filter(timeline.effective_on(day())).select("policy_id", "version_id", "effective_from")
 
 
 @query("asof_join", """
@@ -135,7 +139,7 @@ def numbers(v: Views) -> DataFrame:
 , ends as (select *, effective_from + 365 as ends_on, row_number() over (partition by policy_id order by effective_from desc) as k from versions where status = 'active')
 select policy_id, version_id, ends_on as effective_to, case when ends_on <= {D} then 'expired' else 'expiring' end as kind from ends where k = 1 and ends_on <= {D} + 30""")
 def expiry(v: Views) -> DataFrame:
-    return timeline.expiry(v.versions().withColumn("effective_to", F.date_add("effective_from", 365)), DAY, 30)
+    return timeline.expiry(v.versions().withColumn("effective_to", F.date_add("effective_from", 365)), day(), 30)
 
 
 @query("newer_versions", f"""
@@ -144,7 +148,7 @@ items as (select policy_id, version_id, effective_from from timeline where effec
 select i.policy_id, i.version_id, i.effective_from, v.version_id as newer_id, v.effective_from as newer_from
 from items i join names a using (policy_id) join names b on a.same = b.same join versions v on v.policy_id = b.policy_id and v.status = 'active' and v.effective_from > i.effective_from""")
 def newer(v: Views) -> DataFrame:
-    items = timeline.build_timeline(v.versions()).filter(timeline.effective_on(DAY)).select("policy_id", "version_id", "effective_from")
+    items = timeline.build_timeline(v.versions()).filter(timeline.effective_on(day())).select("policy_id", "version_id", "effective_from")
     named = v.policies().withColumn("name", F.concat("category", (F.col("policy_id") % 50).cast("string")))
     return timeline.newer_versions(items, v.versions(), named)
 
@@ -153,7 +157,7 @@ def newer(v: Views) -> DataFrame:
 select policy_id, version_id, cast(row_number() over (partition by policy_id order by effective_from desc) as int) as depth from timeline t where effective_to <= {D}
 and exists (select 1 from timeline s where s.policy_id = t.policy_id and s.effective_from <= {D} and (s.effective_to is null or s.effective_to > {D}))""")
 def sets(v: Views) -> DataFrame:
-    return timeline.version_sets(timeline.build_timeline(v.versions()), DAY)
+    return timeline.version_sets(timeline.build_timeline(v.versions()), day())
 
 
 @query("real_dates", "select policy_id, version_id, case when date_source in ('entered', 'detected') then effective_from end as stated_from from versions")
@@ -163,7 +167,7 @@ def real_dates(v: Views) -> DataFrame:
 
 @query("having_version", f"select policy_id, name from policies p where exists (select 1 from timeline t where t.policy_id = p.policy_id and t.effective_from > {D})")
 def having(v: Views) -> DataFrame:
-    late = timeline.build_timeline(v.versions()).filter(F.col("effective_from") > DAY)
+    late = timeline.build_timeline(v.versions()).filter(F.col("effective_from") > day())
     return v.policies().join(late, "policy_id", "left_semi").select("policy_id", "name")
 
 

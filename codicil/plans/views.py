@@ -58,14 +58,16 @@ class Views:
         )
 
     def sections(self) -> DataFrame:
-        """Sections of a version: one for each order line, with rendered sentences."""
+        """Sections of a version: one for each order line number, with rendered sentences."""
         p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         text = F.concat(
             F.lit("The rate shall not exceed "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%. The amount is Rs. "), F.floor("l_extendedprice").cast("long").cast("string"),
             F.lit(". The term is "), F.col("l_quantity").cast("int").cast("string"), F.lit(" months. It starts on "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("."),
         )
-        return self.table("lineitem").join(p, "l_partkey").select(
-            F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").cast("int").alias("number"), F.col("p_name").alias("title"), text.alias("content")
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").cast("int").alias("number"), "l_partkey", text.alias("content"))
+        one = lines.groupBy("version_id", "number").agg(F.min(F.struct("l_partkey", "content")).alias("x"))
+        return one.select("version_id", "number", F.col("x.l_partkey").alias("l_partkey"), F.col("x.content").alias("content")).join(p, "l_partkey").select(
+            "version_id", "number", F.col("p_name").alias("title"), "content"
         )
 
 
@@ -96,7 +98,7 @@ sections as (
   select l_orderkey as version_id, cast(l_linenumber as int) as number, p_name as title,
     'The rate shall not exceed ' || cast(cast(round(l_discount * 100) as int) as varchar) || '%. The amount is Rs. ' || cast(cast(floor(l_extendedprice) as bigint) as varchar)
     || '. The term is ' || cast(cast(l_quantity as int) as varchar) || ' months. It starts on ' || strftime(l_shipdate, '%Y-%m-%d') || '.' as content
-  from lineitem join part on p_partkey = l_partkey)
+  from lineitem join part on p_partkey = l_partkey qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, content) = 1)
 """
 
 
