@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import documents, lookup, small_batches, stored
+from codicil.llm.common import discard, documents, lookup, small_batches, stored
 from codicil.llm.components import components
 from codicil.llm.repeats import chunks
 from codicil.llm.shingles import in_order, shingle_sets
 from codicil.llm.words import mix64
 
 PERCENT = 80  # linked if 100 * intersection >= PERCENT * union
-GROUPS = 64  # coordinates of a count vector
+GROUPS = 256  # coordinates of a count vector
+COARSE = 64  # coordinates of an R-tree's points, sums of neighbours of these
 LEAF = 16  # points of an R-tree's leaf
 SLICE = 1500  # rows of a block that one task joins at most
 CHUNK = 2_000_000  # bytes of text handled at a time, or one text
@@ -33,6 +34,18 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
 
 
+def coarse(counts: np.ndarray) -> np.ndarray:
+    """Count vectors of COARSE coordinates: the bound over them is weaker, so it excludes no more."""
+    return counts.reshape(len(counts), COARSE, -1).sum(axis=2, dtype=np.uint16)
+
+
+def kept_pairs(a: np.ndarray, b: np.ndarray, counts_a: np.ndarray, sizes_a: np.ndarray, counts_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a and b the bound leaves, a few at a time."""
+    step = 1 << 14
+    parts = [overlap_bound(counts_a[a[i : i + step]], counts_b[b[i : i + step]]) >= least_overlap(sizes_a[a[i : i + step]], sizes_b[b[i : i + step]]) for i in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 class RTree:
     """Packed R-tree over count vectors: each node keeps the largest coordinates and the smallest size below it."""
 
@@ -65,10 +78,7 @@ class RTree:
         query, node = np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             top, low = self.levels[level]
-            keep = np.concatenate([
-                overlap_bound(counts[query[i : i + 65536]], top[node[i : i + 65536]]) >= least_overlap(sizes[query[i : i + 65536]], low[node[i : i + 65536]])
-                for i in range(0, len(query), 65536)
-            ] or [np.zeros(0, bool)])
+            keep = kept_pairs(query, node, counts, sizes, top, low)
             query, node = query[keep], node[keep]
             if level:
                 below = len(self.levels[level - 1][1])
@@ -78,10 +88,7 @@ class RTree:
         width = ends[node] - starts[node]
         query = np.repeat(query, width)
         point = self.points[np.repeat(starts[node] - np.r_[0, np.cumsum(width)][:-1], width) + np.arange(width.sum())]
-        keep = np.concatenate([
-            overlap_bound(counts[query[i : i + 65536]], self.counts[point[i : i + 65536]]) >= least_overlap(sizes[query[i : i + 65536]], self.sizes[point[i : i + 65536]])
-            for i in range(0, len(query), 65536)
-        ] or [np.zeros(0, bool)])
+        keep = kept_pairs(query, point, counts, sizes, self.counts, self.sizes)
         return query[keep], point[keep]
 
 
@@ -116,7 +123,7 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             total = np.zeros(len(sizes), np.uint64)
             np.add.at(total, text, mix64(h ^ np.uint64(0xA5A5A5A5)))
             node = mix64(total + sizes.astype(np.uint64)).view(np.int64)
-            counts = np.bincount(text * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype(np.uint16)
+            counts = np.bincount(text * GROUPS + (h >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype(np.uint16)
             signed = h.view(np.int64)
             spot = np.minimum(np.searchsorted(last, signed), max(0, len(last) - 1))
             rank = (last[spot] == signed) if len(last) else np.zeros(len(h), bool)
@@ -161,6 +168,7 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(rows)
     route, side, node, n, root = (table.column(i).to_numpy() for i in range(5))
     counts = vectors(table.column(5))
+    points_of = coarse(counts)
     order = np.lexsort((node, route))
     edges = np.flatnonzero(np.r_[True, route[order][1:] != route[order][:-1], True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -173,9 +181,11 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, queries = part[side[part] != 1], part[side[part] != 0]
             if not len(points) or not len(queries):
                 continue
-            q, p = RTree(counts[points], n[points]).pairs(counts[queries], n[queries])
+            q, p = RTree(points_of[points], n[points]).pairs(points_of[queries], n[queries])
             x, y = queries[q], points[p]
-            good = root[x] != root[y]
+            good = (root[x] != root[y]) & (node[x] != node[y])
+            x, y = x[good], y[good]
+            good = kept_pairs(x, y, counts, n, counts, n)  # the same bound over all coordinates
             x, y = x[good], y[good]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
@@ -252,16 +262,35 @@ def routed(pairs: DataFrame) -> DataFrame:
     return member.unionByName(own).select(F.xxhash64("center", "slice").alias("route"), "center", "node")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
-    """Those pairs (a, b) whose texts link: first by the bound over fine groups, then exactly by the texts of what is left."""
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that lie in different components; nodes that `roots` lacks are components of their own."""
+    by_a = pairs.groupBy("a").agg(F.count("*").alias("m")).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
+    met = lookup(pairs, stored(by_a, "by-a"), "a", "m", pairs.count()).select("a", "b", "root_a")
+    met = met.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    return met.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int, links: DataFrame | None = None) -> DataFrame:
+    """Links among the pairs (a, b), and `links`, enough of them to give the components of all.
+
+    First the bound over fine groups, then the texts of what is left. Texts are fetched for one partner of each node at a
+    time; pairs whose components these links have joined need no test, the others go on until none is left.
+    """
     pairs = stored(pairs.distinct(), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
     near = stored(fine.repartition(parts, "route").mapInArrow(closer, "a long, b long"), "near")
-    # a node's roles: bounded by its prefix as a member, by its partners / 256 as a center
-    roles = routed(near).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
-    met = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r"))
-    rows = met.select("r.route", "r.center", "r.node", "text")
-    return stored(rows.repartition(parts, "route").mapInArrow(verify, "a long, b long"), "links")
+    discard(pairs)
+    while not near.isEmpty():
+        one = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+        # a node's roles: one as a member, its partners / 256 as a center
+        roles = routed(one).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
+        met = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r"))
+        rows = met.select("r.route", "r.center", "r.node", "text")
+        found = rows.repartition(parts, "route").mapInArrow(verify, "a long, b long")
+        links = stored(found if links is None else links.unionByName(found), "links")
+        left = near.join(one, ["a", "b"], "left_anti")
+        near = stored(across(stored(left, "left"), stored(components(links), "roots")), "near")
+    return links if links is not None else stored(near, "links")
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -313,8 +342,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
-    more = verified(dealt.repartition(parts, "route").mapInArrow(join_blocks, "a long, b long"), nodes, base, parts)
-    roots = stored(components(links.unionByName(more)), "components")
+    more = verified(dealt.repartition(parts, "route").mapInArrow(join_blocks, "a long, b long"), nodes, base, parts, links)
+    roots = stored(components(more), "components")
     found = nodes.join(roots, "node", "left").select("node", "first_doc", "m", F.coalesce("root", "node").alias("root"))
     size = stored(found.groupBy("root").agg(F.min("first_doc").alias("component"), F.count("*").alias("members")), "lowest")
     found = lookup(found, size, "root", "members", found.count()).select("node", "component", "m")

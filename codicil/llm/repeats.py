@@ -266,16 +266,17 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *batch.schema.names[4:], "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def numbered(base: DataFrame) -> DataFrame:
-    """Rows (doc_id, k, text) where k tells apart different texts of one doc_id, by their SHA-256; equal rows share a k."""
+def numbered(base: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows (doc_id, k, text) where k tells apart different texts of one doc_id, by their SHA-256; equal rows share a k; and whether
+    any doc_id has several rows."""
     several = base.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     several = stored(several, "several")
     if several.isEmpty():
-        return base.withColumn("k", F.lit(0))
+        return base.withColumn("k", F.lit(0)), False
     own = base.join(several, "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
     ranked = own.groupBy("doc_id").agg(F.sort_array(F.collect_list("digest")).alias("all"))
     met = base.withColumn("digest", F.sha2("text", 256)).join(ranked, "doc_id", "left")
-    return met.withColumn("k", F.coalesce(F.array_position("all", F.col("digest")).cast("int"), F.lit(0))).drop("digest", "all")
+    return met.withColumn("k", F.coalesce(F.array_position("all", F.col("digest")).cast("int"), F.lit(0))).drop("digest", "all"), True
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -294,8 +295,10 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
     carry = carry or []
-    base = numbered(documents(docs, *carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
-    groups = base.select("doc_id", "k", "text").mapInArrow(find_groups, GROUP)
+    base, several = numbered(documents(docs, *carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
+    once = base.select("doc_id", "k", "text")
+    once = once.dropDuplicates(["doc_id", "k"]) if several else once
+    groups = once.mapInArrow(find_groups, GROUP)
     route = F.when(F.col("kind") == KNOWN, F.xxhash64("doc_id", "lo")).when(F.col("kind") == OPEN, F.col("gram")).otherwise(F.col("cover"))
     judged = stored(groups.repartition(parts, route).mapInArrow(judge_groups, GROUP), "groups")
     left = judged.filter(F.col("kind") == OPEN).select("doc_id", "k", "lo", "hi", "gram")
@@ -303,7 +306,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     n = stored(left.groupBy("gram").agg(F.count("*").alias("n")), "buckets")
     left = lookup(left, n, "gram", "n", total)
     by_doc = left.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi", "gram", "n")).alias("groups"))
-    passages = base.join(by_doc, ["doc_id", "k"]).select("doc_id", "k", "text", "groups").mapInArrow(cut_passages, PASSAGE)
+    passages = once.join(by_doc, ["doc_id", "k"]).select("doc_id", "k", "text", "groups").mapInArrow(cut_passages, PASSAGE)
     found = stored(passages.repartition(parts, "route").mapInArrow(judge_passages, GROUP), "passages")
     runs = judged.filter(F.col("kind") == KNOWN).unionByName(found).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     no_runs = F.expr("filter(array(named_struct('lo', 0L, 'hi', 0L)), x -> false)")
