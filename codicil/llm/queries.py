@@ -89,3 +89,45 @@ met as (
   from split s left join rules r on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path))
 select page_id, host, path, rule, coalesce(r_verdict, 'allow') as verdict from met where k = 1
 """ % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+LEVELS = ", ".join(mixing.LEVELS)
+
+
+def _share(keys: str, level: str) -> str:
+    """SQL that divides parents' budgets among the nodes of a level, as `mixing.share_out` does."""
+    names = mixing.DOCUMENT_WEIGHTS[level]
+    weight = "case " + " ".join(f"when {level} = '{n}' then {w}" for n, w in names.items()) + f" else {mixing.OTHER_WEIGHT} end" if names else str(mixing.OTHER_WEIGHT)
+    upper = f"budget_{keys.split(', ')[-1]}" if keys else "budget_all"
+    part = f"partition by {keys}" if keys else ""
+    join = f"join {upper} using ({keys})" if keys else f", {upper}"
+    group = f"{keys}, {level}" if keys else level
+    return f"""
+nodes_{level} as (select {group}, sum(tokens) * 4 as capacity, {weight} as weight from leaves group by all),
+a_{level} as (select n.*, budget, coalesce(sum(capacity) over (w rows between unbounded preceding and 1 preceding), 0) as taken,
+    sum(weight) over (w rows between current row and unbounded following) as left_weight
+  from nodes_{level} n {join} window w as ({part} order by capacity::double / weight, {level})),
+b_{level} as (select *, capacity * left_weight <= (budget - taken) * weight as is_full from a_{level}),
+c_{level} as (select *, budget - coalesce(sum(case when is_full then capacity end) over ({part}), 0) as rest, sum(case when not is_full then weight end) over ({part}) as rest_weight,
+    coalesce(sum(case when not is_full then weight end) over ({part} order by {level}), 0) as run from b_{level}),
+budget_{level} as (select {group}, cast(case when is_full then capacity else (rest * run) // rest_weight - (rest * (run - weight)) // rest_weight end as hugeint) as budget from c_{level})"""
+
+
+def _place(epoch: str) -> str:
+    return f"('0x' || substr(md5('7:' || {epoch} || ':' || doc_id), 1, 12))::bigint"
+
+
+SQL["op1_mixing"] = f"""
+with numbered as (select *, try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) as number from documents),
+tokens as (
+  select case number % 4 when 0 then 'web' when 1 then 'books' when 2 then 'code' else 'reference' end as domain, coalesce(lang, '') as language, coalesce(source, '') as origin, doc_id,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as n_tokens from numbered),
+kept as (select * from tokens where n_tokens > 0),
+leaves as (select {LEVELS}, sum(n_tokens) as tokens, count(*) as n_rows from kept group by all),
+budget_all as (select least(coalesce(sum(tokens), 0) * 150 // 100, coalesce(sum(tokens), 0) * 4) as budget from leaves),
+{_share("", "domain")},{_share("domain", "language")},{_share("domain, language", "origin")},
+plan as (select {LEVELS}, budget // tokens as whole, budget % tokens as rest from leaves join budget_origin using ({LEVELS})),
+met as (select k.*, whole, rest, {_place("whole")} as place from kept k join plan using ({LEVELS})),
+cut as (select *, sum(n_tokens) over (partition by {LEVELS} order by place, doc_id rows unbounded preceding) - n_tokens as start from met)
+select {LEVELS}, doc_id, cast(unnest(range(cast(whole as bigint))) as bigint) as epoch, cast(n_tokens as bigint) as n_tokens, cast(n_tokens as bigint) as take_tokens from met
+union all select {LEVELS}, doc_id, cast(whole as bigint), cast(n_tokens as bigint), cast(least(n_tokens, rest - start) as bigint) from cut where start < rest
+"""
