@@ -20,9 +20,9 @@ MAGIC = b"CRB1"
 HEADER = struct.Struct("<4sBBHIIIII")  # magic, scale, 0, lanes, ids, steps between checkpoints, checkpoints, words, crc32 of the rest
 SCALE = 18  # frequencies sum to 2**SCALE
 LOW = np.uint64(1 << 31)  # states are in [LOW, LOW * 2**32)
-LANES = 512
+LANES = 1024
 SPACING = 128  # steps between checkpoints
-BLOCK = 131_072  # ids of a block, whole documents; a longer document has a block of its own
+BLOCK = 262_144  # ids of a block, whole documents; a longer document has a block of its own
 
 
 class Table:
