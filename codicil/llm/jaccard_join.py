@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.llm.common import discard, documents, lookup, small_batches, stored
@@ -273,21 +273,26 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int, links: DataFrame | None = None) -> DataFrame:
     """Links among the pairs (a, b), and `links`, enough of them to give the components of all.
 
-    First the bound over fine groups, then the texts of what is left. Texts are fetched for one partner of each node at a
-    time; pairs whose components these links have joined need no test, the others go on until none is left.
+    First the bound over fine groups, then the texts of what is left. Texts are fetched for one partner of each node, then
+    for 32, then for all; pairs whose components the links so far have joined need no test.
     """
     pairs = stored(pairs.distinct(), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
     near = stored(fine.repartition(parts, "route").mapInArrow(closer, "a long, b long"), "near")
     discard(pairs)
-    while not near.isEmpty():
-        one = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-        # a node's roles: one as a member, its partners / 256 as a center
+    for most in (1, 32, None):  # partners of a node in this turn; the last takes all that are left
+        if near.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        one = stored(near if most is None else near.withColumn("k", place).filter(F.col("k") <= most).select("a", "b"), "one")
+        # a node's roles: its partners of this turn as a member, its partners / 256 as a center
         roles = routed(one).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
         met = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r"))
         rows = met.select("r.route", "r.center", "r.node", "text")
         found = rows.repartition(parts, "route").mapInArrow(verify, "a long, b long")
         links = stored(found if links is None else links.unionByName(found), "links")
+        if most is None:
+            break
         left = near.join(one, ["a", "b"], "left_anti")
         near = stored(across(stored(left, "left"), stored(components(links), "roots")), "near")
     return links if links is not None else stored(near, "links")
