@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -60,7 +61,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token depends on what stands beside it")
+        self.added = added  # their strings in a text are one id each, the longest at the first place
+        self.any_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self.cache: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.edges = np.zeros(1, np.int64)
@@ -79,6 +84,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins (one entry more than texts)."""
+        if not any(a in t for a in self.added for t in texts):
+            return self.encode_plain(texts)
+        cut = [self.any_added.split(t) for t in texts]  # every second part is an added token
+        flat = [p for parts in cut for p in parts]
+        odd = np.array([k % 2 for parts in cut for k in range(len(parts))], bool)
+        ids, edges = self.encode_plain(["" if o else p for p, o in zip(flat, odd.tolist(), strict=True)])
+        ids = np.insert(ids, edges[:-1][odd], [self.added[flat[i]] for i in np.flatnonzero(odd)])
+        edges = edges + np.r_[0, np.cumsum(odd)]
+        return ids, edges[np.r_[0, np.cumsum([len(parts) for parts in cut])]]
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for texts without added tokens."""
         pieces, per = safe_pieces(texts)
         words = pieces.dictionary.to_pylist()
         if len(self.cache) > CACHED:

@@ -212,6 +212,24 @@ def test_pieces_of_texts_encode_as_the_whole(text):
     assert ids[: edges[1]].tolist() == want and ids[edges[1] :].tolist() == want
 
 
+def test_added_tokens_in_texts_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.public_file("byte_bpe_50k.json", "BYTE_TOKENIZER")
+    plain = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> a", "", "x <|endoftext|>", "<|endoftext|><|endoftext|>b.c\n<|endoftext|>\nd <|endoftext|>  e", "<|endoftext>|", "<<|endoftext|>", "é<|endoftext|>漢字 "]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [50256, 257]
+    ids, edges = encoder(path).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    at, want = 0, []
+    for i, t in enumerate(texts):
+        own = plain.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        at += len(own)
+    got = rans.round_trip(spark.createDataFrame(list(enumerate(texts)), SCHEMA), path).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 # --- piece Viterbi
 
 
