@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm.common import stored
 from codicil.llm.words import by_length, distinct_words, mix64
 
 #: What parts words: anything but letters and digits.
@@ -21,8 +23,8 @@ BETWEEN = r"[^\p{L}\p{N}]+"
 class Settings:
     """Bounds of the sample the model is fitted on, and the model's shape.
 
-    The fit takes at most `toxic_rows` and `clean_rows` labelled documents, first by md5 of doc_id, and of these as many
-    as have `sample_chars` characters together; everything else covers all rows.
+    The fit takes at most `toxic_rows` and `clean_rows` labelled documents, first by md5 of doc_id, and of these, label by
+    label, those that fit into `sample_chars` characters together; everything else covers all rows.
     """
 
     toxic_rows: int = 1200
@@ -231,24 +233,55 @@ def score_batches(batches: Iterator[pa.RecordBatch], odds: np.ndarray, bias: flo
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
 
+def fitting(sizes: list[int], labels: list[int], most: int) -> list[int]:
+    """Which rows have at most `most` characters together: rows that do not fit are passed over.
+
+    Each label has half of the room to itself, in the order of its rows; what is left then goes to any rows that fit. A
+    label of which no row fits is stood for by its shortest row.
+    """
+    kept: set[int] = set()
+    for v in sorted(set(labels)):
+        own, room = [i for i, x in enumerate(labels) if x == v], most // 2
+        before = len(kept)
+        for i in own:
+            if sizes[i] <= room:
+                kept.add(i)
+                room -= sizes[i]
+        if len(kept) == before:
+            kept.add(min(own, key=lambda i: sizes[i]))
+    room = most - sum(sizes[i] for i in kept)
+    for i in range(len(sizes)):
+        if i not in kept and sizes[i] <= room:
+            kept.add(i)
+            room -= sizes[i]
+    return sorted(kept)
+
+
 def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
-    """The bounded sample of labelled rows that the model is fitted on. Documents labelled both ways count as toxic."""
+    """The bounded sample of labelled rows that the model is fitted on. Documents labelled both ways count as toxic.
+
+    Rows with the same doc_id and text count once. Warns if a label of the table has no row in the sample.
+    """
     own = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     marked = labels.filter("doc_id is not null and toxic is not null").filter(own).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = [marked.filter(F.col("toxic") == v).orderBy(order, "doc_id").limit(n) for v, n in ((1, s.toxic_rows), (0, s.clean_rows))]
     ids = picked[0].unionByName(picked[1])  # at most toxic_rows + clean_rows rows
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").withColumn("order", order)
-    sizes = found.select("order", "doc_id", F.length("text").alias("n")).orderBy("order").limit(s.toxic_rows + s.clean_rows).collect()
-    kept, total = [], 0
-    for row in sizes:
-        total += row["n"]
-        if total > s.sample_chars and kept:
-            break
-        kept.append(row["order"])
-    rows = found.filter(F.col("order") <= kept[-1]).select("order", "text", "toxic").limit(len(kept)).collect() if kept else []
-    rows = sorted(rows, key=lambda r: (r["order"], r["text"]))
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").withColumn("order", order).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    sizes = stored(found.groupBy("order", "digest", "toxic").agg(F.first(F.length("text")).alias("n")), "labelled")
+    rows = [r for v, n in ((1, s.toxic_rows), (0, s.clean_rows)) for r in sizes.filter(F.col("toxic") == v).orderBy("order", "digest").limit(n).collect()]
+    rows.sort(key=lambda r: (r["order"], r["digest"]))
+    missing = {0, 1} - {r["toxic"] for r in rows}
+    for v in sorted(missing):
+        if not marked.filter(F.col("toxic") == v).isEmpty():
+            logging.getLogger(__name__).warning("no text has a label toxic = %d, though the labels hold such rows; nothing will be flagged", v)
+    if missing or not rows:
+        return [], np.zeros(0, np.int64)  # one label alone teaches nothing
+    kept = [rows[i] for i in fitting([r["n"] for r in rows], [r["toxic"] for r in rows], s.sample_chars)]
+    keys = docs.sparkSession.createDataFrame([(r["order"], r["digest"]) for r in kept], "order string, digest string")
+    texts = found.join(F.broadcast(keys), ["order", "digest"]).groupBy("order", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    texts.sort(key=lambda r: (r["order"], r["text"]))
+    return [r["text"] for r in texts], np.array([r["toxic"] for r in texts], np.int64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, carry: list[str] | None = None) -> DataFrame:

@@ -313,6 +313,19 @@ def test_held_out_insults_are_found(spark):
     assert {r.predicted for r in toxicity.toxicity(spark.createDataFrame(rows[:5], SCHEMA), none).collect()} == {0}
 
 
+def test_a_long_labelled_text_does_not_end_the_sample(spark):
+    order = sorted(range(400), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    own = [i for i in order if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = {*own[1:200:4]}
+    rows = [(i, "word " * (2000 if i == own[2] else 4)) for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
+    texts, marks = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=8000))
+    assert len(texts) == len(own) - 1 and marks.sum() == len(toxic)
+    texts, marks = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=1000))
+    assert sum(map(len, texts)) <= 1000 and marks.sum() == 25 and len(marks) == 50
+    assert toxicity.fitting([50, 30, 5], [1, 1, 0], 20) == [1, 2]
+
+
 # --- url rules
 
 
