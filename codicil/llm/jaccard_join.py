@@ -36,7 +36,12 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def coarse(counts: np.ndarray) -> np.ndarray:
     """Count vectors of COARSE coordinates: the bound over them is weaker, so it excludes no more."""
-    return counts.reshape(len(counts), COARSE, -1).sum(axis=2, dtype=np.uint16)
+    return narrow(counts.reshape(len(counts), COARSE, -1).sum(axis=2, dtype=np.uint32))
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits if all fit, else in 32."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32)
 
 
 def kept_pairs(a: np.ndarray, b: np.ndarray, counts_a: np.ndarray, sizes_a: np.ndarray, counts_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
@@ -123,7 +128,7 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             total = np.zeros(len(sizes), np.uint64)
             np.add.at(total, text, mix64(h ^ np.uint64(0xA5A5A5A5)))
             node = mix64(total + sizes.astype(np.uint64)).view(np.int64)
-            counts = np.bincount(text * GROUPS + (h >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype(np.uint16)
+            counts = np.bincount(text * GROUPS + (h >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
             signed = h.view(np.int64)
             spot = np.minimum(np.searchsorted(last, signed), max(0, len(last) - 1))
             rank = (last[spot] == signed) if len(last) else np.zeros(len(h), bool)
@@ -137,7 +142,7 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(signed[chosen]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix, pa.array([c.tobytes() for c in counts], pa.binary()),
+                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix, pa.array([narrow(c).tobytes() for c in counts], pa.binary()),
                     pa.array([fine[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
                 ],
                 names=["doc_id", "n", "node", "prefix", "counts", "fine"],
@@ -145,7 +150,11 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
 
 
 def vectors(counts: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(counts.to_pylist()), np.uint16).reshape(-1, GROUPS)
+    """Count vectors from their bytes: 16 bits a count, or 32 in rows that `narrow` left wide."""
+    rows = counts.to_pylist()
+    if all(len(r) == 2 * GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, np.uint16 if len(r) == 2 * GROUPS else np.uint32).astype(np.uint32) for r in rows])
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,18 @@ def test_blocks_in_slices_lose_no_pair():
     assert want and got == want
 
 
+@pytest.mark.parametrize("most", [17_188, 70_000])
+def test_counts_of_huge_sets_do_not_wrap(most):
+    counts = np.full((3, jaccard_join.GROUPS), most, np.int64)
+    assert (jaccard_join.coarse(counts) == 4 * most).all()
+    rows = pa.array([jaccard_join.narrow(c).tobytes() for c in [*counts, counts[0] // most]], pa.binary())
+    assert jaccard_join.vectors(rows).tolist() == [*counts.tolist(), [1] * jaccard_join.GROUPS]
+    sizes, node = counts.sum(1), np.arange(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (node * 0, node * 0 + 2, node, sizes, node)] + [rows.slice(0, 3)], names=["route", "side", "node", "n", "root", "counts"])
+    got = {(a, b) for out in jaccard_join.join_blocks(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert got == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
