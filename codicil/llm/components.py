@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from codicil.llm.common import discard, lookup, stored
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """Rows (node, root) of every node with a link: root is the smallest node of its component.
 
     Each step replaces links by links to the smallest neighbour; nodes with very many links are looked up apart, so none
-    of them makes one task large. Ends when a step changes nothing. An empty table gives no rows.
+    of them makes one task large. Ends when a step changes nothing; raises if `rounds` steps, where given, don't get so far.
+    An empty table gives no rows.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "edges")
-    mark = None
-    for _ in range(rounds):
+    mark, done = None, 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"the components still change after {rounds} rounds")
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         total = edges.count()

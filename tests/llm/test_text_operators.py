@@ -123,6 +123,12 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_that_still_change_are_no_result(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(links, rounds=1)
+
+
 # --- repeated passages
 
 
