@@ -237,8 +237,19 @@ def judge_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield group_batch(KNOWN, *merged(doc[again], k[again], starts[again], starts[again]))
 
 
-def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the covered bytes out of batches (doc_id, k, text, runs, and columns to hand on)."""
+def whole_characters(covered: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """`covered` with all bytes of characters that it covers in part; texts begin at `starts`."""
+    lead = (data & 0xC0) != 0x80
+    lead[starts] = True
+    number = np.cumsum(lead) - 1
+    return (np.bincount(number, covered) > 0)[number] if len(data) else covered
+
+
+def remove(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Take the covered bytes out of batches (doc_id, k, text, runs, and columns to hand on).
+
+    With `whole`, `kept` also lacks the other bytes of characters that a cut goes through.
+    """
     for batch in batches:
         runs = batch.column(3)
         edges = runs.offsets.to_numpy()
@@ -257,8 +268,10 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins[1:] &= ~covered[:-1]
             begins[at[:-1][sizes > 0]] = covered[at[:-1][sizes > 0]]
             spans = np.r_[0, np.cumsum(begins)]
-            data = np.frombuffer(b"".join(texts), np.uint8)[~covered].tobytes()
-            kept_at = at - total[at]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            gone = whole_characters(covered, data, at[:-1][sizes > 0]) if whole else covered
+            data = data[~gone].tobytes()
+            kept_at = at - np.r_[0, np.cumsum(gone)][at]
             columns = [
                 *[c.slice(a, b - a) for c in (batch.column(0), *batch.columns[4:])], pa.array(sizes), pa.array(np.diff(total[at])), pa.array(np.diff(spans[at])),
                 pa.array([data[x:y] for x, y in zip(kept_at[:-1], kept_at[1:], strict=True)], pa.binary()),
@@ -279,7 +292,7 @@ def numbered(base: DataFrame) -> tuple[DataFrame, bool]:
     return met.withColumn("k", F.coalesce(F.array_position("all", F.col("digest")).cast("int"), F.lit(0))).drop("digest", "all"), True
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Remove each byte of every text that a passage of `LENGTH` bytes covers which also starts earlier.
 
     Earlier: in a smaller doc_id, or at an earlier start of the same text; passages may overlap, never cross texts, and
@@ -312,5 +325,5 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     no_runs = F.expr("filter(array(named_struct('lo', 0L, 'hi', 0L)), x -> false)")
     met = base.join(runs, ["doc_id", "k"], "left").select("doc_id", "k", "text", F.coalesce("runs", no_runs).alias("runs"), *carry)
     more = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in carry)
-    out = met.mapInArrow(remove, f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, kept binary")
+    out = met.mapInArrow(lambda b: remove(b, whole), f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *carry)

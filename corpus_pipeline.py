@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes that came before; texts of which nothing is left go. Cut characters go whole."""
-    cut = repeats.remove_repeats(docs, carry=["lang", "source"]).filter("n_removed = 0 or n_removed < n_bytes")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    cut = repeats.remove_repeats(docs, carry=["lang", "source"], whole=True).filter("n_removed = 0 or length(kept) > 0")
+    text = F.col("kept").cast("string")
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

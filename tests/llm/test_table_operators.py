@@ -109,3 +109,27 @@ def test_pipeline_stages(spark):
     assert mixed.columns == p.COLUMNS and mixed.join(cut, "doc_id", "left_anti").count() == 0
     out = p.encode(spark, mixed, DATA)
     assert out.count() == mixed.count() and out.filter("not round_trip").count() == 0 and out.filter("size(ids) <> n_tokens").count() == 0
+
+
+def test_repeats_stage_cuts_characters_whole_and_leaves_the_rest(spark):
+    import corpus_pipeline as p
+
+    again = "é漢" * 30 + "z"
+    texts = ["a\ufffdb", "\ufffd" + again + "é", "\ufffdé" + again + "è\ufffd", "", again[1:101]]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.drop_repeats(spark, docs, DATA).collect()}
+    first = texts[1].encode()
+    want = {}
+    for i in (0, 1, 2, 3):
+        data, gone, before = texts[i].encode(), set(), texts[1].encode() if i == 2 else b""
+        for k in range(len(data) - 99):
+            seen = data[k : k + 100]
+            if seen in before or data.find(seen) < k:
+                gone |= set(range(k, k + 100))
+        at, out = 0, ""
+        for c in texts[i]:
+            out += "" if gone & set(range(at, at + len(c.encode()))) else c
+            at += len(c.encode())
+        want[i] = (out, len(out))
+    assert want[0] == ("a\ufffdb", 3) and "\ufffd" in want[2][0] and len(first) > 100
+    assert got == want
