@@ -34,7 +34,7 @@ def first_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def refined(buckets: np.ndarray, offset: int) -> np.ndarray:
-    """Buckets sorted apart by the bucket at a later offset: identifiers of twice as many bytes.
+    """Buckets told apart by the bucket at a later offset, mixed in by a hash: identifiers of twice as many bytes.
 
     The refined identifiers are themselves what the next refinement reads at its later offset.
     """
