@@ -257,8 +257,8 @@ def fitting(sizes: list[int], labels: list[int], most: int) -> list[int]:
     return sorted(kept)
 
 
-def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
-    """The bounded sample of labelled rows that the model is fitted on. Documents labelled both ways count as toxic.
+def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame | None:
+    """The bounded sample (order, toxic, text) of labelled rows that the model is fitted on; None if a label has no text. Documents labelled both ways count as toxic.
 
     Rows with the same doc_id and text count once. Warns if a label of the table has no row in the sample.
     """
@@ -276,24 +276,38 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[str],
         if not marked.filter(F.col("toxic") == v).isEmpty():
             logging.getLogger(__name__).warning("no text has a label toxic = %d, though the labels hold such rows; nothing will be flagged", v)
     if missing or not rows:
-        return [], np.zeros(0, np.int64)  # one label alone teaches nothing
+        return None  # one label alone teaches nothing
     kept = [rows[i] for i in fitting([r["n"] for r in rows], [r["toxic"] for r in rows], s.sample_chars)]
     keys = docs.sparkSession.createDataFrame([(r["order"], r["digest"]) for r in kept], "order string, digest string")
-    texts = found.join(F.broadcast(keys), ["order", "digest"]).groupBy("order", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).collect()
-    texts.sort(key=lambda r: (r["order"], r["text"]))
-    return [r["text"] for r in texts], np.array([r["toxic"] for r in texts], np.int64)
+    texts = found.join(F.broadcast(keys), ["order", "digest"]).groupBy("order", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return texts.select("order", F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def fitted(texts: DataFrame | None, s: Settings) -> tuple[np.ndarray, float, float]:
+    """`fit` over the bounded sample, in one task, so that its arrays take no memory of the driver."""
+    if texts is None:
+        return fit([], np.zeros(0, np.int64), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((o, t, y) for b in batches for o, y, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        odds, bias, cut = fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64), s)
+        yield pa.RecordBatch.from_arrays([pa.array([odds.astype("<f4").tobytes()], pa.binary()), pa.array([bias]), pa.array([cut])], names=["odds", "bias", "cut"])
+
+    row = texts.repartition(1).mapInArrow(run, "odds binary, bias double, cut double").first()
+    return np.frombuffer(row["odds"], "<f4"), row["bias"], row["cut"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, carry: list[str] | None = None) -> DataFrame:
     """Score every whole text of `docs` (doc_id, text) for toxicity as marked by `labels` (doc_id, toxic).
 
     Learns only from rows whose crc32(doc_id) mod 3 is not 1. Returns doc_id, held_out, score (0 to 1), predicted (1 from
-    0.7). Null and empty texts are scored by the bias alone; rows with equal texts get equal scores; without labels of
+    0.7). Null and empty texts are scored by the bias alone; null
+    doc_ids are not held out, nor learned from; rows with equal texts get equal scores; without labels of
     both kinds nothing is flagged; an empty table gives no rows. Columns named in `carry` are handed on, others ignored.
     """
     s = settings or Settings()
     base = docs.select("doc_id", "text")
-    odds, bias, cut = fit(*sample(base, labels, s), s)
+    odds, bias, cut = fitted(sample(base, labels, s), s)
     shared = docs.sparkSession.sparkContext.broadcast(odds)  # one number for each bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,5 +316,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     own = docs.select("doc_id", *(carry or []), F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     out = own.mapInArrow(run, schema + ", score double")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"), *(carry or []))

@@ -124,9 +124,31 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_components_that_still_change_are_no_result(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(8)
     with pytest.raises(RuntimeError):
-        components(links, rounds=1)
+        components(links, rounds=0)
+
+
+def test_components_of_random_links_over_many_partitions(spark):
+    rng = np.random.default_rng(4)
+    links = np.concatenate([rng.integers(0, 3000, (1400, 2)), np.column_stack([np.full(300, 5000), rng.integers(5001, 6000, 300)]), np.column_stack([np.arange(7000, 7400), np.arange(7001, 7401)])])
+    want = {}
+    for a, b in links.tolist():
+        want.setdefault(a, {a}), want.setdefault(b, {b})
+        if want[a] is not want[b]:
+            want[a] |= want[b]
+            for k in list(want[a]):
+                want[k] = want[a]
+    rows = [tuple(r) for r in links.tolist()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = components(spark.createDataFrame(rows + [(r[1], r[0]) for r in rows[:50]], "a long, b long").repartition(24)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    linked = {k for r in rows if r[0] != r[1] for k in r}
+    assert sorted((r.node, r.root) for r in got) == sorted((k, min(want[k])) for k in linked)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # --- repeated passages
@@ -337,10 +359,10 @@ def test_a_long_labelled_text_does_not_end_the_sample(spark):
     toxic = {*own[1:200:4]}
     rows = [(i, "word " * (2000 if i == own[2] else 4)) for i in range(400)]
     docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
-    texts, marks = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=8000))
-    assert len(texts) == len(own) - 1 and marks.sum() == len(toxic)
-    texts, marks = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=1000))
-    assert sum(map(len, texts)) <= 1000 and marks.sum() == 25 and len(marks) == 50
+    rows = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=8000)).collect()
+    assert len(rows) == len(own) - 1 and sum(r.toxic for r in rows) == len(toxic)
+    rows = toxicity.sample(docs, labels, toxicity.Settings(sample_chars=1000)).collect()
+    assert sum(len(r.text) for r in rows) <= 1000 and sum(r.toxic for r in rows) == 25 and len(rows) == 50
     assert toxicity.fitting([50, 30, 5], [1, 1, 0], 20) == [1, 2]
 
 
