@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import discard, documents, lookup, small_batches, stored
+from codicil.llm.common import discard, documents, small_batches, stored
 from codicil.llm.components import components
 from codicil.llm.repeats import chunks
 from codicil.llm.shingles import in_order, shingle_sets
@@ -264,47 +264,49 @@ def closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def routed(pairs: DataFrame) -> DataFrame:
     """Roles (route, center, node) of pairs (a, b): a center's partners are split into routes of about 256."""
-    width = stored(pairs.groupBy("a").agg(F.count("*").alias("m")), "width").withColumn("s", F.ceil(F.col("m") / 256).cast("int"))
-    sliced = lookup(pairs, width, "a", "m", pairs.count())
-    member = sliced.select(F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("slice"))
+    width = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("s"))
+    member = pairs.join(width, "a").select(F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("slice"))
     own = width.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("slice"))
     return member.unionByName(own).select(F.xxhash64("center", "slice").alias("route"), "center", "node")
 
 
-def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that lie in different components; nodes that `roots` lacks are components of their own."""
-    by_a = pairs.groupBy("a").agg(F.count("*").alias("m")).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
-    met = lookup(pairs, stored(by_a, "by-a"), "a", "m", pairs.count()).select("a", "b", "root_a")
-    met = met.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    return met.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int, links: DataFrame | None = None) -> DataFrame:
-    """Links among the pairs (a, b), and `links`, enough of them to give the components of all.
-
-    First the bound over fine groups, then the texts of what is left. Texts are fetched for one partner of each node, then
-    for 32, then for all; pairs whose components the links so far have joined need no test.
-    """
+def near_pairs(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Of the pairs (a, b), each once, those that the bound over fine groups leaves."""
     pairs = stored(pairs.distinct(), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
     near = stored(fine.repartition(parts, "route").mapInArrow(closer, "a long, b long"), "near")
     discard(pairs)
-    for most in (1, 32, None):  # partners of a node in this turn; the last takes all that are left
-        if near.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-        one = stored(near if most is None else near.withColumn("k", place).filter(F.col("k") <= most).select("a", "b"), "one")
-        # a node's roles: its partners of this turn as a member, its partners / 256 as a center
-        roles = routed(one).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
-        met = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r"))
-        rows = met.select("r.route", "r.center", "r.node", "text")
-        found = rows.repartition(parts, "route").mapInArrow(verify, "a long, b long")
-        links = stored(found if links is None else links.unionByName(found), "links")
-        if most is None:
-            break
-        left = near.join(one, ["a", "b"], "left_anti")
-        near = stored(across(stored(left, "left"), stored(components(links), "roots")), "near")
-    return links if links is not None else stored(near, "links")
+    return near
+
+
+def tested(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
+    """Links among the pairs (a, b), from their texts."""
+    # a node's roles: its partners as a member, its partners / 256 as a center
+    roles = routed(pairs).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
+    rows = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
+    return rows.repartition(parts, "route").mapInArrow(verify, "a long, b long")
+
+
+def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Components (node, root) of the links, and of `roots` where given."""
+    if roots is not None:
+        links = links.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return stored(components(links), "roots")
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that lie in different components, with these; nodes that `roots` lacks are components of their own."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.filter("root_a <> root_b")
+
+
+def met_once(left: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
+    """`roots` after the smallest pair of each two components among the rows of `across` has been tested."""
+    if left.isEmpty():
+        return roots
+    least = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    return joined(tested(least, nodes, base, parts), roots)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -327,27 +329,27 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
     sets = stored(base.mapInArrow(lambda b: describe(b, last.value), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary"), "sets")
-    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"), F.count("*").alias("m"))
-    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine"), "m"), "nodes")
-    token = nodes.select(F.explode("prefix").alias("token"), "node", "n")
+    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"))
+    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine")), "nodes")
+    token = nodes.select(F.explode("prefix").alias("token"), "node")
     blocks = token.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1")
-    n_tokens = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    blocks = stored(blocks, "blocks")
-    shared = stored(lookup(token, blocks, "token", "size", n_tokens).filter("low is not null"), "shared")
+    shared = stored(token.join(blocks, "token"), "shared")
     # first round: the smallest node of a block with all others
-    star = shared.filter("node <> low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.first("n").alias("n_b"))
-    star = stored(star, "star")
-    wide = star.groupBy("a").agg(F.count("*").alias("m")).join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a")), "a")
-    star = lookup(star, wide, "a", "m", star.count()).filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    star = star.join(nodes.select(F.col("node").alias("b"), F.col("counts").alias("counts_b")), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
-    links = verified(star.mapInArrow(bounded, "a long, b long"), nodes, base, parts)
-    first = stored(components(links), "roots")
+    star = shared.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
+    star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes, parts)
+    # each node with one partner, then one pair of each two components that are still apart
+    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = joined(tested(one, nodes, base, parts), None)
+    left = stored(across(star.join(one, ["a", "b"], "left_anti"), first), "left")
+    first = met_once(left, first, nodes, base, parts)
     # second round: blocks with several components
     rooted = nodes.join(first, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
     open_rows = shared.filter("size > 2").join(rooted.select("node", "root"), "node")
     mixed = open_rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 <> r1")
-    mixed = stored(mixed.select("token", "members", F.ceil(F.col("members") / SLICE).cast("int").alias("slices")), "mixed")
-    rows = lookup(open_rows.select("token", "node"), mixed, "token", "members", n_tokens).filter("members is not null")
+    mixed = mixed.select("token", F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
+    rows = open_rows.select("token", "node").join(mixed, "token")
     mine = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     # a slice meets itself (side 2) and, as points, each later slice (side 1)
     others = F.transform(
@@ -356,12 +358,17 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
-    more = verified(dealt.repartition(parts, "route").mapInArrow(join_blocks, "a long, b long"), nodes, base, parts, links)
-    roots = stored(components(more), "components")
-    found = nodes.join(roots, "node", "left").select("node", "first_doc", "m", F.coalesce("root", "node").alias("root"))
-    size = stored(found.groupBy("root").agg(F.min("first_doc").alias("component"), F.count("*").alias("members")), "lowest")
-    found = lookup(found, size, "root", "members", found.count()).select("node", "component", "m")
-    out = lookup(sets.select("doc_id", "n", "node"), stored(found, "found"), "node", "m", sets.count())
+    more = near_pairs(dealt.repartition(parts, "route").mapInArrow(join_blocks, "a long, b long"), nodes, parts)
+    left = stored(across(more.unionByName(left.select("a", "b")), first), "left")
+    roots = met_once(left, first, nodes, base, parts)
+    # last, all pairs whose components are still apart
+    left = stored(across(left.select("a", "b"), roots).select("a", "b").distinct(), "left")
+    if not left.isEmpty():
+        roots = joined(tested(left, nodes, base, parts), roots)
+    found = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
+    lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))
+    found = found.join(lowest, "root").select("node", "component")
+    out = sets.select("doc_id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     back = lambda c: F.when(c != none, c)
     return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
