@@ -12,11 +12,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.words import by_length, mix64
+from codicil.llm.words import Remembered, by_length, mix64
 
 SPACE = "▁"  # stands for a space in pieces
 UNKNOWN_PENALTY = 10.0
 CHUNK = 8_000_000  # characters encoded at a time, or one text
+STRETCH = 4096  # ends of a word whose candidate pieces are looked up at a time
+REMEMBERED = 500_000  # pairs of pieces whose answer is kept
+NEVER = np.iinfo(np.int32).max
+
+
+class Merges:
+    """How the pieces of a model of merge ranks are put together, to tell which two pieces can stand side by side.
+
+    Merging takes, again and again, the pair of neighbours whose joint string is the piece of lowest rank, the leftmost of
+    equals. A row of pieces is what merging makes of a text if that holds for every two neighbours of the row; and two
+    pieces stay apart if no pair across their border would have been merged while both of its sides were there.
+    """
+
+    def __init__(self, rank: np.ndarray):
+        self.rank = rank  # of each piece, -1 for characters
+        self.left, self.right = np.full(len(rank), -1, np.int32), np.full(len(rank), -1, np.int32)
+        self.pairs, self.joint = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known: dict[int, bool] = {}
+
+    def joint_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the piece that x and y make together, NEVER if none."""
+        key = x.astype(np.int64) * len(self.rank) + y
+        if not len(self.pairs):
+            return np.full(len(key), NEVER, np.int32)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.joint[at], NEVER)
+
+    def apart(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether pieces x[i], y[i] in a text of the two are left as they are by merges of ranks below limit[i].
+
+        Walks back in time: of the two pieces at the border the one that was made later is taken apart, until both are
+        characters. `until_x` and `until_y` are the ranks at which a side goes on into the next piece of its own.
+        """
+        good = np.ones(len(x), bool)
+        until_x = np.full(len(x), NEVER, np.int32) if limit is None else limit.copy()
+        until_y, live = until_x.copy(), np.arange(len(x))
+        while len(live):
+            joint = self.joint_rank(x, y)
+            bad = (joint < until_x) & (joint <= until_y)
+            good[live[bad]] = False
+            rx, ry = self.rank[x], self.rank[y]
+            some = np.flatnonzero(~bad & ((rx >= 0) | (ry >= 0)))
+            live, x, y, until_x, until_y, rx, ry = (v[some] for v in (live, x, y, until_x, until_y, rx, ry))
+            first = rx > ry
+            x, until_x, y, until_y = np.where(first, self.right[x], x), np.where(first, rx, until_x), np.where(first, y, self.left[y]), np.where(first, until_y, ry)
+        return good
+
+    def neighbours(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """`apart` without a limit; answers are remembered."""
+        pair, which = x.astype(np.int64) * len(self.rank) + y, slice(None)
+        if len(pair) > 64:
+            pair, which = np.unique(pair, return_inverse=True)
+        keys = pair.tolist()
+        new = [k for k in keys if k not in self.known]
+        if new:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = keys
+            asked = np.array(new, np.int64)
+            self.known.update(zip(new, self.apart(asked // len(self.rank), asked % len(self.rank)).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, keys), bool, len(keys))[which]
+
+    def add(self, whole: np.ndarray, splits: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Pieces of one length, after all shorter ones: where each can be cut into two pieces (-1: not pieces), the cut whose
+        sides stay apart until the piece's own rank made it. Pieces without one can't come about, and get no sides."""
+        pairs, joint = [], []
+        for x, y in splits:
+            some = np.flatnonzero((x >= 0) & (y >= 0))
+            some = some[(self.left[x[some]] >= 0) | (self.rank[x[some]] < 0)]
+            some = some[(self.left[y[some]] >= 0) | (self.rank[y[some]] < 0)]
+            who = whole[some]
+            pairs.append(x[some].astype(np.int64) * len(self.rank) + y[some])
+            joint.append(self.rank[who])
+            good = self.apart(x[some], y[some], self.rank[who])
+            self.left[who[good]], self.right[who[good]] = x[some][good], y[some][good]
+        pairs, joint = np.concatenate([self.pairs, *pairs]), np.concatenate([self.joint, *joint])
+        order = np.argsort(pairs)
+        self.pairs, self.joint = pairs[order], joint[order]
 
 
 @dataclass
@@ -31,6 +109,8 @@ class Pieces:
     raw: pa.Array  # bytes of each id, spaces being spaces
     first_byte: int  # id of byte 0
     unknown: float  # score of a character that has no piece
+    merges: Merges | None  # where the scores are merge ranks
+    seen: Remembered | None = None
 
 
 def substring_keys(points: np.ndarray, longest: int) -> np.ndarray:
@@ -46,10 +126,32 @@ def substring_keys(points: np.ndarray, longest: int) -> np.ndarray:
     return keys
 
 
+def probe(keys: np.ndarray, sorted_keys: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """Where each key is among the sorted ones, -1 if it is not."""
+    flat = keys.ravel()
+    some = np.flatnonzero(maybe[flat >> np.uint64(44)])
+    found = np.minimum(np.searchsorted(sorted_keys, flat[some]), len(sorted_keys) - 1)
+    good = sorted_keys[found] == flat[some]
+    spot = np.full(keys.shape, -1, np.int32)
+    spot.ravel()[some[good]] = found[good]
+    return spot
+
+
+def merge_tree(names: list[str], keys: np.ndarray, maybe: np.ndarray, rank: np.ndarray) -> Merges:
+    """`Merges` of pieces in the order of their keys."""
+    merges = Merges(rank)
+    for who, points in by_length(names):
+        length = points.shape[1]
+        if length > 1:
+            spot = probe(substring_keys(points, length), keys, maybe)
+            merges.add(who, [(spot[:, 0, i - 1], spot[:, i, length - i - 1]) for i in range(1, length)])
+    return merges
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
-    """Read the model file. Scores of merge ranks become log-probabilities of Zipf's law, ln(1 / (rank + 10)), so that the
-    best path does not prefer many early pieces to one later piece; scores of unigram models stay as they are."""
+    """Read the model file. Where its scores are merge ranks, only rows of pieces that merging makes are paths, all worth the
+    same, so the one path of a text has the library's ids; scores of unigram models are summed."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,60 +165,72 @@ def load(path: str) -> Pieces:
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             raw.append(b"")
         else:
-            raw.append(piece.replace(SPACE, " ").encode())
+            piece = piece.replace(SPACE, " ")
+            raw.append(piece.encode())
             names.append((piece, i))
             scores.append(model.get_score(i))
-    scores = np.array(scores)
-    if np.array_equal(scores, np.round(scores)):  # merge ranks
-        scores = -np.log(-scores + 10.0)
+    ranks = bool(scores) and np.array_equal(scores, np.round(scores))
+    if ranks:  # characters that only longer pieces hold take part in merges, but have no id
+        scores += [0.0] * len(lone := sorted({c for n, _ in names for c in n} - {n for n, _ in names}))
+        names += [(c, -1) for c in lone]
     keys = np.zeros(len(names), np.uint64)
     for who, points in by_length([n for n, _ in names]):
         keys[who] = substring_keys(points, points.shape[1])[:, 0, -1]
     order = np.argsort(keys)
+    keys, scores, ids = keys[order], np.array(scores)[order], np.array([i for _, i in names], np.int32)[order]
+    names = [names[i][0] for i in order]
     maybe = np.zeros(1 << 20, bool)
     maybe[keys >> np.uint64(44)] = True
-    return Pieces(
-        keys[order], maybe, np.array([i for _, i in names], np.int32)[order], scores[order], max(len(p) for p, _ in names),
-        pa.array(raw, pa.binary()), first_byte, float(scores.min()) - UNKNOWN_PENALTY,
-    )
+    merges = None
+    if ranks:
+        merges = merge_tree(names, keys, maybe, np.where([len(n) > 1 for n in names], -scores, -1).astype(np.int32))
+    p = Pieces(keys, maybe, ids, scores, max(map(len, names)), pa.array(raw, pa.binary()), first_byte, float(scores.min()) - UNKNOWN_PENALTY, merges)
+    p.seen = Remembered(lambda words: encode_words(words, p))
+    return p
 
 
 def best_paths(points: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Viterbi over words of one length, all at once: ids of the best pieces in order, word after word, and their counts.
 
     At each end the candidates are the pieces ending there; the first maximum (the shortest last piece) wins ties. A
-    character without a piece has id -1 - code point, to be spelled in bytes.
+    character without a piece has id -1 - code point, to be spelled in bytes. Pieces are looked up for `STRETCH` ends at a
+    time, so that a word of any length takes a few bytes for each of its characters.
     """
     n, length = points.shape
-    keys = substring_keys(points, p.longest)
-    flat = keys.ravel()
-    some = np.flatnonzero(p.maybe[flat >> np.uint64(44)])
-    found = np.minimum(np.searchsorted(p.keys, flat[some]), len(p.keys) - 1)
-    some, found = some[p.keys[found] == flat[some]], found[p.keys[found] == flat[some]]
-    spot = np.full(keys.shape, -1, np.int32)
-    spot.ravel()[some] = found
-    worth = np.full(keys.shape, -np.inf)
-    worth.ravel()[some] = p.scores[found]
-    lone = spot[:, :, 0] < 0
-    worth[:, :, 0] = np.where(lone, p.unknown, worth[:, :, 0])
-    best = np.full((n, length + 1), -np.inf)
+    longest = min(p.longest, length)
+    row = np.arange(n)
+    best = np.full((n, longest + 1), -np.inf)  # of the last ends, end e in column e % (longest + 1)
     best[:, 0] = 0
-    back = np.zeros((n, length + 1), np.int32)
-    for end in range(1, length + 1):
-        sizes = np.arange(1, min(end, worth.shape[2]) + 1)
-        value = best[:, end - sizes] + worth[:, end - sizes, sizes - 1]
-        pick = np.argmax(value, axis=1)
-        back[:, end] = sizes[pick]
-        best[:, end] = value[np.arange(n), pick]
+    last = np.full((n, length + 1), -1, np.int32)  # the piece before each end; -1: a character without one
+    back = np.zeros((n, length + 1), np.int16)
+    for block in range(0, length, STRETCH):
+        low, high = max(0, block + 1 - longest), min(length, block + STRETCH)
+        spot = probe(substring_keys(points[:, low:high], longest), p.keys, p.maybe)
+        for end in range(block + 1, high + 1):
+            sizes = np.arange(1, min(end, longest) + 1)
+            piece = spot[:, end - sizes - low, sizes - 1]
+            value = best[:, (end - sizes) % (longest + 1)]
+            if p.merges is None:
+                value = np.where(piece >= 0, value + p.scores[piece], -np.inf)
+                value[:, 0] = np.where(piece[:, 0] >= 0, value[:, 0], best[:, (end - 1) % (longest + 1)] + p.unknown)
+            else:
+                value[:, 1:][(piece[:, 1:] < 0) | (p.merges.left[piece[:, 1:]] < 0)] = -np.inf
+                before = last[:, end - sizes]
+                r, c = np.nonzero((value > -np.inf) & (piece >= 0) & (before >= 0))
+                bad = ~p.merges.neighbours(before[r, c], piece[r, c])
+                value[r[bad], c[bad]] = -np.inf
+            pick = np.argmax(value, axis=1)
+            back[:, end] = sizes[pick]
+            best[:, end % (longest + 1)] = value[row, pick]
+            last[:, end] = piece[row, pick]
     ids = np.zeros((n, length), np.int64)
-    at, row = np.full(n, length), np.arange(n)
-    counts = np.zeros(n, np.int64)
+    at, counts = np.full(n, length), np.zeros(n, np.int64)
     while len(row):
-        step = back[row, at]
+        step, piece = back[row, at], last[row, at]
         start = at - step
-        one = np.where((step == 1) & lone[row, start], -1 - points[row, start].astype(np.int64), p.ids[spot[row, start, step - 1]])
+        one = np.where(piece < 0, -1, p.ids[piece]).astype(np.int64)
         counts[row] += 1
-        ids[row, length - counts[row]] = one
+        ids[row, length - counts[row]] = np.where(one < 0, -1 - points[row, start].astype(np.int64), one)
         row, at = row[start > 0], start[start > 0]
     return ids[np.arange(length)[None, :] >= length - counts[:, None]], counts
 
@@ -138,7 +252,7 @@ def in_bytes(ids: np.ndarray, counts: np.ndarray, p: Pieces) -> tuple[np.ndarray
 
 
 def encode_words(words: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each word, word after word, and where each word begins (one entry more than words)."""
+    """Ids of each word, word after word, and how many each has."""
     counts = np.zeros(len(words), np.int64)
     groups = []
     for who, points in by_length(words):
@@ -151,41 +265,32 @@ def encode_words(words: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(edges[-1], np.int32)
     for who, ids, n in groups:
         flat[np.repeat(edges[who] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(len(ids))] = ids
-    return flat, edges
+    return flat, counts
 
 
 def cut_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as numbers, and the words of each text.
 
-    A text gets a space in front, unless empty; its spaces become `SPACE`; a word is a run of spaces and the run of other
-    characters after it. No piece holds a space after another character, so paths of words join to the path of the text.
+    A text gets a space in front, unless empty; a word is a run of spaces and the run of other characters after it. No
+    piece holds a space after another character, so paths of words join to the path of the text.
     """
-    marked = pa.array([(" " + t).replace(" ", SPACE) if t else "" for t in texts], pa.large_string())
-    data = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
-    edges = np.r_[0, np.cumsum(lengths)]
-    space = data == ord(SPACE)
+    marked = pa.array([" " + t.replace(SPACE, " ") if t else "" for t in texts], pa.large_string())
+    edges = np.frombuffer(marked.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[: edges[-1]]
+    space = data == 32
     begin = space.copy()
     begin[1:] &= ~space[:-1]
-    begin[edges[:-1][lengths > 0]] = True
+    begin[edges[:-1][np.diff(edges) > 0]] = True
     starts = np.flatnonzero(begin)
-    # UTF-8 offsets of the words
-    width = 1 + (data >= 0x80).astype(np.int64) + (data >= 0x800) + (data >= 0x10000)
-    at = np.r_[0, np.cumsum(width)]
-    blob = pa.py_buffer("".join(marked.to_pylist()).encode("utf-8", "surrogatepass"))
-    offsets = np.ascontiguousarray(at[np.r_[starts, len(data)]], np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), blob]).dictionary_encode()
-    per = np.diff(np.searchsorted(starts, edges))
-    return words.dictionary.to_pylist(), words.indices.to_numpy(), per
+    offsets = np.ascontiguousarray(np.r_[starts, len(data)], np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), marked.buffers()[2] or pa.py_buffer(b"")]).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), np.diff(np.searchsorted(starts, edges))
 
 
 def encode(texts: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and where each text begins (one entry more than texts)."""
     words, tokens, per = cut_words(texts)
-    flat, edges = encode_words(words, p)
-    sizes = np.diff(edges)[tokens]
-    at = np.r_[0, np.cumsum(sizes)]
-    ids = flat[np.repeat(edges[:-1][tokens] - at[:-1], sizes) + np.arange(at[-1])]
+    ids, at = p.seen.ids(words, tokens)
     return ids, at[np.r_[0, np.cumsum(per)]]
 
 
@@ -202,7 +307,8 @@ def round_trip(docs: DataFrame, path: str, more: list[str] | None = None, with_i
     """Encode every whole text, decode the ids, and report: doc_id, n_tokens, n_words, ids_crc32 (ids as little-endian unsigned
     32-bit integers), n_chars and text_crc32 of the decoded text, round_trip (it equals the text), and with `with_ids` the ids.
 
-    Null and empty texts have no tokens. A row with characters no piece covers is spelled in bytes there. Repeated rows
+    Ids are those of the SentencePiece library where the model has merge ranks. Null and empty texts have no tokens; texts
+    and words of any length are encoded whole, in memory that grows with the longest text. A row with characters no piece covers is spelled in bytes there. Repeated rows
     are reported each; an empty table gives no rows; columns other than doc_id, text and `more` are ignored.
     """
     more = [c for c in (more or []) if c in docs.columns]

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CACHED = 800_000  # distinct pieces kept between batches
+from codicil.llm.words import Remembered
 
 
 def safe_pieces(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -66,21 +66,17 @@ class Encoder:
             raise ValueError("an added token depends on what stands beside it")
         self.added = added  # their strings in a text are one id each, the longest at the first place
         self.any_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.cache: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.edges = np.zeros(1, np.int64)
+        self.seen = Remembered(self.learn)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new pieces and append their ids."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many each has."""
         ids, counts = [], []
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(found.ids, np.int32))
             counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
-        self.cache.update(zip(words, range(len(self.edges) - 1, len(self.edges) - 1 + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.edges = np.r_[self.edges, self.edges[-1] + np.cumsum(np.concatenate(counts))]
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins (one entry more than texts)."""
@@ -97,16 +93,7 @@ class Encoder:
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As `encode`, for texts without added tokens."""
         pieces, per = safe_pieces(texts)
-        words = pieces.dictionary.to_pylist()
-        if len(self.cache) > CACHED:
-            self.cache, self.flat, self.edges = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        new = [w for w in words if w not in self.cache]
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))[pieces.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        sizes = np.diff(self.edges)[number]
-        at = np.r_[0, np.cumsum(sizes)]
-        ids = self.flat[np.repeat(self.edges[:-1][number] - at[:-1], sizes) + np.arange(at[-1])]
+        ids, at = self.seen.ids(pieces.dictionary.to_pylist(), pieces.indices.to_numpy())
         return ids, at[np.r_[0, np.cumsum(per)]]
 
 

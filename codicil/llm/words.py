@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,3 +43,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class Remembered:
+    """Ids of words, those of words seen lately being kept: `learn` gives the ids of new words in a row, and how many each has."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000, most_ids: int = 16_000_000):
+        self.learn, self.most, self.most_ids = learn, most, most_ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.edges = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def ids(self, words: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with the numbers `tokens` in a row, and where each of these begins (one entry more than tokens)."""
+        if len(self.number) > self.most or len(self.flat) > self.most_ids:
+            self.forget()
+        new = [w for w in words if w not in self.number]
+        if new:
+            ids, counts = self.learn(new)
+            self.number.update(zip(new, range(len(self.edges) - 1, len(self.edges) - 1 + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.edges = np.r_[self.edges, self.edges[-1] + np.cumsum(counts)]
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[tokens] if words else np.zeros(0, np.int64)
+        sizes = np.diff(self.edges)[at]
+        edges = np.r_[0, np.cumsum(sizes)]
+        return self.flat[np.repeat(self.edges[:-1][at] - edges[:-1], sizes) + np.arange(edges[-1])], edges

@@ -273,33 +273,50 @@ def test_added_tokens_in_texts_are_one_id(spark):
 # --- piece Viterbi
 
 
-def test_best_paths_equal_a_plain_search():
-    p = pieces.load(queries.public_file("piece_bpe_32k.model", "PIECE_MODEL"))
+def test_ids_equal_the_librarys():
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=queries.public_file("piece_bpe_32k.model", "PIECE_MODEL"))
-    score = {int(i): float(s) for i, s in zip(p.ids, p.scores, strict=True)}
-    known = {model.id_to_piece(i): i for i in score}
-    for text in ["hello world", " two  spaces", "naïve ☃ snow\nline", "a" * 40, "unbelievable▁x"]:
-        marked = (" " + text).replace(" ", "▁")
+    path = queries.public_file("piece_bpe_32k.model", "PIECE_MODEL")
+    p, model = pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(2)
+    names = [model.id_to_piece(i).replace("▁", " ") for i in range(259, model.get_piece_size())]
+    signs = list("ab et\n\tA.1é中☃▁\u0301\u2003") + ["  ", "ing", "😀"]
+    texts = ["", " ", "hello world", " two  spaces", "naïve ☃ snow\nline", "unbelievable▁x", *("a" * n for n in range(1, 40)), *(" " * n for n in range(1, 40)), "x" * 5000]
+    texts += ["".join(names[i] for i in rng.integers(0, len(names), rng.integers(1, 7))) for _ in range(3000)]
+    texts += ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(1, 30))) for _ in range(2000)]
+    ids, edges = pieces.encode(texts, p)
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == model.encode(texts)
+    assert pieces.decode(ids, edges, p) == [t.replace("▁", " ") for t in texts]
+
+
+def test_a_word_longer_than_a_stretch_and_more_pairs_than_are_kept(monkeypatch):
+    import sentencepiece
+
+    path = queries.public_file("piece_bpe_32k.model", "PIECE_MODEL")
+    monkeypatch.setattr(pieces, "STRETCH", 7)
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    p = pieces.load.__wrapped__(path)
+    text = "".join(np.random.default_rng(1).choice(list("abcdefst"), 700))
+    assert pieces.encode([text, text[:30]], p)[0].tolist() == [i for r in sentencepiece.SentencePieceProcessor(model_file=path).encode([text, text[:30]]) for i in r]
+
+
+def test_best_paths_of_summed_scores_equal_a_plain_search():
+    p = pieces.load.__wrapped__(queries.public_file("piece_bpe_32k.model", "PIECE_MODEL"))
+    p.merges, p.scores = None, -np.log(10.0 - p.scores)  # as a unigram model would have them
+    score = {bytes(p.raw[int(i)].as_py()).decode(): float(s) for i, s in zip(p.ids, p.scores, strict=True)}
+    for text in ["hello world", " two  spaces", "naïve ☃ snow\nline", "a" * 40]:
+        marked = " " + text
         best = [0.0] + [-1e18] * len(marked)
         for end in range(1, len(marked) + 1):
             for start in range(max(0, end - p.longest), end):
-                piece = marked[start:end]
-                s = score[known[piece]] if piece in known else (p.unknown if end - start == 1 else None)
-                if s is not None:
-                    best[end] = max(best[end], best[start] + s)
+                worth = score.get(marked[start:end], p.unknown if end - start == 1 else None)
+                if worth is not None:
+                    best[end] = max(best[end], best[start] + worth)
         ids, edges = pieces.encode([text], p)
-        got, i = 0.0, 0
-        while i < len(ids):
-            if int(ids[i]) in score:
-                got, i = got + score[int(ids[i])], i + 1
-            else:  # bytes of one character
-                size = next(k for k in range(1, 5) if (first := int(ids[i]) - p.first_byte) < (0x80, 0xE0, 0xF0, 0x100)[k - 1])
-                got, i = got + p.unknown, i + size
-                del first
-        assert abs(got - best[-1]) < 1e-6
-        assert pieces.decode(ids, edges, p) == [text.replace("▁", " ")]
+        spelled = [i for i in ids.tolist() if p.first_byte <= i < p.first_byte + 256]
+        lone = len(bytes(i - p.first_byte for i in spelled).decode())
+        got = sum(float(p.scores[np.flatnonzero(p.ids == i)[0]]) for i in ids.tolist() if i not in spelled) + lone * p.unknown
+        assert abs(got - best[-1]) < 1e-6 and pieces.decode(ids, edges, p) == [text]
 
 
 def test_pieces_round_trip(spark):
