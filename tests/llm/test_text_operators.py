@@ -209,6 +209,50 @@ def test_hot_buckets_take_another_way_to_the_same_passages(monkeypatch):
     assert removed[1] == removed[10**9] == want
 
 
+def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
+    rows = [(i, t or "") for i, t in repeated_texts(40)]
+    rows += [(2000, "".join(t for _, t in rows)), (2001, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], names=["doc_id", "k", "text"])
+    monkeypatch.setattr(repeats, "CHUNK", 400)
+    passages = {(i + k, at + s, t.encode()[at + s : at + s + 100]) for i, at, part in repeats.stretches([t.encode() for _, t in rows]) for k, x in enumerate(part) for s in range(len(x) - 99) for t in [rows[i + k][1]]}
+    assert passages == {(i, s, t.encode()[s : s + 100]) for i, (_, t) in enumerate(rows) for s in range(len(t.encode()) - 99)}
+    groups = pa.Table.from_batches(list(repeats.find_groups(iter([batch])))).to_pandas()
+    starts = sorted((r.doc_id, s) for r in groups.itertuples() for s in range(r.lo, r.hi + 1))
+    assert starts == sorted((rows[i][0], s) for i, s, _ in passages)  # each passage in one group
+
+
+def test_buckets_are_refined_and_bytes_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(97, 99, 900), np.full(300, 99), rng.integers(97, 99, 20)]).astype(np.uint8)
+    data = np.concatenate([data, data[100:700], data[850:1100]])
+    at = np.arange(len(data) - 99)
+    seen, want = set(), []
+    for i in at:
+        want.append(data[i : i + 100].tobytes() in seen)
+        seen.add(data[i : i + 100].tobytes())
+    assert repeats.repeated(data, at, at).tolist() == want
+    monkeypatch.setattr(repeats, "first_buckets", lambda d: (d > 98).astype(np.uint64))  # q-grams that share their hash
+    assert repeats.repeated(data, at, at).tolist() == want
+
+
+def test_digests_tell_bytes_apart():
+    data = np.frombuffer(bytes(range(200)) * 2 + b"x", np.uint8).copy()
+    begin, end = np.array([0, 200, 0, 1, 0]), np.array([150, 350, 151, 151, 200])
+    first = repeats.digests(data, begin, end)
+    assert first[0] == first[1] and len(set(first.tolist())) == 4
+    data[149] ^= 1
+    assert repeats.digests(data, begin, end)[0] not in first.tolist()
+
+
+def test_repeats_take_clashing_columns(spark):
+    rows = [(1, "a" * 120, "x"), (2, "b" * 120, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    for name in ("k", "runs", "groups", "gram", "n"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = repeats.remove_repeats(docs, carry=["lang"]).collect()
+    assert sorted((r.doc_id, r.n_removed, r.lang) for r in got) == [(1, 119, "x"), (2, 119, None)]
+
+
 def test_repeats_take_empty_tables_null_ids_and_shared_ids(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "q" * 150), (7, "r" * 99 + "t" * 60), (7, "r" * 99 + "t" * 60), (7, "other"), (8, "r" * 99 + "t" * 60)]
