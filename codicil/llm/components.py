@@ -52,8 +52,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     own; raises if `rounds` rounds, where given, don't get so far. A partition of the shuffle is held in memory as arrays.
     An empty table gives no rows.
     """
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    meet = lambda df: stored(df.repartition(parts, "u").mapInArrow(forest, EDGE), "edges")
+    meet = lambda df: stored(df.repartition("u").mapInArrow(forest, EDGE), "edges")
     edges = meet(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").mapInArrow(forest, EDGE))
     done = 0
     while True:

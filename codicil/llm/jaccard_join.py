@@ -270,21 +270,21 @@ def routed(pairs: DataFrame) -> DataFrame:
     return member.unionByName(own).select(F.xxhash64("center", "slice").alias("route"), "center", "node")
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (a, b), each once, those that the bound over fine groups leaves."""
     pairs = stored(pairs.distinct(), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
-    near = stored(fine.repartition(parts, "route").mapInArrow(closer, "a long, b long"), "near")
+    near = stored(fine.repartition("route").mapInArrow(closer, "a long, b long"), "near")
     discard(pairs)
     return near
 
 
-def tested(pairs: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
+def tested(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """Links among the pairs (a, b), from their texts."""
     # a node's roles: its partners as a member, its partners / 256 as a center
     roles = routed(pairs).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
     rows = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
-    return rows.repartition(parts, "route").mapInArrow(verify, "a long, b long")
+    return rows.repartition("route").mapInArrow(verify, "a long, b long")
 
 
 def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -301,12 +301,12 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("root_a <> root_b")
 
 
-def met_once(left: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame, parts: int) -> DataFrame:
+def met_once(left: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """`roots` after the smallest pair of each two components among the rows of `across` has been tested."""
     if left.isEmpty():
         return roots
     least = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    return joined(tested(least, nodes, base, parts), roots)
+    return joined(tested(least, nodes, base), roots)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -324,7 +324,6 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
@@ -338,12 +337,12 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     star = shared.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
     star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes, parts)
+    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes)
     # each node with one partner, then one pair of each two components that are still apart
     one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = joined(tested(one, nodes, base, parts), None)
+    first = joined(tested(one, nodes, base), None)
     left = stored(across(star.join(one, ["a", "b"], "left_anti"), first), "left")
-    first = met_once(left, first, nodes, base, parts)
+    first = met_once(left, first, nodes, base)
     # second round: blocks with several components
     rooted = nodes.join(first, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
     open_rows = shared.filter("size > 2").join(rooted.select("node", "root"), "node")
@@ -358,13 +357,13 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
-    more = near_pairs(dealt.repartition(parts, "route").mapInArrow(join_blocks, "a long, b long"), nodes, parts)
+    more = near_pairs(dealt.repartition("route").mapInArrow(join_blocks, "a long, b long"), nodes)
     left = stored(across(more.unionByName(left.select("a", "b")), first), "left")
-    roots = met_once(left, first, nodes, base, parts)
+    roots = met_once(left, first, nodes, base)
     # last, all pairs whose components are still apart
     left = stored(across(left.select("a", "b"), roots).select("a", "b").distinct(), "left")
     if not left.isEmpty():
-        roots = joined(tested(left, nodes, base, parts), roots)
+        roots = joined(tested(left, nodes, base), roots)
     found = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))
     found = found.join(lowest, "root").select("node", "component")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ LOW = np.uint64(1 << 31)  # states are in [LOW, LOW * 2**32)
 LANES = 1024
 SPACING = 128  # steps between checkpoints
 BLOCK = 262_144  # ids of a block, whole documents; a longer document has a block of its own
+CHUNK = 6_000_000  # bytes of text encoded at a time, or one text
 
 
 class Table:
@@ -130,10 +132,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "n", "docs", "sizes", "wide", "ids"])
 
         for batch in batches:
-            who, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(6_000_000, sum(map(len, texts)), 6_000_000)) + 1, len(texts)])
+            who, texts = batch.column(0).to_pylist(), batch.column(1)
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            cuts = np.unique(np.r_[0, np.searchsorted(bytes_to, np.arange(CHUNK, bytes_to[-1] if len(texts) else 0, CHUNK)) + 1, len(texts)])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                ids, edges = coder.encode(texts[a:b])
+                ids, edges = coder.encode(texts.slice(a, b - a))
                 full = np.insert(ids, edges[1:], end_id)
                 sizes = np.diff(edges) + 1
                 ends = np.cumsum(sizes)

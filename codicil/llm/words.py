@@ -46,15 +46,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    """Ids of words, those of words seen lately being kept: `learn` gives the ids of new words in a row, and how many each has."""
+    """Ids of words, those of words seen lately being kept: `learn` gives the ids of new words in a row, and how many each has.
+
+    Of more than `most` words, or `most_ids` ids, only those asked for more than once are kept; if these are still many, none.
+    """
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000, most_ids: int = 16_000_000):
         self.learn, self.most, self.most_ids = learn, most, most_ids
-        self.forget()
+        self.number: dict[str, int] = {}
+        self.flat, self.edges, self.asked = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.edges = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        keep = self.asked > 1
+        if keep.sum() > self.most // 2 or np.diff(self.edges)[keep].sum() > self.most_ids // 2:
+            keep[:] = False
+        place = np.cumsum(keep) - 1
+        self.number = {w: p for (w, n), p in zip(self.number.items(), place[list(self.number.values())].tolist(), strict=True) if keep[n]}
+        self.flat = self.flat[np.repeat(keep, np.diff(self.edges))]
+        self.edges = np.r_[0, np.cumsum(np.diff(self.edges)[keep])]
+        self.asked = np.zeros(keep.sum(), np.int32)
 
     def ids(self, words: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words with the numbers `tokens` in a row, and where each of these begins (one entry more than tokens)."""
@@ -66,7 +76,10 @@ class Remembered:
             self.number.update(zip(new, range(len(self.edges) - 1, len(self.edges) - 1 + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
             self.edges = np.r_[self.edges, self.edges[-1] + np.cumsum(counts)]
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[tokens] if words else np.zeros(0, np.int64)
+            self.asked = np.concatenate([self.asked, np.zeros(len(new), np.int32)])
+        of_word = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.asked[of_word] += 1
+        at = of_word[tokens]
         sizes = np.diff(self.edges)[at]
         edges = np.r_[0, np.cumsum(sizes)]
         return self.flat[np.repeat(self.edges[:-1][at] - edges[:-1], sizes) + np.arange(edges[-1])], edges
