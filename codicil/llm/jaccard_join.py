@@ -301,12 +301,18 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("root_a <> root_b")
 
 
-def met_once(left: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """`roots` after the smallest pair of each two components among the rows of `across` has been tested."""
+def linked_further(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """`roots` after all pairs (a, b) have been tested, but for those whose components other links have joined.
+
+    First the smallest pair of each two components is tested, then all that are still apart.
+    """
+    left = stored(across(pairs, roots), "left")
     if left.isEmpty():
         return roots
     least = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    return joined(tested(least, nodes, base), roots)
+    roots = joined(tested(least, nodes, base), roots)
+    rest = stored(across(left.select("a", "b"), roots).select("a", "b").join(least, ["a", "b"], "left_anti").distinct(), "left")
+    return roots if rest.isEmpty() else joined(tested(rest, nodes, base), roots)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -338,11 +344,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
     star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes)
-    # each node with one partner, then one pair of each two components that are still apart
-    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # each node with one partner, then the others
     first = joined(tested(one, nodes, base), None)
-    left = stored(across(star.join(one, ["a", "b"], "left_anti"), first), "left")
-    first = met_once(left, first, nodes, base)
+    first = linked_further(star.join(one, ["a", "b"], "left_anti"), first, nodes, base)
     # second round: blocks with several components
     rooted = nodes.join(first, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
     open_rows = shared.filter("size > 2").join(rooted.select("node", "root"), "node")
@@ -358,12 +362,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
     more = near_pairs(dealt.repartition("route").mapInArrow(join_blocks, "a long, b long"), nodes)
-    left = stored(across(more.unionByName(left.select("a", "b")), first), "left")
-    roots = met_once(left, first, nodes, base)
-    # last, all pairs whose components are still apart
-    left = stored(across(left.select("a", "b"), roots).select("a", "b").distinct(), "left")
-    if not left.isEmpty():
-        roots = joined(tested(left, nodes, base), roots)
+    roots = linked_further(more, first, nodes, base)
     found = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))
     found = found.join(lowest, "root").select("node", "component")
