@@ -70,33 +70,34 @@ def shard_by_curve(docs: DataFrame, shards: int, dimensions: list[Column], bits:
 
     Returns the columns of `docs` except text, and size (UTF-8 bytes plus 8), text_crc32, curve, law, shard, slot
     (gapless from 0 in each shard), grown_shard (null under this law). Null texts count as empty; null coordinates as 0;
-    empty tables give no rows; repeated rows get slots of their own. Columns named like outputs are dropped.
+    empty tables give no rows; repeated rows get slots of their own; texts of any length count by their size and digests
+    only. Columns named like outputs are dropped.
     """
-    outputs = ("size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard", "cell_", "key_", "part_", "at_")
+    outputs = ("size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(F.col("text"), F.lit(""))
     top = F.lit((1 << bits) - 1)
     cells = F.array(*[F.least(F.coalesce(c.cast("long"), F.lit(0)), top) for c in dimensions])
     keep = [c for c in docs.columns if c not in outputs and c != "text"]
     rows = docs.select(
-        *keep, (F.octet_length(text) + 8).cast("long").alias("size"), crc32_text(text).alias("text_crc32"), F.xxhash64(text).alias("key_"), cells.alias("cell_")
+        F.struct(*keep).alias("row_"), F.col("doc_id").alias("id_"), (F.octet_length(text) + 8).cast("long").alias("size"), crc32_text(text).alias("text_crc32"), F.xxhash64(text).alias("key_"), cells.alias("cell_")
     )
-    first = rows.groupBy("key_").agg(F.min(F.struct("doc_id", "cell_")).alias("rep_"), F.count("*").alias("n_")).filter("n_ > 1")
+    first = rows.groupBy("key_").agg(F.min(F.struct("id_", "cell_")).alias("rep_"), F.count("*").alias("n_")).filter("n_ > 1")
     total = rows.count()
     # copies: at most 1000 keys hold a thousandth of the rows each
     hot = first.filter(F.col("n_") * 1000 >= total)
     cold = first.filter(F.col("n_") * 1000 < total)
     placed = (
         rows.join(F.broadcast(hot.select("key_", F.col("rep_.cell_").alias("hot_"))), "key_", "left")
-        .withColumn("cold_key_", F.when(F.col("hot_").isNull(), F.col("key_")).otherwise(F.xxhash64("doc_id", "key_")))
+        .withColumn("cold_key_", F.when(F.col("hot_").isNull(), F.col("key_")).otherwise(F.xxhash64("id_", "key_")))
         .join(cold.select(F.col("key_").alias("cold_key_"), F.col("rep_.cell_").alias("warm_")), "cold_key_", "left")
         .withColumn("cell_", F.coalesce("hot_", "warm_", "cell_"))
     )
     n = len(dimensions)
     curve = hilbert_index([F.element_at("cell_", i + 1) for i in range(n)], bits)
-    ordered = placed.withColumn("curve", curve).orderBy("curve", "key_", "doc_id")
+    ordered = placed.withColumn("curve", curve).orderBy("curve", "key_", "id_")
     mask = F.lit((1 << 33) - 1)
     at = F.monotonically_increasing_id()
-    kept = stored(ordered.select(*keep, "size", "text_crc32", "curve", at.alias("at_")), "curve").withColumn("part_", F.shiftright("at_", 33))
+    kept = stored(ordered.select("row_", "size", "text_crc32", "curve", at.alias("at_")), "curve").withColumn("part_", F.shiftright("at_", 33))
     counts = kept.groupBy("part_").agg(F.count("*").alias("n_"))
     # one row for each partition of the sort, whatever the input
     w = Window.orderBy("part_")
@@ -104,7 +105,7 @@ def shard_by_curve(docs: DataFrame, shards: int, dimensions: list[Column], bits:
     rank = F.col("at_").bitwiseAND(mask) + F.col("before_")
     cut = kept.join(F.broadcast(offsets), "part_").withColumn("rank_", rank).withColumn("shard", F.expr(f"(rank_ * {shards}) div all_").cast("int"))
     return cut.select(
-        *keep, "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard",
+        "row_.*", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard",
         F.expr(f"rank_ - ((shard * all_ + {shards} - 1) div {shards})").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -19,6 +19,7 @@ PERCENT = 80  # linked if 100 * intersection >= PERCENT * union
 GROUPS = 256  # coordinates of a count vector
 COARSE = 64  # coordinates of an R-tree's points, sums of neighbours of these
 LEAF = 16  # points of an R-tree's leaf
+CENTERS = 4  # nodes of a block that are tried with all its others first
 SLICE = 1500  # rows of a block that one task joins at most
 CHUNK = 2_000_000  # bytes of text handled at a time, or one text
 FREQUENT = 1000  # a shingle in more than 1/FREQUENT of all texts comes last in the order of prefixes
@@ -304,15 +305,17 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def linked_further(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """`roots` after all pairs (a, b) have been tested, but for those whose components other links have joined.
 
-    First the smallest pair of each two components is tested, then all that are still apart.
+    Of each two components that are still apart the smallest pair is tested first; where it links them, the others need no test.
     """
-    left = stored(across(pairs, roots), "left")
+    two = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
+    left = stored(across(pairs, roots).select("a", "b", *two).distinct(), "left")
     if left.isEmpty():
         return roots
-    least = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    roots = joined(tested(least, nodes, base), roots)
-    rest = stored(across(left.select("a", "b"), roots).select("a", "b").join(least, ["a", "b"], "left_anti").distinct(), "left")
-    return roots if rest.isEmpty() else joined(tested(rest, nodes, base), roots)
+    least = left.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("low", "high", "p.a", "p.b")
+    found = stored(tested(least.select("a", "b"), nodes, base), "links")
+    linked = least.join(found, ["a", "b"], "left_semi").select("low", "high")
+    rest = stored(left.join(linked, ["low", "high"], "left_anti").select("a", "b").join(least, ["a", "b"], "left_anti"), "left")
+    return joined(found if rest.isEmpty() else found.unionByName(tested(rest, nodes, base)), roots)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -325,7 +328,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     ignored.
 
     Equal sets first become one node. Nodes meet in blocks by the elements of their prefix, so no linked pair is missed.
-    First each block's smallest node is tried with all others; components of these links are found; then only blocks
+    First `CENTERS` nodes of each block, the smallest by several hashes, are tried with all others, so that of a large group
+    of near copies few are left apart; components of these links are found; then only blocks
     that hold several components are joined, each by an R-tree over count vectors, large ones in slices of `SLICE`.
     """
     spark = docs.sparkSession
@@ -337,10 +341,12 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"))
     nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine")), "nodes")
     token = nodes.select(F.explode("prefix").alias("token"), "node")
-    blocks = token.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1")
+    centers = F.array_distinct(F.array(F.min("node"), *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, CENTERS)]))
+    blocks = token.groupBy("token").agg(centers.alias("centers"), F.count("*").alias("size")).filter("size > 1")
     shared = stored(token.join(blocks, "token"), "shared")
-    # first round: the smallest node of a block with all others
-    star = shared.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    # first round: a few nodes of a block with all others
+    star = shared.select("node", F.explode("centers").alias("center")).filter("node <> center")
+    star = star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
     star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes)

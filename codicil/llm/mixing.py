@@ -75,7 +75,7 @@ def mix(
     Windows run over nodes of the tree and over about sqrt(rows) ranges of a leaf's shuffled order; documents are ranked
     only inside the one range where a leaf's prefix ends, so a leaf with a third of all rows is no hot spot.
     Null names count as ''; documents without tokens are never chosen; repeated rows count and are chosen as rows of
-    their own; zero weights get nothing; an empty table gives no rows.
+    their own, those that share a doc_id in the order of their tokens; texts of any length count whole; zero weights get nothing; an empty table gives no rows.
     """
     n_tokens = word_count(F.col("text")) if tokens is None else tokens
     rows = stored(docs.select(*[c.alias(k) for k, c in tree.items()], "doc_id", n_tokens.alias("n_tokens")).filter("n_tokens > 0"), "mix")
@@ -106,7 +106,7 @@ def mix(
     part = met.filter("rest > 0").drop("rest").join(ends, [*LEVELS, "range"])
     inside = part.filter("start + range_tokens <= rest").select(*LEVELS, "doc_id", F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
     edge = part.filter("start + range_tokens > rest")
-    end = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("from", F.col("start") + end - F.col("n_tokens")).filter("from < rest")
     edge = edge.select(*LEVELS, "doc_id", F.col("whole").alias("epoch"), "n_tokens", F.least(F.col("n_tokens"), F.col("rest") - F.col("from")).alias("take_tokens"))
     return every.unionByName(inside).unionByName(edge)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,38 @@ met as (
 select page_id, host, path, rule, coalesce(r_verdict, 'allow') as verdict from met where k = 1
 """ % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+SPLIT = r"[\x09-\x0D\x20\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"  # white space and ASCII punctuation
+KEPT = [f"('0x' || substr(md5('{k}:' || term), 1, 4))::int < {int(keep * 65536)}" if k else "true" for k, keep in enumerate(imatch.KEEPS)]
+NO_TERMS = "repeat('=' || substr(md5(case when array_to_string(list_sort(terms), ' ') = '' then text else array_to_string(list_sort(terms), ' ') end), 1, 11), %d)" % len(imatch.KEEPS)
+BOTH_EMPTY = " + ".join(f"(case when x{k} = '-' and y{k} = '-' then 0 else 1 end)" for k in range(len(imatch.KEEPS)))
+SAME = " + ".join(f"(case when x{k} = y{k} and x{k} <> '-' then 1 else 0 end)" for k in range(len(imatch.KEEPS)))
+
+
+def _likeness(other: str) -> str:
+    """SQL of the likeness of print `a` and the other."""
+    read = lambda expression: re.sub(r"([xy])(\d+)", lambda m: f"{'a' if m[1] == 'x' else other}.h[{int(m[2]) + 1}]", expression)
+    return f"case when a.print = {other}.print then 1.0 when len(a.h) = 0 or len({other}.h) = 0 then 0.0 else ({read(SAME)})::double / ({read(BOTH_EMPTY)}) end::double"
+
+
+SQL["op5_imatch"] = f"""
+with base as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, coalesce(text, '')) as spot from documents),
+n as (select count(*) as total from base),
+chained as (select *, coalesce(lead(text) over (order by spot), first_value(text) over (order by spot)) as following, length(text) as chars from base),
+edited as (select *, substr(text, 1, chars - chars // 2) || substr(following, 1, chars // 2) as edit from chained),
+every as (select spot, 'own' as kind, text from edited union all select spot, 'edit', edit from edited),
+worded as (select *, list_filter(list_distinct(regexp_split_to_array(lower(text), '{SPLIT}')), lambda t: t <> '') as terms from every),
+freq as (select term, count(*) as df from (select unnest(terms) as term from worded where kind = 'own') group by term),
+lexicon as (select term, [{", ".join(KEPT)}] as keeps from freq, n where ln(total::double / df::double) between 1.5 and 6.0),
+held as (select spot, kind, term, keeps from (select spot, kind, unnest(terms) as term from worded) join lexicon using (term)),
+hashed as (
+  select spot, kind, [{", ".join(f"case when count(*) filter (keeps[{k + 1}]) = 0 then '-' else substr(md5(string_agg(term, ' ' order by term) filter (keeps[{k + 1}])), 1, 12) end" for k in range(len(imatch.KEEPS)))}] as h
+  from held group by spot, kind),
+prints as (select spot, kind, coalesce(h, []) as h, case when h is null then {NO_TERMS} else array_to_string(h, '') end as print from worded left join hashed using (spot, kind))
+select e.doc_id, e.chars as n_chars, sha256(e.edit) as edited_sha256, a.print as fingerprint, b.print as edited_fingerprint, {_likeness("b")} as near_edited, {_likeness("c")} as near_next
+from edited e cross join n join prints a on a.spot = e.spot and a.kind = 'own' join prints b on b.spot = e.spot and b.kind = 'edit'
+  join prints c on c.spot = case when e.spot = total then 1 else e.spot + 1 end and c.kind = 'own'
+"""
+
 LEVELS = ", ".join(mixing.LEVELS)
 
 

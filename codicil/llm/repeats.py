@@ -398,7 +398,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, whole: bool
     are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans (runs removed) and kept (the other bytes), a row
     for each row of `docs`. Null texts are empty, null doc_ids come first; texts under `LENGTH` bytes keep all; different
     texts of one doc_id are ordered by SHA-256, and equal rows count as one text, so they keep the same bytes; an empty
-    table gives no rows. Columns named in `carry` are handed on, others ignored.
+    table gives no rows. Columns named in `carry` are handed on but
+    for those named like an output, others ignored.
 
     Tasks agree on q-grams by 64-bit hashes. Groups of passages with equal bytes are told by three such, of the q-gram and
     two of all bytes; passages of different groups by refining buckets of their bytes, which are then compared; those of
@@ -406,7 +407,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, whole: bool
     the last, and in the first what spark.sql.shuffle.partitions and the advisory partition size give it.
     """
     none = -(1 << 63)
-    carry = carry or []
+    carry = [c for c in carry or [] if c not in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")]
     base, several = numbered(documents(docs, *carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
     once = base.select("doc_id", "k", "text")
     once = once.dropDuplicates(["doc_id", "k"]) if several else once

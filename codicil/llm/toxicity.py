@@ -303,9 +303,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     Learns only from rows whose crc32(doc_id) mod 3 is not 1. Returns doc_id, held_out, score (0 to 1), predicted (1 from
     0.7). Null and empty texts are scored by the bias alone; null
     doc_ids are not held out, nor learned from; rows with equal texts get equal scores; without labels of
-    both kinds nothing is flagged; an empty table gives no rows. Columns named in `carry` are handed on, others ignored.
+    both kinds nothing is flagged; an empty table gives no rows. Columns named in `carry` are handed on but for
+    those named like an output, others ignored. Texts of any length are scored whole.
     """
     s = settings or Settings()
+    carry = [c for c in carry or [] if c not in ("doc_id", "held_out", "score", "predicted")]
     base = docs.select("doc_id", "text")
     odds, bias, cut = fitted(sample(base, labels, s), s)
     shared = docs.sparkSession.sparkContext.broadcast(odds)  # one number for each bucket
@@ -313,8 +315,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return score_batches(batches, shared.value, bias, cut, s)
 
-    own = docs.select("doc_id", *(carry or []), F.col("text").alias("text_"))
+    own = docs.select("doc_id", *carry, F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     out = own.mapInArrow(run, schema + ", score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"), *(carry or []))
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"), *carry)

@@ -33,10 +33,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     Returns the columns of `pages` and host, path, rule (host and path of the winner, else null), verdict. Nulls, urls
     without ``://`` and empty texts get empty parts and the default; repeated rows are judged and kept one by one; an
-    empty rule table gives the default to all. Columns of `pages` named like an output are dropped.
+    empty rule table gives the default to all; a rule without a host fits no url. Columns of `pages` named like an output are dropped.
     """
     outputs = ("host", "path", "rule", "verdict")
-    pages = pages.select(*[c for c in pages.columns if c not in outputs])
+    kept = [c for c in pages.columns if c not in outputs]
+    pages = pages.select(F.struct(*kept).alias("row_"), F.col(url).alias("url_"))
     rules = rules.select(
         F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
     ).filter("r_host <> ''")
@@ -44,7 +45,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.withColumn("digest", F.sha2(F.concat_ws(" ", "r_host", "r_path"), 256)).withColumn("short", F.substring("digest", 1, prefix_hex))
     # the shapes rules have: at most as many as the longest host has labels, and the longest path characters
     shapes = rules.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"))
-    parted = split_url(pages, url).withColumn("spot_", F.concat("host", "path"))  # hosts hold no slash, so this is one to one
+    parted = split_url(pages, "url_").withColumn("spot_", F.concat("host", "path"))  # hosts hold no slash, so this is one to one
     counts = parted.filter("host <> ''").groupBy("spot_", "host", "path").agg(F.count("*").alias("n_"))
     keyed = counts.crossJoin(F.broadcast(shapes))
     parts = F.split("host", r"\.")
@@ -58,5 +59,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     order = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))
     best = met.groupBy("spot_").agg(F.max(order).alias("best"), F.max("n_").alias("n_"))
     return lookup(parted, best, "spot_", "n_", pages.count()).select(
-        *pages.columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict")
+        "row_.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict")
     )

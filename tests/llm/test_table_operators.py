@@ -1,9 +1,11 @@
-"""Dealt operators over vectors, metadata and mixtures, and the pipeline."""
+"""Dealt operators over vectors, metadata and mixtures."""
 
 import itertools
 import math
+import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from codicil.llm import hilbert, mixing, permutation, queries
@@ -54,6 +56,61 @@ def test_shards_keep_their_law(spark):
     assert hilbert.shard_by_curve(df.limit(0), 24, hilbert.document_dimensions()).count() == 0
 
 
+def plain_curve(cells, bits):
+    """Position of a point on the Hilbert curve, one bit plane after another."""
+    x, n = list(cells), len(cells)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[-1] & q:
+            t ^= q - 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out * 2 + (((v ^ t) >> b) & 1)
+    return out
+
+
+def test_shards_equal_a_plain_version(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i == 7 else i % 290, None if i % 41 == 0 else "word é " * int(rng.integers(0, 60)) if i % 3 else "copy", ("en", "fr", None)[i % 3], f"src{i % 5}" if i % 11 else None) for i in range(300)]
+    rows += rows[:9] + [(5000, "long " * 100_000, "en", "src1"), (5001, "", "", "")]
+    schema = "doc_id long, text string, lang string, source string"
+    df = spark.createDataFrame(rows, schema)
+    for name in ("n_", "hot_", "warm_", "rep_", "key_", "cell_", "part_", "at_", "row_", "id_", "rank_"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = hilbert.shard_by_curve(df.repartition(3), 24, hilbert.document_dimensions())
+    assert {"n_", "hot_", "row_"} <= set(got.columns) and "text" not in got.columns
+    hashed = lambda t: 42 if t is None else xxhash.xxh64((t or "").encode(), seed=42).intdigest()
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    items = []
+    for i, t, lang, source in rows:
+        size = len((t or "").encode())
+        cells = (signed(hashed(lang)) % 64, signed(hashed(source)) % 64, min(63, math.floor(math.log(size + 1) / math.log(2) * 3)))
+        items.append([signed(hashed(t or "")), -1 if i is None else i, cells, size + 8, zlib.crc32((t or "").encode()), t or ""])
+    first = {}
+    for key, i, cells, *_ in items:
+        first[key] = min(first.get(key, (i, cells)), (i, cells))
+    placed = sorted((plain_curve(first[key][1], 6), key, i, size, crc) for key, i, _, size, crc, _ in items)
+    n = len(placed)
+    want = []
+    for rank, (curve, _, i, size, crc) in enumerate(placed):
+        shard = rank * 24 // n
+        want.append((i, size, crc, curve, "rows", shard, rank - (shard * n + 23) // 24, None))
+    rows_of = lambda out: sorted(tuple(r) for r in out)
+    names = ("size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard")
+    assert rows_of((-1 if r.doc_id is None else r.doc_id, *(r[c] for c in names)) for r in got.collect()) == rows_of(want)
+
+
 def share(budget, items):
     """Plain water filling of [(name, weight, capacity)]."""
     got, left = {}, list(items)
@@ -93,43 +150,3 @@ def test_budgets_go_to_siblings_before_ancestors(spark):
     assert all(abs(took.get(k, 0) - v) <= 3 for k, v in want.items())
     assert (got["take_tokens"] <= got["n_tokens"]).all() and not got.duplicated(["doc_id", "epoch", "origin", "n_tokens"]).any()
     assert mixing.mix(df.limit(0), mixing.document_tree(), mixing.DOCUMENT_WEIGHTS, 100, 2, 1).count() == 0
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    clean = p.drop_toxic(spark, docs, DATA).cache()
-    assert clean.columns == p.COLUMNS and 0 < clean.count() <= docs.count()
-    single = p.drop_near_copies(spark, clean, DATA).cache()
-    assert single.count() < clean.count() and single.select("text").distinct().count() == single.count()
-    cut = p.drop_repeats(spark, single, DATA).cache()
-    assert cut.count() <= single.count() and cut.agg(F.sum("n_chars")).first()[0] <= single.agg(F.sum("n_chars")).first()[0]
-    mixed = p.mix_sources(spark, cut, DATA).cache()
-    assert mixed.columns == p.COLUMNS and mixed.join(cut, "doc_id", "left_anti").count() == 0
-    out = p.encode(spark, mixed, DATA)
-    assert out.count() == mixed.count() and out.filter("not round_trip").count() == 0 and out.filter("size(ids) <> n_tokens").count() == 0
-
-
-def test_repeats_stage_cuts_characters_whole_and_leaves_the_rest(spark):
-    import corpus_pipeline as p
-
-    again = "é漢" * 30 + "z"
-    texts = ["a\ufffdb", "\ufffd" + again + "é", "\ufffdé" + again + "è\ufffd", "", again[1:101]]
-    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: (r.text, r.n_chars) for r in p.drop_repeats(spark, docs, DATA).collect()}
-    first = texts[1].encode()
-    want = {}
-    for i in (0, 1, 2, 3):
-        data, gone, before = texts[i].encode(), set(), texts[1].encode() if i == 2 else b""
-        for k in range(len(data) - 99):
-            seen = data[k : k + 100]
-            if seen in before or data.find(seen) < k:
-                gone |= set(range(k, k + 100))
-        at, out = 0, ""
-        for c in texts[i]:
-            out += "" if gone & set(range(at, at + len(c.encode()))) else c
-            at += len(c.encode())
-        want[i] = (out, len(out))
-    assert want[0] == ("a\ufffdb", 3) and "\ufffd" in want[2][0] and len(first) > 100
-    assert got == want

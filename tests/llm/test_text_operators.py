@@ -123,13 +123,24 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 160)}}
 
 
-def test_components_that_still_change_are_no_result(spark):
+@pytest.fixture
+def many_partitions(spark):
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_components_that_still_change_are_no_result(spark, many_partitions):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(8)
     with pytest.raises(RuntimeError):
         components(links, rounds=0)
 
 
-def test_components_of_random_links_over_many_partitions(spark):
+def test_components_of_random_links_over_many_partitions(spark, many_partitions):
     rng = np.random.default_rng(4)
     links = np.concatenate([rng.integers(0, 3000, (1400, 2)), np.column_stack([np.full(300, 5000), rng.integers(5001, 6000, 300)]), np.column_stack([np.arange(7000, 7400), np.arange(7001, 7401)])])
     want = {}
@@ -140,12 +151,7 @@ def test_components_of_random_links_over_many_partitions(spark):
             for k in list(want[a]):
                 want[k] = want[a]
     rows = [tuple(r) for r in links.tolist()]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
-    try:
-        got = components(spark.createDataFrame(rows + [(r[1], r[0]) for r in rows[:50]], "a long, b long").repartition(24)).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = components(spark.createDataFrame(rows + [(r[1], r[0]) for r in rows[:50]], "a long, b long").repartition(24)).collect()
     linked = {k for r in rows if r[0] != r[1] for k in r}
     assert sorted((r.node, r.root) for r in got) == sorted((k, min(want[k])) for k in linked)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
