@@ -135,3 +135,12 @@ def true_periods(items: DataFrame, newer: DataFrame) -> DataFrame:
     first = newer.groupBy("version_id").agg(F.min("newer_from").alias("_next"))
     met = items.join(first, "version_id", "left")
     return met.select("policy_id", "version_id", "effective_from", F.least("effective_to", "_next").alias("true_to"))
+
+
+def library(policies: DataFrame, versions: DataFrame, day: Column) -> DataFrame:
+    """Policies with a version in force on a day, that version, and how many have ended before it."""
+    active = build_timeline(versions)
+    live = active.filter(effective_on(day)).select("policy_id", "version_id")
+    earlier = active.filter(F.col("effective_to") <= day).groupBy("policy_id").agg(F.count("*").alias("n_earlier"))
+    met = policies.select("policy_id", "name").join(live, "policy_id").join(earlier, "policy_id", "left")
+    return met.select("policy_id", "name", "version_id", F.coalesce("n_earlier", F.lit(0)).cast("long").alias("n_earlier"))

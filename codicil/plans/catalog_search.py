@@ -20,8 +20,10 @@ freq as (select term, least(count(*), 20000) as df from posts group by term),
 total as (select count(*) as n from documents),
 asked as (select item_id as query_id, unnest(list_distinct({TOKENS.format("text")})) as term from benchmark),
 chosen as (
-  select query_id, term, df from (select a.query_id, a.term, f.df, n, row_number() over (partition by query_id order by f.df, a.term) as k from asked a join freq f using (term), total)
-  where n < 2000 or k <= 3 or (k <= 10 and df <= least(20000, floor(n / 5)))),
+  select query_id, term, df from (
+    select a.query_id, a.term, f.df, n, row_number() over (partition by query_id order by f.df, a.term) as k, count(*) filter (f.df < least(20000, n * 0.2)) over (partition by query_id) as rare
+    from asked a join freq f using (term), total)
+  where n < 2000 or (k <= 10 and df < least(20000, n * 0.2)) or (rare = 0 and k <= 3)),
 scored as (
   select query_id, doc_id, cast(sum(cast(round(round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) * tf / (tf + 1), 6) as decimal(18, 6))) as double) as score, count(*) as n_terms
   from posts join chosen using (term), total group by query_id, doc_id),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codicil.plans import catalog_checks, catalog_core, catalog_search
+from codicil.plans import catalog_checks, catalog_core, catalog_search, catalog_work
 
-QUERIES = catalog_core.QUERIES | catalog_search.QUERIES | catalog_checks.QUERIES
-SQL = catalog_core.SQL | catalog_search.SQL | catalog_checks.SQL
+QUERIES = catalog_core.QUERIES | catalog_search.QUERIES | catalog_checks.QUERIES | catalog_work.QUERIES
+SQL = catalog_core.SQL | catalog_search.SQL | catalog_checks.SQL | catalog_work.SQL
 FLAGSHIP = "keyword_lane"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.sources.tables import load
@@ -70,6 +70,58 @@ class Views:
             "version_id", "number", F.col("p_name").alias("title"), "content"
         )
 
+    def uploads(self) -> DataFrame:
+        """Uploaded files: one for each order."""
+        key, status = F.col("o_orderkey"), pick(F.col("o_orderkey"), "ready", "processing", "failed", "rejected", "archived", "awaiting_review", "ready")
+        code = pick(F.floor(F.col("o_orderkey") / 7), "provider_down", "bad_file", "quota")
+        return self.table("orders").select(
+            key.alias("document_id"), F.when(key % 9 != 0, F.col("o_custkey")).alias("policy_id"), key.alias("version_id"), pick(F.col("o_custkey"), "audit", "credit", "people").alias("category"),
+            (F.col("o_custkey") % 25).alias("branch_id"), F.col("o_custkey").alias("uploader_id"), status.alias("status"), F.concat(F.lit("Policy_"), key, F.lit(".pdf")).alias("file_name"),
+            F.to_date("o_orderdate").alias("uploaded_on"), F.when(status == "failed", F.concat(F.lit('{"code": "'), code, F.lit('"}'))).alias("error"), (key % 4 + 3).cast("int").alias("page_count"),
+            (F.col("o_custkey") % 200).alias("batch_id"),
+        )
+
+    def decisions(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        return self.table("orders").select(key.alias("document_id"), pick(key, "new_policy", "new_version", "duplicate", "conflict", "review").alias("decision"), (F.col("o_custkey") + key % 2).alias("policy_id"))
+
+    def stages(self) -> DataFrame:
+        """Stages of an upload's processing: one for each order line."""
+        names = ("extraction", "structure", "chunking", "embedding", "indexing", "validation", "finish")
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("document_id"), pick(F.col("l_linenumber"), *names).alias("stage"), pick(F.col("l_partkey"), "done", "running", "failed", "waiting").alias("state"),
+            F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int")).alias("total"), F.floor(F.col("l_quantity") / 2).cast("int").alias("done"),
+        )
+
+    def samples(self) -> DataFrame:
+        """Samples of a running stage: done of 100,000 units at seconds of the day, one row for each event."""
+        seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+        return self.table("events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage"), (F.col("event_id") * 86400 + seconds).alias("sampled_at"), (F.col("event_id") % 977).cast("int").alias("done"), F.lit(1000).alias("total"))
+
+    def chunks(self) -> DataFrame:
+        """One chunk for each section of a version."""
+        key = F.col("version_id") * 10 + F.col("number")
+        return self.sections().select(
+            key.alias("chunk_id"), F.col("version_id").alias("document_id"), "version_id", "number", "title", "content", (F.col("number") - F.when(F.col("version_id") % 50 == 0, 1).otherwise(0)).alias("page_start"),
+            (F.col("number") + F.when(F.col("version_id") % 11 == 0, 1).otherwise(0)).alias("page_end"), F.when(key % 5 == 1, "m1").when(key % 5 != 0, "m2").alias("model"), F.md5("content").alias("chunk_hash"),
+            pick(key, "text", "ocr", "table").alias("method"),
+        )
+
+    def tickets(self) -> DataFrame:
+        key = F.col("event_id")
+        return self.table("events").select(
+            key.alias("ticket_id"), F.col("user_id").alias("author_id"), (F.col("user_id") % 5).alias("organization_id"), pick(key, "help", "data", "audit").alias("queue"), F.col("event_type").alias("kind"),
+            pick(F.floor(key / 3), "open", "in_progress", "closed").alias("status"), F.col("ts").alias("created_at"),
+        )
+
+    def notices(self) -> DataFrame:
+        return self.table("events").select(F.col("event_id").alias("notice_id"), "user_id", F.col("ts").alias("created_at"), (F.col("event_id") % 4 == 0).alias("is_read"), F.col("event_type").alias("kind"))
+
+
+def pick(number: Column, *names: str) -> Column:
+    """The name at a number's remainder."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names) + 1).cast("int"))
+
 
 SQL = """
 registrations as (
@@ -98,7 +150,27 @@ sections as (
   select l_orderkey as version_id, cast(l_linenumber as int) as number, p_name as title,
     'The rate shall not exceed ' || cast(cast(round(l_discount * 100) as int) as varchar) || '%. The amount is Rs. ' || cast(cast(floor(l_extendedprice) as bigint) as varchar)
     || '. The term is ' || cast(cast(l_quantity as int) as varchar) || ' months. It starts on ' || strftime(l_shipdate, '%Y-%m-%d') || '.' as content
-  from lineitem join part on p_partkey = l_partkey qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, content) = 1)
+  from lineitem join part on p_partkey = l_partkey qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, content) = 1),
+uploads as (
+  select *, case when status = 'failed' then '{"code": "' || ['provider_down', 'bad_file', 'quota'][document_id // 7 % 3 + 1] || '"}' end as error from (
+    select o_orderkey as document_id, case when o_orderkey % 9 <> 0 then o_custkey end as policy_id, o_orderkey as version_id, ['audit', 'credit', 'people'][o_custkey % 3 + 1] as category,
+      o_custkey % 25 as branch_id, o_custkey as uploader_id, ['ready', 'processing', 'failed', 'rejected', 'archived', 'awaiting_review', 'ready'][o_orderkey % 7 + 1] as status,
+      'Policy_' || o_orderkey || '.pdf' as file_name, cast(o_orderdate as date) as uploaded_on, cast(o_orderkey % 4 + 3 as int) as page_count, o_custkey % 200 as batch_id from orders)),
+decisions as (
+  select o_orderkey as document_id, ['new_policy', 'new_version', 'duplicate', 'conflict', 'review'][o_orderkey % 5 + 1] as decision, o_custkey + o_orderkey % 2 as policy_id from orders),
+stages as (
+  select l_orderkey as document_id, ['extraction', 'structure', 'chunking', 'embedding', 'indexing', 'validation', 'finish'][l_linenumber % 7 + 1] as stage,
+    ['done', 'running', 'failed', 'waiting'][l_partkey % 4 + 1] as state, case when l_quantity >= 10 then cast(l_quantity as int) end as total, cast(floor(l_quantity / 2) as int) as done from lineitem),
+samples as (
+  select user_id as document_id, event_type as stage, event_id * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) as sampled_at, cast(event_id % 977 as int) as done, 1000 as total from events),
+chunks as (
+  select *, case when chunk_id % 5 = 1 then 'm1' when chunk_id % 5 <> 0 then 'm2' end as model, md5(content) as chunk_hash, ['text', 'ocr', 'table'][chunk_id % 3 + 1] as method from (
+    select version_id * 10 + number as chunk_id, version_id as document_id, version_id, number, title, content, number - case when version_id % 50 = 0 then 1 else 0 end as page_start,
+      number + case when version_id % 11 = 0 then 1 else 0 end as page_end from sections)),
+tickets as (
+  select event_id as ticket_id, user_id as author_id, user_id % 5 as organization_id, ['help', 'data', 'audit'][event_id % 3 + 1] as queue, event_type as kind,
+    ['open', 'in_progress', 'closed'][event_id // 3 % 3 + 1] as status, ts as created_at from events),
+notices as (select event_id as notice_id, user_id, ts as created_at, event_id % 4 = 0 as is_read, event_type as kind from events)
 """
 
 
