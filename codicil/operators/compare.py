@@ -31,12 +31,7 @@ def numeric_facts(rows: DataFrame, keys: list[str], text: str = "content") -> Da
     What a more specific kind has matched is blanked before the next kind looks, so no figure counts twice. Values:
     grouping commas go; durations are ``number unit`` with the unit's singular.
     """
-    left = F.coalesce(F.col(text), F.lit(""))
-    found = []
-    for kind, pattern in PATTERNS.items():
-        found.append(as_facts(F.regexp_extract_all(left, F.lit(pattern)), kind))
-        left = F.regexp_replace(left, pattern, " ")
-    return rows.select(*keys, F.explode(F.flatten(F.array(*found))).alias("f")).select(*keys, "f.kind", "f.value", "f.place")
+    return rows.select(*keys, F.explode(found_facts(F.col(text))).alias("f")).select(*keys, "f.kind", "f.value", "f.place")
 
 
 def consecutive(versions: DataFrame) -> DataFrame:
@@ -55,20 +50,40 @@ def compare_versions(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.withColumn("change", change)
 
 
+def found_facts(text: Column) -> Column:
+    """Figures of a text as an array of structs (kind, value, place)."""
+    left = F.coalesce(text, F.lit(""))
+    found = []
+    for kind, pattern in PATTERNS.items():
+        found.append(as_facts(F.regexp_extract_all(left, F.lit(pattern)), kind))
+        left = F.regexp_replace(left, pattern, " ")
+    return F.flatten(F.array(*found))
+
+
 def numeric_changes(diff: DataFrame) -> DataFrame:
     """Figures of modified sections that only one side has, paired by kind in reading order.
 
-    A figure that both sides have as often is no change: the k-th occurrence of a value meets the k-th.
+    A figure that both sides have as often is no change: the k-th occurrence of a value meets the k-th. All of it happens
+    inside the row of the section; only what has changed is spread.
     """
     keys = ["old_id", "new_id", "number"]
-    changed = diff.filter("change = 'modified'")
-    side = lambda c: numeric_facts(changed, keys, c).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "kind", "value").orderBy("place")))
-    old, new = side("old_content"), side("new_content")
-    same = [*keys, "kind", "value", "k"]
-    order = Window.partitionBy(*keys, "kind").orderBy("place")
-    gone = old.join(new, same, "left_anti").select(*keys, "kind", F.row_number().over(order).alias("j"), F.col("value").alias("old_value"))
-    come = new.join(old, same, "left_anti").select(*keys, "kind", F.row_number().over(order).alias("j"), F.col("value").alias("new_value"))
-    return gone.join(come, [*keys, "kind", "j"], "full").drop("j")
+    rows = diff.filter("change = 'modified'").select(*keys, found_facts(F.col("old_content")).alias("o"), found_facts(F.col("new_content")).alias("n"))
+    same = lambda x, y: (x["kind"] == y["kind"]) & (x["value"] == y["value"])
+    before = lambda c, i, like: F.size(F.filter(F.slice(c, F.lit(1), i), like))
+
+    def counted(c: str) -> Column:
+        return F.transform(c, lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), before(F.col(c), i, lambda y: same(x, y)).alias("k")))
+
+    def placed(c: str) -> Column:
+        return F.transform(c, lambda x, i: F.struct(x["kind"].alias("kind"), before(F.col(c), i, lambda y: x["kind"] == y["kind"]).alias("j"), x["value"].alias("value")))
+
+    rows = rows.select(*keys, counted("o").alias("o"), counted("n").alias("n"))
+    rows = rows.select(*keys, F.array_except("o", "n").alias("o"), F.array_except("n", "o").alias("n")).filter(F.size("o") + F.size("n") > 0)
+    rows = rows.select(*keys, placed("o").alias("o"), placed("n").alias("n"))
+    spots = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["j"].alias("j")))
+    value = lambda c, e: F.get(F.filter(c, lambda x: (x["kind"] == e["kind"]) & (x["j"] == e["j"])), 0)["value"]
+    every = F.transform(F.array_union(spots("o"), spots("n")), lambda e: F.struct(e["kind"].alias("kind"), value("o", e).alias("old_value"), value("n", e).alias("new_value")))
+    return rows.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
 
 
 def summary_lines(changes: DataFrame) -> DataFrame:

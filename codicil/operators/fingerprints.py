@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +42,25 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def near_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs of different fingerprints that differ in at most `distance` bits, with their smallest keys and group sizes.
 
-    Copies are one group, so a group of any size gives one row per pair of groups. By the pigeonhole principle two such
-    fingerprints agree in one of `distance` + 1 bands; a pair is given once, in the first band that agrees.
+    Copies are one group, so a group of any size gives one row per pair of groups. The 64 bits are cut into 2 * `distance`
+    blocks; two such fingerprints agree in at least half of them, so they meet by the values of some `distance` blocks
+    together: 32 bits, few enough fingerprints for each value. A pair is given once, by the first blocks that agree.
     """
     groups = prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    bands, width = distance + 1, 64 // (distance + 1)
-    values = F.array(*[F.shiftrightunsigned("simhash", width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)])
-    spread = groups.select("*", F.posexplode(values).alias("band", "value"))
+    cuts = [64 * i // (2 * distance) for i in range(2 * distance + 1)]
+    masks = [((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    sets = list(combinations(range(2 * distance), distance))
+    keys = F.array(*[F.struct(F.array(*[F.lit(b) for b in some]).alias("blocks"), F.col("simhash").bitwiseAND(F.lit(sum(masks[b] for b in some))).alias("value")) for some in sets])
+    spread = groups.select("*", F.explode(keys).alias("key"))
     a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    met = met.filter(hamming(F.col("a.simhash"), F.col("b.simhash")) <= distance)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    apart = F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))
+    same = F.filter(F.array(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda i: i.isNotNull())
+    met = met.filter((F.bit_count(apart) <= distance) & (F.slice(same, 1, distance) == F.col("a.key.blocks")))
     return met.select(
         F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), F.col("a.n").alias("n_copies"), F.col("b.n").alias("n_other"),
         hamming(F.col("a.simhash"), F.col("b.simhash")).alias("distance"),
-    ).distinct()
+    )
 
 
 def exact_duplicates(hashes: DataFrame, key: str = "doc_id", by: str = "content_hash") -> DataFrame:

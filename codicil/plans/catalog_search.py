@@ -9,6 +9,7 @@ from codicil.functions import text
 from codicil.operators import fingerprints, retrieval
 from codicil.plans.views import Views
 from codicil.sources import tables
+from codicil.sources.scratch import stored
 
 QUERIES, SQL = {}, {}
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -104,7 +105,7 @@ def hashes(v: Views) -> DataFrame:
 with h as (select doc_id, sha256(array_to_string({NORMALISED}, ' ')) as content_hash from documents)
 select doc_id, original_id from (select doc_id, min(doc_id) over (partition by content_hash) as original_id from h) where doc_id <> original_id""")
 def duplicates(v: Views) -> DataFrame:
-    return fingerprints.exact_duplicates(fingerprints.content_hash(docs(v)))
+    return fingerprints.exact_duplicates(stored(fingerprints.content_hash(docs(v)), "hashes"))
 
 
 HALF = " + ".join(f"(case when sum((({{0}} >> {b}) & 1) * 2 - 1) > 0 then {1 << b} else 0 end)::bigint" for b in range(32))
