@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,20 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return back
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker hands freed memory back to the system, as Spark keeps idle workers for the next stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            pass
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand at most `rows` rows at a time to Python, so that whole texts take little memory on either side."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import discard, stored
+from codicil.llm.common import discard, stored, tidy
 
 EDGE = "u long, v long"
 
@@ -46,14 +46,13 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """Rows (node, root) of every node with a link: root is the smallest node of its component.
 
-    Links are first thinned inside the partitions they are in. Then, in each round, every node's neighbours are linked to
-    the smallest of them (a join on the node, which Spark splits where a node has very many), and links meet by their
-    larger end in partitions that union-find thins again. Ends when every node has one link and no root has one of its
+    Links meet by their larger end in partitions, where union-find thins them. Then, in each round, every node's neighbours
+    are linked to the smallest of them (a join on the node, which Spark splits where a node has very many), and meet again. Ends when every node has one link and no root has one of its
     own; raises if `rounds` rounds, where given, don't get so far. A partition of the shuffle is held in memory as arrays.
     An empty table gives no rows.
     """
-    meet = lambda df: stored(df.repartition("u").mapInArrow(forest, EDGE), "edges")
-    edges = meet(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").mapInArrow(forest, EDGE))
+    meet = lambda df: stored(df.repartition("u").mapInArrow(tidy(forest), EDGE), "edges")
+    edges = meet(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v"))
     done = 0
     while True:
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(True).alias("up")), F.struct(F.col("v").alias("x"), F.lit(False).alias("up")))).alias("e"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import discard, documents, small_batches, stored
+from codicil.llm.common import discard, documents, small_batches, stored, tidy
 from codicil.llm.components import components
 from codicil.llm.repeats import chunks
 from codicil.llm.shingles import in_order, shingle_sets
@@ -111,7 +111,7 @@ def frequent_shingles(base: DataFrame) -> np.ndarray:
                 some = n > max(1, len(texts) // (2 * FREQUENT))
                 yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
 
-    rows = base.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = base.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = base.count() // FREQUENT + 8
     return np.sort(rows.filter(F.col("n") > least).select("h").toPandas()["h"].to_numpy(np.int64))
 
@@ -275,7 +275,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (a, b), each once, those that the bound over fine groups leaves."""
     pairs = stored(pairs.distinct(), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
-    near = stored(fine.repartition("route").mapInArrow(closer, "a long, b long"), "near")
+    near = stored(fine.repartition("route").mapInArrow(tidy(closer), "a long, b long"), "near")
     discard(pairs)
     return near
 
@@ -285,7 +285,7 @@ def tested(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     # a node's roles: its partners as a member, its partners / 256 as a center
     roles = routed(pairs).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
     rows = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
-    return rows.repartition("route").mapInArrow(verify, "a long, b long")
+    return rows.repartition("route").mapInArrow(tidy(verify), "a long, b long")
 
 
 def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -337,7 +337,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
-    sets = stored(base.mapInArrow(lambda b: describe(b, last.value), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary"), "sets")
+    sets = stored(base.mapInArrow(tidy(lambda b: describe(b, last.value)), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary"), "sets")
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"))
     nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine")), "nodes")
     token = nodes.select(F.explode("prefix").alias("token"), "node")
@@ -349,7 +349,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     star = star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
     star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bounded, "a long, b long"), nodes)
+    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(tidy(bounded), "a long, b long"), nodes)
     one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # each node with one partner, then the others
     first = joined(tested(one, nodes, base), None)
     first = linked_further(star.join(one, ["a", "b"], "left_anti"), first, nodes, base)
@@ -367,7 +367,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
-    more = near_pairs(dealt.repartition("route").mapInArrow(join_blocks, "a long, b long"), nodes)
+    more = near_pairs(dealt.repartition("route").mapInArrow(tidy(join_blocks), "a long, b long"), nodes)
     roots = linked_further(more, first, nodes, base)
     found = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))

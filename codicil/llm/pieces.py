@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm.common import tidy
 from codicil.llm.words import Remembered, by_length, mix64
 
 SPACE = "▁"  # stands for a space in pieces
@@ -340,4 +341,4 @@ def round_trip(docs: DataFrame, path: str, more: list[str] | None = None, with_i
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     schema += ", n_tokens long, ids_crc32 long, n_chars long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(*names, F.col("text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col("text")).mapInArrow(tidy(run), schema)

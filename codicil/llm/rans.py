@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codicil.llm.common import discard, new_path, stored
+from codicil.llm.common import discard, new_path, stored, tidy
 from codicil.llm.tokens import encoder
 
 # File format (fixed values). A block: header, checkpoints, words; all little-endian.
@@ -155,7 +155,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFrame:
             yield emit()
 
     schema = "part int, block int, before long, n long, docs array<long>, sizes array<long>, wide boolean, ids binary"
-    return stored(ordered.mapInArrow(run, schema), "ids")
+    return stored(ordered.mapInArrow(tidy(run), schema), "ids")
 
 
 def raw_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -176,7 +176,7 @@ def id_counts(raw: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = raw.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = raw.select("wide", "ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return counts
@@ -203,7 +203,7 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, end_id: int) -> None
             payload = pa.array([encode_block(ids, table) for ids in raw_ids(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], payload], names=["part", "block", "before", "n", "docs", "sizes", "payload"])
 
-    out = raw.mapInArrow(run, "part int, block int, before long, n long, docs array<long>, sizes array<long>, payload binary")
+    out = raw.mapInArrow(tidy(run), "part int, block int, before long, n long, docs array<long>, sizes array<long>, payload binary")
     out.write.option("compression", "none").parquet(f"{target}/blocks")
     discard(raw)
 
@@ -233,7 +233,7 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(starts + offset, pa.int64()), pa.array(sizes, pa.int64()), data], names=["doc_id", "start", "n_tokens", "ids"])
 
     placed = blocks.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("before")).alias("offset"), "docs", "sizes", "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

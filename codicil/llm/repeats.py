@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import documents, lookup, stored
+from codicil.llm.common import documents, lookup, stored, tidy
 from codicil.llm.words import mix64
 
 LENGTH = 100  # bytes of a passage that is removed when it came before
@@ -411,20 +411,20 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, whole: bool
     base, several = numbered(documents(docs, *carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
     once = base.select("doc_id", "k", "text")
     once = once.dropDuplicates(["doc_id", "k"]) if several else once
-    groups = once.mapInArrow(find_groups, GROUP)
+    groups = once.mapInArrow(tidy(find_groups), GROUP)
     route = F.when(F.col("kind") == KNOWN, F.xxhash64("doc_id", "lo")).when(F.col("kind") == OPEN, F.col("gram")).otherwise(F.col("cover"))
-    judged = stored(groups.repartition(route).mapInArrow(judge_groups, GROUP), "groups")
+    judged = stored(groups.repartition(route).mapInArrow(tidy(judge_groups), GROUP), "groups")
     left = judged.filter(F.col("kind") == OPEN).select("doc_id", "k", "lo", "hi", "gram")
     total = left.count()
     n = stored(left.groupBy("gram").agg(F.count("*").alias("n")), "buckets")
     left = lookup(left, n, "gram", "n", total)
     by_doc = left.groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi", "gram", "n")).alias("groups"))
-    passages = once.join(by_doc, ["doc_id", "k"]).select("doc_id", "k", "text", "groups").mapInArrow(cut_passages, PASSAGE)
+    passages = once.join(by_doc, ["doc_id", "k"]).select("doc_id", "k", "text", "groups").mapInArrow(tidy(cut_passages), PASSAGE)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK)
-    found = stored(passages.repartition(parts, "route").mapInArrow(judge_passages, GROUP), "passages")
+    found = stored(passages.repartition(parts, "route").mapInArrow(tidy(judge_passages), GROUP), "passages")
     runs = judged.filter(F.col("kind") == KNOWN).unionByName(found).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     no_runs = F.expr("filter(array(named_struct('lo', 0L, 'hi', 0L)), x -> false)")
     met = base.join(runs, ["doc_id", "k"], "left").select("doc_id", "k", "text", F.coalesce("runs", no_runs).alias("runs"), *carry)
     more = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in carry)
-    out = met.mapInArrow(lambda b: remove(b, whole), f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, kept binary")
+    out = met.mapInArrow(tidy(lambda b: remove(b, whole)), f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *carry)

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import stored
-from codicil.llm.words import by_length, distinct_words, mix64
+from codicil.llm.common import stored, tidy
+from codicil.llm.words import by_length, distinct_words, mix64, slices
+
+CHUNK = 6_000_000  # bytes of text scored at a time, or one text
 
 #: What parts words: anything but letters and digits.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -219,7 +221,7 @@ def best_cut(odds: np.ndarray, labels: np.ndarray) -> float:
 def score_batches(batches: Iterator[pa.RecordBatch], odds: np.ndarray, bias: float, cut: float, s: Settings) -> Iterator[pa.RecordBatch]:
     """Batches whose last column is the text, with its score in the text's place."""
     base = math.log(s.cut / (1 - s.cut))
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1, CHUNK)):
         words, tokens, counts = read_words(batch.column(batch.num_columns - 1))
         flat, n_feats = word_features(words, s.buckets)
         of_word = sums(odds[flat].astype(np.float64), np.r_[0, np.cumsum(n_feats)][:-1])
@@ -293,7 +295,7 @@ def fitted(texts: DataFrame | None, s: Settings) -> tuple[np.ndarray, float, flo
         odds, bias, cut = fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64), s)
         yield pa.RecordBatch.from_arrays([pa.array([odds.astype("<f4").tobytes()], pa.binary()), pa.array([bias]), pa.array([cut])], names=["odds", "bias", "cut"])
 
-    row = texts.repartition(1).mapInArrow(run, "odds binary, bias double, cut double").first()
+    row = texts.repartition(1).mapInArrow(tidy(run), "odds binary, bias double, cut double").first()
     return np.frombuffer(row["odds"], "<f4"), row["bias"], row["cut"]
 
 
@@ -317,6 +319,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
 
     own = docs.select("doc_id", *carry, F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    out = own.mapInArrow(run, schema + ", score double")
+    out = own.mapInArrow(tidy(run), schema + ", score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= s.cut, 1).otherwise(0).alias("predicted"), *carry)

@@ -22,6 +22,14 @@ def distinct_words(texts: pa.Array, pattern: str, lower: bool = True) -> tuple[l
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.bincount(rows, minlength=len(parts))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `size` bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(size, ends[-1] if len(ends) else 0, size)) + 1, len(ends)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups of words of equal length: their numbers, and their code points as a matrix."""
     if not words:
