@@ -227,12 +227,12 @@ def named_files(v: Views) -> DataFrame:
 
 
 @query("relations", """
-, edges as (select policy_id as from_id, lag(policy_id) over (partition by effective_from order by policy_id, version_id) as to_id, ['AMENDS', 'REPLACES', 'CLARIFIES'][version_id % 3 + 1] as kind from versions where version_id % 4 = 0)
+, edges as (select policy_id as from_id, lag(policy_id) over (partition by effective_from order by policy_id, version_id) as to_id, ['AMENDS', 'REPLACES', 'CLARIFIES'][version_id % 3 + 1] as kind from versions where date_source = 'entered')
 select from_id as policy_id, 'outgoing' as direction, kind, to_id as other_id from edges where to_id <> from_id
 union all select to_id, 'incoming', kind, from_id from edges where to_id <> from_id""")
 def relations(v: Views) -> DataFrame:
     w = Window.partitionBy("effective_from").orderBy("policy_id", "version_id")
-    edges = v.versions().filter("version_id % 4 = 0").select(F.col("policy_id").alias("from_id"), F.lag("policy_id").over(w).alias("to_id"), pick(F.col("version_id"), "AMENDS", "REPLACES", "CLARIFIES").alias("kind"))
+    edges = v.versions().filter("date_source = 'entered'").select(F.col("policy_id").alias("from_id"), F.lag("policy_id").over(w).alias("to_id"), pick(F.col("version_id"), "AMENDS", "REPLACES", "CLARIFIES").alias("kind"))
     return worklists.relations(edges.filter("to_id <> from_id"))
 
 

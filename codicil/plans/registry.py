@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from codicil.plans import catalog_checks, catalog_core, catalog_search, catalog_work
+from codicil.plans import catalog_answers, catalog_checks, catalog_core, catalog_match, catalog_search, catalog_structure, catalog_work
 
-QUERIES = catalog_core.QUERIES | catalog_search.QUERIES | catalog_checks.QUERIES | catalog_work.QUERIES
-SQL = catalog_core.SQL | catalog_search.SQL | catalog_checks.SQL | catalog_work.SQL
+CATALOGS = (catalog_core, catalog_search, catalog_checks, catalog_work, catalog_answers, catalog_structure, catalog_match)
+
+QUERIES = {name: build for c in CATALOGS for name, build in c.QUERIES.items()}
+SQL = {name: sql for c in CATALOGS for name, sql in c.SQL.items()}
 FLAGSHIP = "keyword_lane"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codicil.sources.tables import load
@@ -117,6 +117,19 @@ class Views:
     def notices(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("notice_id"), "user_id", F.col("ts").alias("created_at"), (F.col("event_id") % 4 == 0).alias("is_read"), F.col("event_type").alias("kind"))
 
+    def lines(self) -> DataFrame:
+        """Lines of a laid-out manual for each version: a page for each section, with a running header and footer."""
+        n = F.col("number").cast("string")
+        head = (
+            F.when(F.col("version_id") % 5 == 0, F.concat(F.lit("Chapter "), n, F.lit(": "), F.col("title"))).when(F.col("number") % 2 == 0, F.concat(n, F.lit(".1 "), F.col("title")))
+            .when(F.col("number") % 3 == 0, F.col("title")).otherwise(F.concat(n, F.lit(". "), F.col("title")))
+        )
+        line = lambda text, size, bold: F.struct(text.alias("text"), F.lit(size).alias("size"), F.lit(bold).alias("bold"))
+        body = F.transform(F.split("content", r"\. "), lambda s: line(s, 10.0, False))
+        every = F.concat(F.array(line(F.concat(F.lit("Manual of rules - page "), n), 9.0, False), line(head, 14.0, True)), body, F.array(line(F.concat(F.lit("Page "), n, F.lit(" of "), F.col("pages").cast("string")), 9.0, False)))
+        rows = self.sections().withColumn("pages", F.count("*").over(Window.partitionBy("version_id"))).select(F.col("version_id").alias("doc_id"), F.col("number").alias("page"), F.posexplode(every).alias("line_no", "line"))
+        return rows.select("doc_id", "page", "line_no", F.floor(F.col("line_no") / 3).cast("int").alias("block"), "line.text", "line.size", "line.bold")
+
 
 def pick(number: Column, *names: str) -> Column:
     """The name at a number's remainder."""
@@ -170,7 +183,14 @@ chunks as (
 tickets as (
   select event_id as ticket_id, user_id as author_id, user_id % 5 as organization_id, ['help', 'data', 'audit'][event_id % 3 + 1] as queue, event_type as kind,
     ['open', 'in_progress', 'closed'][event_id // 3 % 3 + 1] as status, ts as created_at from events),
-notices as (select event_id as notice_id, user_id, ts as created_at, event_id % 4 = 0 as is_read, event_type as kind from events)
+notices as (select event_id as notice_id, user_id, ts as created_at, event_id % 4 = 0 as is_read, event_type as kind from events),
+laid as (
+  select version_id as doc_id, number as page, ['Manual of rules - page ' || number,
+    case when version_id % 5 = 0 then 'Chapter ' || number || ': ' || title when number % 2 = 0 then number || '.1 ' || title when number % 3 = 0 then title else number || '. ' || title end]
+    || string_split(content, '. ') || ['Page ' || number || ' of ' || count(*) over (partition by version_id)] as t from sections),
+lines as (
+  select doc_id, page, cast(i - 1 as int) as line_no, cast((i - 1) // 3 as int) as block, text, (case when i = 2 then 14.0 when i = 1 or i = n then 9.0 else 10.0 end)::double as size, i = 2 as bold from (
+    select doc_id, page, unnest(t) as text, generate_subscripts(t, 1) as i, len(t) as n from laid))
 """
 
 
