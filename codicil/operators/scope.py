@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ADMIN, MANAGER, USER = "admin", "manager", "user"
@@ -37,21 +37,49 @@ def visible(resources: DataFrame, principals: DataFrame, assignments: DataFrame)
     return wide.select(*names).unionByName(mine.select(*names))
 
 
+def by_scope(resources: DataFrame) -> DataFrame:
+    """Resources counted by (organisation, branch), with the smallest and largest policy: few rows, whatever there is of either side."""
+    return resources.groupBy("organization_id", "branch_id").agg(F.count("*").alias("n"), F.min("policy_id").alias("low"), F.max("policy_id").alias("high"))
+
+
+def visible_counts(resources: DataFrame, principals: DataFrame, assignments: DataFrame) -> DataFrame:
+    """How many resources each principal may see, and the smallest and largest of them: the counts of `visible` without its pairs.
+
+    Admins and managers meet the scopes of their organisation, not its resources; users their assignments.
+    """
+    p = principals_for(principals).filter("p_organization_id is not null")
+    wide = p.filter(F.col("p_role").isin(ADMIN, MANAGER)).join(by_scope(resources), F.col("p_organization_id") == F.col("organization_id")).filter(in_scope())
+    mine = p.filter(F.col("p_role") == USER).join(assignments, "user_id").join(resources, "policy_id").filter(in_scope())
+    every = wide.select("user_id", "n", "low", "high").unionByName(mine.select("user_id", F.lit(1).cast("long").alias("n"), F.col("policy_id").alias("low"), F.col("policy_id").alias("high")))
+    return every.groupBy("user_id").agg(F.sum("n").alias("n_visible"), F.min("low").alias("first_policy"), F.max("high").alias("last_policy"))
+
+
+def write_counts(resources: DataFrame, principals: DataFrame) -> DataFrame:
+    """How many resources each principal's scope reaches, and at how many of these scopes they may place content."""
+    met = principals_for(principals).join(by_scope(resources), F.col("p_organization_id") == F.col("organization_id")).filter(in_scope())
+    return met.groupBy("user_id").agg(F.sum("n").alias("reached"), F.sum(F.when(can_write(), F.col("n")).otherwise(0)).alias("writable"))
+
+
 def assignable(policies: DataFrame, users: DataFrame, assignments: DataFrame, search: str = "", limit: int = 200) -> DataFrame:
-    """Users that each policy's scope reaches, by name, with a flag for those who have it; at most `limit` for each policy."""
-    from pyspark.sql import Window
+    """Users that each policy's scope reaches, by name, with a flag for those who have it; at most `limit` for each policy.
 
-    p = principals_for(users.filter(F.contains(F.lower("name"), F.lit(search.lower()))).filter(F.col("role") == USER)).join(users.select("user_id", "name"), "user_id")
-    met = policies.select("policy_id", "organization_id", "branch_id").join(p, F.col("organization_id") == F.col("p_organization_id")).filter(in_scope())
-    k = F.row_number().over(Window.partitionBy("policy_id").orderBy("name", "user_id"))
-    best = met.withColumn("k", k).filter(F.col("k") <= limit)
+    The first `limit` users are found once for each scope, not for each policy.
+    """
+    found = users.filter(F.contains(F.lower("name"), F.lit(search.lower()))).filter(F.col("role") == USER).select("user_id", "name", "organization_id", F.col("branch_id").alias("home"))
+    first = lambda *by: found.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("name", "user_id"))).filter(F.col("k") <= limit)
+    rows = policies.select("policy_id", "organization_id", "branch_id")
+    near = rows.filter("branch_id is not null").join(first("organization_id", "home").withColumnRenamed("home", "branch_id"), ["organization_id", "branch_id"])
+    wide = rows.filter("branch_id is null").join(first("organization_id"), "organization_id")
+    best = near.select("policy_id", "user_id", "name").unionByName(wide.select("policy_id", "user_id", "name"))
     flag = assignments.select("policy_id", "user_id").distinct().withColumn("assigned", F.lit(True))
     return best.join(flag, ["policy_id", "user_id"], "left").select("policy_id", "user_id", "name", F.coalesce("assigned", F.lit(False)).alias("assigned"))
 
 
 def audience(policies: DataFrame, users: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Whom news of a policy reaches: users it is assigned to, and managers of its scope."""
-    p = principals_for(users)
-    mine = assignments.join(p.filter(F.col("p_role") == USER), "user_id").select("policy_id", "user_id")
-    near = policies.join(p.filter(F.col("p_role") == MANAGER), F.col("organization_id") == F.col("p_organization_id")).filter(in_scope())
-    return mine.join(policies.select("policy_id"), "policy_id").unionByName(near.select("policy_id", "user_id")).distinct()
+    """Whom news of a policy reaches: users it is assigned to, and managers of its scope. Managers meet the policies of their branch,
+    and apart from these the few that are for a whole organisation."""
+    mine = assignments.join(users.filter(F.col("role") == USER).select("user_id"), "user_id").join(policies.select("policy_id"), "policy_id").select("policy_id", "user_id")
+    managers = users.filter(F.col("role") == MANAGER).select("user_id", "organization_id", "branch_id")
+    near = policies.filter("branch_id is not null").select("policy_id", "organization_id", "branch_id").join(managers, ["organization_id", "branch_id"])
+    wide = policies.filter("branch_id is null").select("policy_id", "organization_id").join(managers.drop("branch_id"), "organization_id")
+    return mine.unionByName(near.select("policy_id", "user_id")).unionByName(wide.select("policy_id", "user_id")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.operators import answers, fingerprints, retrieval
 from codicil.plans.catalog_checks import facts_sql
+from codicil.plans.catalog_core import D, day
 from codicil.plans.catalog_search import POSTINGS, SIMHASH, TOKENS, asked, docs
 from codicil.plans.views import Views, pick, with_views
 from codicil.sources.scratch import stored
@@ -247,3 +248,45 @@ select *, cast(row_number() over (partition by query_id order by fused desc, doc
 def fused_variants(v: Views) -> DataFrame:
     lane = lambda df, k: df.select("query_id", F.lit(k).alias("variant"), "doc_id", "rank")
     return answers.fuse_variants(lane(retrieval.keyword_lane(asked(v), docs(v)), 0).unionByName(lane(retrieval.exact_lane(asked(v), docs(v)), 1)))
+
+
+TITLED = """
+, asked_by as (select c_custkey as query_id, c_custkey as user_id, p_name || ' exceed months' as text from customer join part on p_partkey = c_custkey),
+terms as (select query_id, unnest(list_distinct({tokens_q})) as term from asked_by),
+scope_live as (select u.document_id, t.policy_id, p.organization_id, p.branch_id from uploads u join timeline t using (version_id) join policies p on p.policy_id = t.policy_id
+  where u.status = 'ready' and t.effective_from <= {day} and (t.effective_to is null or t.effective_to > {day})),
+open_chunks as (select chunk_id, title || ' ' || content as text, s.* from chunks c join scope_live s using (document_id)),
+posts as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest({tokens}) as term from open_chunks) group by all), freq as (select term, least(count(*), 20000) as df from posts group by term), total as (select count(*) as n from open_chunks),
+ranked as (select t.query_id, t.term, df, n, row_number() over (partition by query_id order by df, t.term) as k, count(*) filter (df < least(20000, n * 0.2)) over (partition by query_id) as rare from terms t join freq using (term), total),
+chosen as (select query_id, term, df, n from ranked where n < 2000 or (k <= 10 and df < least(20000, n * 0.2)) or (rare = 0 and k <= 3)),
+scored as (select query_id, chunk_id, cast(sum(cast(round(round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) * tf / (tf + 1), 6) as decimal(18, 6))) as double) as score from posts join chosen using (term) group by all),
+allowed as (
+  select s.* from scored s join asked_by q using (query_id) join principals p on p.user_id = q.user_id join open_chunks r using (chunk_id)
+  where r.organization_id = p.organization_id and (p.role = 'admin' or r.branch_id is null or r.branch_id = p.branch_id) and (p.role <> 'user' or exists (select 1 from assignments a where a.user_id = p.user_id and a.policy_id = r.policy_id)))
+select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from allowed qualify rank <= 50"""
+
+
+@query("scoped_search", TITLED.format(tokens=TOKENS.format("text"), tokens_q=TOKENS.format("text"), day=D))
+def scoped_search(v: Views) -> DataFrame:
+    chunks = retrieval.searchable(v.chunks().withColumn("content", F.concat_ws(" ", "title", "content")), v.uploads(), v.versions(), v.policies(), day())
+    names = v.table("part").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" exceed months")).alias("text"))
+    asked_by = v.table("customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("user_id")).join(names, "query_id")
+    return retrieval.scoped_lane(asked_by, chunks, v.principals(), v.assignments())
+
+
+@query("section_lane", f"""
+with units as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+posts as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOKENS.format("text")}) as term from documents) group by all), freq as (select term, least(count(*), 20000) as df from posts group by term), total as (select count(*) as n from documents),
+asked as (select item_id as query_id, unnest(list_distinct({TOKENS.format("text")})) as term from benchmark),
+weighted as (select query_id, term, round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) as weight from asked join freq using (term), total),
+best as (select query_id, doc_id as section_id, cast(sum(cast(round(weight * tf / (tf + 1), 6) as decimal(18, 6))) as double) as section_score from posts join weighted using (term) group by query_id, doc_id),
+leading as (select * from best qualify row_number() over (partition by query_id order by section_score desc, section_id) <= 200),
+parts as (select doc_id * 100000 + i as chunk_id, term, count(*) as tf from (select doc_id, i, unnest({TOKENS.format("text")}) as term from units) group by all),
+own as (select query_id, chunk_id, cast(sum(cast(round(weight * tf / (tf + 1), 6) as decimal(18, 6))) as double) as chunk_score from parts join weighted using (term) group by all),
+met as (select b.query_id, section_id, doc_id * 100000 + i as chunk_id, section_score from leading b join units u on u.doc_id = b.section_id)
+select m.query_id, section_id, m.chunk_id, round(0.6 * section_score + 0.4 * coalesce(chunk_score, 0), 6) as score, cast(row_number() over (partition by m.query_id order by round(0.6 * section_score + 0.4 * coalesce(chunk_score, 0), 6) desc, m.chunk_id) as int) as rank
+from met m left join own o on o.query_id = m.query_id and o.chunk_id = m.chunk_id qualify rank <= 30""", False)
+def section_lane(v: Views) -> DataFrame:
+    units = docs(v).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"))
+    chunks = units.select(F.col("doc_id").alias("section_id"), (F.col("doc_id") * 100000 + F.col("i") + 1).alias("chunk_id"), "text")
+    return retrieval.section_lane(asked(v), docs(v).withColumnRenamed("doc_id", "section_id"), chunks)

@@ -37,17 +37,14 @@ REACH = "r.organization_id = p.organization_id and (p.role = 'admin' or r.branch
   union all select p.user_id, r.policy_id from principals p join assignments a using (user_id) join policies r on r.policy_id = a.policy_id and {REACH} where p.role = 'user')
 select user_id, count(*) as n_visible, min(policy_id) as first_policy, max(policy_id) as last_policy from seen group by user_id""")
 def visible(v: Views) -> DataFrame:
-    seen = scope.visible(v.policies().select("policy_id", "organization_id", "branch_id"), v.principals(), v.assignments())
-    return seen.groupBy("user_id").agg(F.count("*").alias("n_visible"), F.min("policy_id").alias("first_policy"), F.max("policy_id").alias("last_policy"))
+    return scope.visible_counts(v.policies(), v.principals(), v.assignments())
 
 
 @query("write_scope", f"""
 select p.user_id, count(*) as reached, count(*) filter (p.role = 'admin' or (p.role = 'manager' and r.branch_id = p.branch_id)) as writable
 from principals p join policies r on {REACH} group by p.user_id""")
 def write_scope(v: Views) -> DataFrame:
-    people = scope.principals_for(v.principals())
-    met = v.policies().join(people, F.col("organization_id") == F.col("p_organization_id")).filter(scope.in_scope())
-    return met.groupBy("user_id").agg(F.count("*").alias("reached"), F.count_if(scope.can_write()).alias("writable"))
+    return scope.write_counts(v.policies(), v.principals())
 
 
 @query("assignable", f"""
