@@ -58,7 +58,9 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(True).alias("up")), F.struct(F.col("v").alias("x"), F.lit(False).alias("up")))).alias("e"))
         open_nodes = ends.groupBy("e.x").agg(F.count_if("e.up").alias("ups"), F.count("*").alias("n")).filter("ups > 1 or ups > 0 and n > ups")
         if open_nodes.isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            found._codicil_path = edges._codicil_path  # so that `discard` takes the table behind it
+            return found
         if done == rounds:
             raise RuntimeError(f"the components still change after {rounds} rounds")
         done += 1

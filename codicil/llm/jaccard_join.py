@@ -280,19 +280,30 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near
 
 
-def tested(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+def texts_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows of `base` that hold a text of the nodes in the pairs (a, b): all that their tests read."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(ends.join(nodes.select("node", "first_doc"), "node").select(F.col("first_doc").alias("doc_id")).distinct(), "wanted")
+    texts = stored(base.join(wanted, "doc_id", "left_semi"), "texts")
+    discard(wanted)
+    return texts
+
+
+def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among the pairs (a, b), from their texts."""
     # a node's roles: its partners as a member, its partners / 256 as a center
     roles = routed(pairs).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
-    rows = base.join(roles, base["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
-    return rows.repartition("route").mapInArrow(tidy(verify), "a long, b long")
+    rows = texts.join(roles, texts["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
+    return stored(rows.repartition("route").mapInArrow(tidy(verify), "a long, b long"), "links")
 
 
 def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Components (node, root) of the links, and of `roots` where given."""
-    if roots is not None:
-        links = links.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return stored(components(links), "roots")
+    """Components (node, root) of the links, and of `roots` where given; the tables given are used up."""
+    every = links if roots is None else links.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    graph = components(every)
+    found = stored(graph, "roots")
+    discard(graph, links, *([] if roots is None else [roots]))
+    return found
 
 
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -305,17 +316,24 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def linked_further(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
     """`roots` after all pairs (a, b) have been tested, but for those whose components other links have joined.
 
-    Of each two components that are still apart the smallest pair is tested first; where it links them, the others need no test.
+    Of each two components that are still apart the smallest pair is tested first; where it links them, the others need no
+    test. `base` has the texts of all nodes.
     """
     two = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
     left = stored(across(pairs, roots).select("a", "b", *two).distinct(), "left")
     if left.isEmpty():
+        discard(left)
         return roots
+    texts = texts_of(left.select("a", "b"), nodes, base)
     least = left.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("low", "high", "p.a", "p.b")
-    found = stored(tested(least.select("a", "b"), nodes, base), "links")
+    found = tested(least.select("a", "b"), nodes, texts)
     linked = least.join(found, ["a", "b"], "left_semi").select("low", "high")
-    rest = stored(left.join(linked, ["low", "high"], "left_anti").select("a", "b").join(least, ["a", "b"], "left_anti"), "left")
-    return joined(found if rest.isEmpty() else found.unionByName(tested(rest, nodes, base)), roots)
+    rest = stored(left.join(linked, ["low", "high"], "left_anti").select("a", "b").join(least, ["a", "b"], "left_anti"), "rest")
+    roots = joined(found, roots)
+    if not rest.isEmpty():
+        roots = joined(tested(rest, nodes, texts), roots)
+    discard(left, rest, texts)
+    return roots
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -337,25 +355,31 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
-    sets = stored(base.mapInArrow(tidy(lambda b: describe(b, last.value)), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary"), "sets")
-    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix", "counts", "fine")).alias("x"))
-    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.counts").alias("counts"), F.col("x.fine").alias("fine")), "nodes")
-    token = nodes.select(F.explode("prefix").alias("token"), "node")
-    centers = F.array_distinct(F.array(F.min("node"), *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, CENTERS)]))
-    blocks = token.groupBy("token").agg(centers.alias("centers"), F.count("*").alias("size")).filter("size > 1")
+    described = base.mapInArrow(tidy(lambda b: describe(b, last.value)), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary")
+    wide = stored(described, "sets")
+    own = ("doc_id", "n", "prefix", "counts", "fine")
+    nodes = wide.filter("n > 0").groupBy("node").agg(F.min(F.struct(*own)).alias("x"))
+    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), *[F.col(f"x.{c}").alias(c) for c in own[1:]]), "nodes")
+    sets = stored(wide.select("doc_id", "n", "node"), "rows")
+    discard(wide)
+    token = nodes.select(F.explode("prefix").alias("token"), "node", "n")
+    first = lambda k: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k)))
+    blocks = token.groupBy("token").agg(F.array_distinct(F.array(*map(first, range(CENTERS)))).alias("centers"), F.count("*").alias("size")).filter("size > 1")
     shared = stored(token.join(blocks, "token"), "shared")
     # first round: a few nodes of a block with all others
-    star = shared.select("node", F.explode("centers").alias("center")).filter("node <> center")
-    star = star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    star = shared.select("node", "n", F.explode("centers").alias("c")).filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)")
+    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
-    star = star.join(ends[0], "a").join(ends[1], "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    star = near_pairs(star.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(tidy(bounded), "a long, b long"), nodes)
+    star = star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    star = near_pairs(star.mapInArrow(tidy(bounded), "a long, b long"), nodes)
     one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # each node with one partner, then the others
-    first = joined(tested(one, nodes, base), None)
-    first = linked_further(star.join(one, ["a", "b"], "left_anti"), first, nodes, base)
+    texts = texts_of(star, nodes, base)
+    roots = joined(tested(one, nodes, texts), None)
+    roots = linked_further(star.join(one, ["a", "b"], "left_anti"), roots, nodes, texts)
+    discard(star, texts)
     # second round: blocks with several components
-    rooted = nodes.join(first, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
-    open_rows = shared.filter("size > 2").join(rooted.select("node", "root"), "node")
+    rooted = nodes.join(roots, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
+    open_rows = shared.filter("size > 2").select("token", "node").join(rooted.select("node", "root"), "node")
     mixed = open_rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 <> r1")
     mixed = mixed.select("token", F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
     rows = open_rows.select("token", "node").join(mixed, "token")
@@ -368,11 +392,13 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
     dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
     more = near_pairs(dealt.repartition("route").mapInArrow(tidy(join_blocks), "a long, b long"), nodes)
-    roots = linked_further(more, first, nodes, base)
-    found = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
+    roots = linked_further(more, roots, nodes, base)
+    found = nodes.select("node", "first_doc").join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))
     found = found.join(lowest, "root").select("node", "component")
-    out = sets.select("doc_id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     back = lambda c: F.when(c != none, c)
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
+    out = sets.join(found, "node", "left").select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
+    out = stored(out, "components")
+    discard(sets, nodes, shared, more, roots)
+    return out

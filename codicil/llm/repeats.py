@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import documents, lookup, stored, tidy
+from codicil.llm.common import discard, documents, lookup, stored, tidy
 from codicil.llm.words import mix64
 
 LENGTH = 100  # bytes of a passage that is removed when it came before
@@ -423,6 +423,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, whole: bool
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK)
     found = stored(passages.repartition(parts, "route").mapInArrow(tidy(judge_passages), GROUP), "passages")
     runs = judged.filter(F.col("kind") == KNOWN).unionByName(found).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = stored(runs, "runs")
+    discard(judged, n, found)
     no_runs = F.expr("filter(array(named_struct('lo', 0L, 'hi', 0L)), x -> false)")
     met = base.join(runs, ["doc_id", "k"], "left").select("doc_id", "k", "text", F.coalesce("runs", no_runs).alias("runs"), *carry)
     more = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in carry)
