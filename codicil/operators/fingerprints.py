@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +24,25 @@ def word_shingles(words: Column, size: int = 3) -> Column:
     return F.when(n >= size, runs).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def majority(hashes: pd.Series) -> pd.Series:
+    """Of each string of 64-bit hashes (16 hex digits each) the bits that more than half of them have, as a signed long."""
+    out = np.zeros(len(hashes), np.int64)
+    for i, text in enumerate(hashes):
+        rows = np.frombuffer(bytes.fromhex(text), np.uint8).reshape(-1, 8)
+        ones = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > len(rows)).view(">i8")[0]
+    return pd.Series(out)
+
+
 def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """64-bit majority vote over the hashes of three-word shingles (first 16 hex digits of md5), as a signed long.
 
-    Repeated shingles vote each time. Texts without words have 0. The votes are 64 sums with map-side partial results.
+    Repeated shingles vote each time. Texts without words have 0. All votes of a text are counted in its row, so nothing is
+    spread or shuffled.
     """
-    docs = docs.withColumn("words_", F.filter(F.split(normalised(F.col(text)), " "), lambda w: w != ""))  # split once, not for each shingle
-    words = F.col("words_")
-    half_of = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
-    hashed = F.transform(F.transform(word_shingles(words), F.md5), lambda h: F.struct(half_of(h, 1).alias("hi"), half_of(h, 9).alias("lo")))
-    # the hashes are made before the explode, once for each shingle
-    halves = docs.select(key, F.explode_outer(hashed).alias("h")).select(key, "h.hi", "h.lo")
-    vote = lambda c, b: F.sum(F.shiftright(c, b).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = halves.groupBy(key).agg(*[vote(n, b).alias(f"{n}{b}") for n in ("hi", "lo") for b in range(32)])
-    half = lambda n: sum((F.when(F.col(f"{n}{b}") > 0, F.lit(1 << b)).otherwise(0) for b in range(1, 32)), F.when(F.col(f"{n}0") > 0, F.lit(1)).otherwise(0)).cast("long")
-    return sums.select(key, F.shiftleft(half("hi"), 32).bitwiseOR(half("lo")).alias("simhash"))
+    words = F.filter(F.split(normalised(F.col(text)), " "), lambda w: w != "")
+    hashed = F.array_join(F.transform(word_shingles(F.col("words_")), lambda s: F.substring(F.md5(s), 1, 16)), "")
+    return docs.withColumn("words_", words).select(key, hashed.alias("h_")).select(key, F.pandas_udf(majority, "long")("h_").alias("simhash"))
 
 
 def near_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:

@@ -78,7 +78,13 @@ def lines(v: Views) -> DataFrame:
     return compare.summary_lines(compare.numeric_changes(diff(v)))
 
 
-@query("changed_sentences", None)
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({c}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+ONLY = "array_to_string(list_filter({a}, lambda x, i: not list_contains({b}, x) and list_position({a}, x) = i)[1:4], ' | ')"
+
+
+@query("changed_sentences", f"""{DIFF},
+sides as (select old_id, new_id, number, {SENTENCES.format(c="old_content")} as o, {SENTENCES.format(c="new_content")} as n from modified)
+select old_id, new_id, number, {ONLY.format(a="o", b="n")} as removed, {ONLY.format(a="n", b="o")} as added from sides""")
 def sentences(v: Views) -> DataFrame:
     return compare.changed_sentences(diff(v))
 
