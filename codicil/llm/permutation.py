@@ -73,11 +73,15 @@ def nearest(
     them by the exact inner product in doubles; the best k of all blocks remain. A frequent vector spreads over all blocks.
 
     Returns query_id, rank (from 1), vec_id, score; ties to the smaller vec_id. Vectors null, zero or with null or
-    non-finite components take no part. Rows that repeat an id are candidates of their own. Fewer candidates than k: all.
-    Empty tables give no rows; other columns are ignored.
+    non-finite components take no part, nor do those whose length is not that of most rows (of equals the smallest). Rows
+    that repeat an id are candidates of their own, and as queries, where their vectors differ, each gets ranks of its own.
+    Fewer candidates than k: all. Empty tables give no rows; other columns are ignored.
     """
     rows = usable(vectors, key, vector)
-    asked = usable(queries, key, vector)
+    usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
+    length_of = usual["n"] if usual else 0
+    rows = rows.filter(F.size("v") == length_of)
+    asked = usable(queries, key, vector).filter(F.size("v") == length_of).withColumn("h", F.xxhash64("v")).dropDuplicates(["id", "h"])
     pivot_table = choose_pivots(rows, pivots)
     shared = vectors.sparkSession.sparkContext.broadcast(pivot_table)  # at most `pivots` rows
     n_rows, n_queries = rows.count(), asked.count()
@@ -92,13 +96,13 @@ def nearest(
             table = shared.value
             block = Block(near["id"].to_numpy(), np.stack(near["v"].to_numpy()), table, length)
             q = np.stack(sought["v"].to_numpy())
-            for qid, query, prefix in zip(sought["id"].to_numpy(), q, prefixes(q, table, length), strict=True):
+            for qid, h, query, prefix in zip(sought["id"].to_numpy(), sought["h"].to_numpy(), q, prefixes(q, table, length), strict=True):
                 ids, score = block.search(qid, query, prefix, k, share, least)
-                out.append((np.full(len(ids), qid), ids, score))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+                out.append((np.full(len(ids), qid), np.full(len(ids), h), ids, score))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "h", "vec_id", "score"), columns, strict=True)))
 
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id long, h long, vec_id long, score double")
     # at most k rows of each block meet again
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -36,6 +36,17 @@ def test_search_leaves_out_unusable_vectors_and_breaks_ties(spark):
     assert permutation.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_defines_repeated_ids_and_other_lengths(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0]) for i in range(30)] + [(0, [1.0, 5.0]), (0, [1.0, 5.0]), (50, [9.0]), (60, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    got = permutation.nearest(df, df.filter("vec_id in (0, 20, 50)"), k=3).collect()
+    of = lambda q: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+    assert of(50) == [] and {r.vec_id for r in got}.isdisjoint({50, 60})
+    best = lambda v, own: sorted((-(a * v[0] + b * v[1]), i) for i, (a, b) in rows[:32] if i != own)[:3]
+    want = lambda v, own: [(k, i, -s) for k, (s, i) in enumerate(best(v, own), 1)]
+    assert of(20) == want((7.0, 1.0), 20) and of(0) == sorted(want((1.0, 1.0), 0) + want((1.0, 5.0), 0))
+
+
 def test_hilbert_index_visits_neighbours(spark):
     for n, bits in ((2, 3), (3, 2)):
         grid = spark.createDataFrame(list(itertools.product(range(1 << bits), repeat=n)), [f"x{i}" for i in range(n)])
