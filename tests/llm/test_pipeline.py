@@ -18,7 +18,7 @@ CLASHES = ("score", "predicted", "held_out", "component_id", "root", "node", "ke
 
 
 def odd_rows():
-    texts = [*odd_texts(9, 60), (None, "a null id"), (None, None), (77, "same id, other text of some words"), (77, "same id, second text of some words"), (901, "long " * 60_000)]
+    texts = [*odd_texts(9, 60), (None, "a null id"), (None, None), (77, "same id, other text of some words"), (77, "same id, second text of some words"), (950, "long " * 60_000)]
     rows = [(i, t, ("en", "fr", None)[k % 3], f"src{k % 5}" if k % 7 else None, len(t or "")) for k, (i, t) in enumerate(texts)]
     return rows + rows[:5]
 
@@ -123,3 +123,29 @@ def test_repeats_stage_cuts_characters_whole_and_leaves_the_rest(spark):
         want[i] = (out, len(out))
     assert want[0] == ("a\ufffdb", 3) and "\ufffd" in want[2][0] and len(first) > 100
     assert got == want
+
+
+def test_scores_equal_a_plain_version(monkeypatch):
+    import math
+
+    import pyarrow as pa
+
+    s = toxicity.Settings(buckets=1 << 10)
+    odds = np.random.default_rng(3).normal(0, 1, s.buckets).astype(np.float32)
+    texts = [None, "", " ?! ", "one", "Ä é one ONE one two", " ".join(f"w{i % 37} x{i % 5}" for i in range(500)), "tie tie. tie", "x" * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text_"])
+    want = []
+    for t in texts:
+        words = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+        words = [w for k, w in enumerate(words) if k == 0 or w != words[k - 1]]
+        values = []
+        for k in range(0, len(words), s.window):
+            feats = [toxicity.word_features([w], s.buckets)[0] for w in words[k : k + s.window]]
+            total = sum(float(odds[f].astype(np.float64).sum()) for f in feats)
+            values.append(total / max(sum(map(len, feats)), 12 * s.window) + 0.25)
+        z = max(values, default=0.25)
+        want.append(1 / (1 + math.exp(-(z - 1.5 + math.log(0.7 / 0.3)))))
+    for size in (10**9, 40):
+        monkeypatch.setattr(toxicity, "CHUNK", size)
+        got = [x for b in toxicity.score_batches(iter([batch]), odds, 0.25, 1.5, s) for x in b.column(1).to_pylist()]
+        assert np.allclose(got, want, atol=1e-6)
