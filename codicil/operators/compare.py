@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.functions.text import title_key
+
 # Figures in texts, most specific kind first.
 NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 PATTERNS = {
@@ -50,6 +52,27 @@ def compare_versions(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.withColumn("change", change)
 
 
+def align_sections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sections of both sides of a pair (old_id, new_id, place, number, title) that belong together: those with the same number,
+    then of the rest those with the same title key. Of several alike the k-th meets the k-th; each section is used once.
+
+    Returns old_id, new_id, old_place, new_place, by; a place is null where a section has no partner.
+    """
+    pair = ["old_id", "new_id"]
+    left = old.select(*pair, F.col("place").alias("old_place"), "number", title_key(F.col("title")).alias("title"))
+    right = new.select(*pair, F.col("place").alias("new_place"), "number", title_key(F.col("title")).alias("title"))
+    met = []
+    for key in ("number", "title"):
+        numbered = lambda df, place: df.filter(F.col(key).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(*pair, key).orderBy(place)))  # noqa: B023, E731
+        both = numbered(left, "old_place").join(numbered(right, "new_place").select(*pair, key, "k", "new_place"), [*pair, key, "k"]).select(*pair, "old_place", "new_place", F.lit(key).alias("by"))
+        met.append(both)
+        left = left.join(both.select(*pair, "old_place"), [*pair, "old_place"], "left_anti")
+        right = right.join(both.select(*pair, "new_place"), [*pair, "new_place"], "left_anti")
+    none = F.lit(None).cast("int")
+    alone = left.select(*pair, "old_place", none.alias("new_place"), F.lit("removed").alias("by")).unionByName(right.select(*pair, none.alias("old_place"), "new_place", F.lit("added").alias("by")))
+    return met[0].unionByName(met[1]).unionByName(alone)
+
+
 def found_facts(text: Column) -> Column:
     """Figures of a text as an array of structs (kind, value, place)."""
     left = F.coalesce(text, F.lit(""))
@@ -96,7 +119,7 @@ def summary_lines(changes: DataFrame) -> DataFrame:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: cut after a mark that white space follows, and at line feeds."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.;!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.;!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def changed_sentences(diff: DataFrame, most: int = 4) -> DataFrame:

@@ -148,7 +148,7 @@ def chunk_sections(sections: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.select(*key, "path_", bodies.alias("b"))
 
     def tail(body: Column) -> Column:
-        parts = F.filter(F.transform(F.split(body, r"(?<=[.;!?])\s+|\n+"), F.trim), lambda s: s != "")
+        parts = F.filter(F.transform(F.split(body, r"(?<=[.;!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
         last = F.element_at(parts, -1)
         return F.when((F.size(parts) > 1) & (F.length(last) <= OVERLAP), F.concat(last, F.lit(" "))).otherwise("")
 

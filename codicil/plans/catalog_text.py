@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions import dates, text
-from codicil.operators import evidence, fingerprints, metadata, retrieval, timeline
+from codicil.operators import compare, evidence, fingerprints, metadata, retrieval, timeline
 from codicil.plans.catalog_core import D, day
 from codicil.plans.catalog_search import NORMALISED, POSTINGS, TOKENS, asked, docs
 from codicil.plans.views import Views, pick, with_views
@@ -214,3 +214,25 @@ def title_keys(v: Views) -> DataFrame:
     t = F.concat(F.lit("Final Policy-"), "o_custkey", F.lit(" (Revised) Version "), F.col("o_orderkey") % 5, F.lit(".0 of 1998"))
     grouped = F.regexp_replace(text.indian_digits(F.col("o_orderkey")), ",", "") == F.col("o_orderkey").cast("string")
     return v.table("orders").select("o_orderkey", text.title_key(t).alias("title_key"), grouped.alias("grouped"), text.content_similarity(F.col("o_orderkey"), F.col("o_custkey")).alias("similarity"))
+
+
+KEY_OF = KEYED.replace("lower(t)", "lower(title)")
+ALIGNED = f"""
+, pairs as (select lag(version_id) over (partition by policy_id order by effective_from, version_id) as old_id, version_id as new_id from versions where status = 'active' qualify old_id is not null),
+l as (select old_id, new_id, number as place, case when old_id % 2 = 0 or number > 2 then number end as number, {KEY_OF} as title from pairs join (select version_id, number, 'Part ' || (number // 2) as title from sections) s on s.version_id = old_id),
+r as (select old_id, new_id, number as place, case when new_id % 3 <> 0 then number end as number, {KEY_OF} as title from pairs join (select version_id, number, 'Part ' || (number // 2) || ' Version 2' as title from sections) s on s.version_id = new_id),
+n1 as (select a.old_id, a.new_id, a.place as old_place, b.place as new_place from (select *, row_number() over (partition by old_id, new_id, number order by place) as k from l where number is not null) a join (select *, row_number() over (partition by old_id, new_id, number order by place) as k from r where number is not null) b using (old_id, new_id, number, k)),
+l2 as (select l.* from l anti join n1 on l.old_id = n1.old_id and l.new_id = n1.new_id and l.place = n1.old_place), r2 as (select r.* from r anti join n1 on r.old_id = n1.old_id and r.new_id = n1.new_id and r.place = n1.new_place),
+n2 as (select a.old_id, a.new_id, a.place as old_place, b.place as new_place from (select *, row_number() over (partition by old_id, new_id, title order by place) as k from l2) a join (select *, row_number() over (partition by old_id, new_id, title order by place) as k from r2) b using (old_id, new_id, title, k))
+select *, 'number' as by from n1 union all select *, 'title' from n2
+union all select l2.old_id, l2.new_id, l2.place, null, 'removed' from l2 anti join n2 on l2.old_id = n2.old_id and l2.new_id = n2.new_id and l2.place = n2.old_place
+union all select r2.old_id, r2.new_id, null, r2.place, 'added' from r2 anti join n2 on r2.old_id = n2.old_id and r2.new_id = n2.new_id and r2.place = n2.new_place"""
+
+
+@query("align_sections", ALIGNED)
+def align_sections(v: Views) -> DataFrame:
+    pairs, rows = compare.consecutive(v.versions()), v.sections().select("version_id", F.col("number").alias("place"))
+    part = F.concat(F.lit("Part "), F.floor(F.col("place") / 2))
+    old = pairs.join(rows.withColumnRenamed("version_id", "old_id"), "old_id").withColumn("number", F.when((F.col("old_id") % 2 == 0) | (F.col("place") > 2), F.col("place"))).withColumn("title", part)
+    new = pairs.join(rows.withColumnRenamed("version_id", "new_id"), "new_id").withColumn("number", F.when(F.col("new_id") % 3 != 0, F.col("place"))).withColumn("title", F.concat(part, F.lit(" Version 2")))
+    return compare.align_sections(old, new)
