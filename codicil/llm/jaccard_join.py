@@ -362,12 +362,16 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), *[F.col(f"x.{c}").alias(c) for c in own[1:]]), "nodes")
     sets = stored(wide.select("doc_id", "n", "node"), "rows")
     discard(wide)
-    token = nodes.select(F.explode("prefix").alias("token"), "node", "n")
+    # elements of several prefixes: counted first in rows of two numbers, as most are of one set only
+    token = nodes.select(F.explode("prefix").alias("token"), "node")
+    size = token.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stored(token.join(size, "token"), "met")
+    shared = stored(met.join(nodes.select("node", "n"), "node").select("token", "node", "n", "size"), "shared")
+    discard(met)
     first = lambda k: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k)))
-    blocks = token.groupBy("token").agg(F.array_distinct(F.array(*map(first, range(CENTERS)))).alias("centers"), F.count("*").alias("size")).filter("size > 1")
-    shared = stored(token.join(blocks, "token"), "shared")
+    blocks = shared.groupBy("token").agg(F.array_distinct(F.array(*map(first, range(CENTERS)))).alias("centers"))
     # first round: a few nodes of a block with all others
-    star = shared.select("node", "n", F.explode("centers").alias("c")).filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)")
+    star = shared.join(blocks, "token").select("node", "n", F.explode("centers").alias("c")).filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)")
     star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
     star = star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
