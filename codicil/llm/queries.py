@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, url_filter
+from codicil.llm import hilbert, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, residues, url_filter
 from codicil.llm import toxicity as toxicity_
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -73,7 +73,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(read(spark, sf_dir, "documents"))
 
 
+def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residues.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"), label=label)
+
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_jaccard_join": op10_jaccard_join, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
+QUERIES["op13_residues"] = op13_residues
 
 SQL: dict[str, str] = {}
 
@@ -164,3 +171,20 @@ cut as (select *, sum(n_tokens) over (partition by {LEVELS} order by place, doc_
 select {LEVELS}, doc_id, cast(unnest(range(cast(whole as bigint))) as bigint) as epoch, cast(n_tokens as bigint) as n_tokens, cast(n_tokens as bigint) as take_tokens from met
 union all select {LEVELS}, doc_id, cast(whole as bigint), cast(n_tokens as bigint), cast(least(n_tokens, rest - start) as bigint) from cut where start < rest
 """
+
+SQL["op13_residues"] = """
+with fine as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as int) as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+usual as (select len(v) as n from fine group by all order by count(*) desc, n limit 1),
+held as (select * from fine where len(v) = (select n from usual)),
+met as (
+  select a.vec_id as anchor, r.vec_id as other, r.label = a.label as alike, cast(list_dot_product(a.v, r.v) as bigint) as score
+  from held a join held r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positive as (select *, row_number() over (partition by anchor order by score desc, other) as place from met where alike qualify place <= 5),
+ranked as (
+  select p.anchor as anchor_id, p.other as positive_id, cast(row_number() over (partition by p.anchor, p.place order by n.score desc, n.other) as int) as rank, n.other as negative_id,
+    p.score as positive_score, n.score as negative_score
+  from positive p join met n on n.anchor = p.anchor and not n.alike and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select * from ranked where rank <= 5
+"""
