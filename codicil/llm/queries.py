@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, residues, url_filter
+from codicil.llm import hilbert, hmm, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, residues, url_filter
 from codicil.llm import toxicity as toxicity_
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -73,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(read(spark, sf_dir, "documents"))
 
 
+def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,7 +84,7 @@ def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_jaccard_join": op10_jaccard_join, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
-QUERIES["op13_residues"] = op13_residues
+QUERIES |= {"op11_hmm": op11_hmm, "op13_residues": op13_residues}
 
 SQL: dict[str, str] = {}
 

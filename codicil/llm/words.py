@@ -91,3 +91,34 @@ class Remembered:
         sizes = np.diff(self.edges)[at]
         edges = np.r_[0, np.cumsum(sizes)]
         return self.flat[np.repeat(self.edges[:-1][at] - edges[:-1], sizes) + np.arange(edges[-1])], edges
+
+
+def spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words (runs of bytes without space, tab, line feed and the like) of joined texts start and end, and words of each text."""
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    first = np.zeros(len(data) + 1, bool)
+    first[edges] = True
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | first[1:-1]
+    end[:-1] &= ~solid[1:] | first[1:-1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.diff(np.searchsorted(starts, edges))
+
+
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in a row (null: none), and where each begins (one entry more than texts)."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words as an Arrow array of bytes, and the number of each word among them."""
+    sizes = ends - starts
+    offsets = np.r_[0, np.cumsum(sizes)]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1  # a word may begin where another text's last word ends
+    packed = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy()
