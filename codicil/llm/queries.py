@@ -8,8 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import hilbert, hmm, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, residues, url_filter
+from codicil.llm import hilbert, hmm, imatch, jaccard_join, mixing, permutation, pieces, rans, repeats, residues, runs, url_filter
 from codicil.llm import toxicity as toxicity_
+from codicil.llm.common import crc32_text
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -77,6 +78,30 @@ def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of which, where crc32(doc_id) ends in 0, the words from some place on repeat the first few of them."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = crc32_text(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.expr(f"aggregate(runs, cast(null as {kind}), (b, r) -> case when b is null or r.length * b.period > b.length * r.period then r else b end)")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", lines.alias("lines"), "collapsed")
+    milli = F.expr("1000 * length div period")
+    return out.select("doc_id", "n_runs", "start", "length", "period", milli.alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,7 +109,7 @@ def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_rans": op2_rans, "op3_toxicity": op3_toxicity, "op4_permutation": op4_permutation, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_jaccard_join": op10_jaccard_join, "op5_imatch": op5_imatch, "op6_hilbert": op6_hilbert, "op7_url_filter": op7_url_filter}
-QUERIES |= {"op11_hmm": op11_hmm, "op13_residues": op13_residues}
+QUERIES |= {"op11_hmm": op11_hmm, "op12_runs": op12_runs, "op13_residues": op13_residues}
 
 SQL: dict[str, str] = {}
 
