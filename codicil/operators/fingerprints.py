@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.text import hamming, normalised
+from codicil.sources.scratch import stored
 
 
 def content_hash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,25 +27,36 @@ def word_shingles(words: Column, size: int = 3) -> Column:
     return F.when(n >= size, runs).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def majority(hashes: pd.Series) -> pd.Series:
-    """Of each string of 64-bit hashes (16 hex digits each) the bits that more than half of them have, as a signed long."""
-    out = np.zeros(len(hashes), np.int64)
-    for i, text in enumerate(hashes):
-        rows = np.frombuffer(bytes.fromhex(text), np.uint8).reshape(-1, 8)
-        ones = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(rows)).view(">i8")[0]
-    return pd.Series(out)
+VOTES = 1 << 18  # hashes counted at a time
+
+
+def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's 64-bit hashes (16 hex digits each, in a row) the bits that more than half of them have, as a signed long."""
+    for batch in batches:
+        counts = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 16
+        ends = np.cumsum(counts)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(VOTES, ends[-1] if len(ends) else 0, VOTES)) + 1, len(ends)])
+        out = np.zeros(len(counts), np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = np.flatnonzero(counts[a:b]) + a
+            if len(some):
+                bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(t or "" for t in batch.column(1).slice(a, b - a).to_pylist())), np.uint8).reshape(-1, 8), axis=1)
+                starts = np.r_[0, np.cumsum(counts[some])][:-1]
+                ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+                out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1).view(">i8")[:, 0]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[batch.schema.names[0], "simhash"])
 
 
 def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """64-bit majority vote over the hashes of three-word shingles (first 16 hex digits of md5), as a signed long.
 
-    Repeated shingles vote each time. Texts without words have 0. All votes of a text are counted in its row, so nothing is
-    spread or shuffled.
+    Repeated shingles vote each time. Texts without words have 0. A text's votes are counted inside a map over its row, so
+    nothing is spread or shuffled, and no filter on the result runs the hashing twice.
     """
     words = F.filter(F.split(normalised(F.col(text)), " "), lambda w: w != "")
     hashed = F.array_join(F.transform(word_shingles(F.col("words_")), lambda s: F.substring(F.md5(s), 1, 16)), "")
-    return docs.withColumn("words_", words).select(key, hashed.alias("h_")).select(key, F.pandas_udf(majority, "long")("h_").alias("simhash"))
+    rows = docs.withColumn("words_", words).select(key, hashed.alias("h_"))
+    return rows.mapInArrow(majority, f"{key} {rows.schema[key].dataType.simpleString()}, simhash long")
 
 
 def near_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -51,8 +65,9 @@ def near_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:
     Copies are one group, so a group of any size gives one row per pair of groups. The 64 bits are cut into 2 * `distance`
     blocks; two such fingerprints agree in at least half of them, so they meet by the values of some `distance` blocks
     together: 32 bits, few enough fingerprints for each value. A pair is given once, by the first blocks that agree.
+    The groups are written once, as both sides of the join read them.
     """
-    groups = prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    groups = stored(prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "fingerprints")
     cuts = [64 * i // (2 * distance) for i in range(2 * distance + 1)]
     masks = [((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     sets = list(combinations(range(2 * distance), distance))

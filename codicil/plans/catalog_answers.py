@@ -154,8 +154,9 @@ rows as (select k.query_id, k.doc_id, k.rank, simhash, source as family from key
 gone as (select distinct b.query_id, b.doc_id from rows a join rows b on a.query_id = b.query_id and a.rank < b.rank and bit_count(xor(a.simhash, b.simhash)) <= 3 and a.family is distinct from b.family)
 select query_id, doc_id, rank from keyword anti join gone using (query_id, doc_id)""", False)
 def one_copy(v: Views) -> DataFrame:
-    cands = retrieval.keyword_lane(asked(v), docs(v)).select("query_id", "doc_id", "rank")
-    return answers.one_copy(cands, fingerprints.simhash(docs(v)), v.table("documents").select("doc_id", F.col("source").alias("family")))
+    cands = stored(retrieval.keyword_lane(asked(v), docs(v)).select("query_id", "doc_id", "rank"), "candidates")
+    found = docs(v).join(cands.select("doc_id").distinct(), "doc_id", "left_semi")
+    return answers.one_copy(cands, stored(fingerprints.simhash(found), "prints"), v.table("documents").select("doc_id", F.col("source").alias("family")))
 
 
 CLAIMS = """

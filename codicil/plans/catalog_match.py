@@ -9,6 +9,7 @@ from codicil.operators import fingerprints, matching
 from codicil.plans.catalog_core import D, day
 from codicil.plans.catalog_search import SIMHASH, TOKENS, TRIGRAMS, docs
 from codicil.plans.views import Views, with_views
+from codicil.sources.scratch import stored
 
 QUERIES, SQL = {}, {}
 
@@ -105,26 +106,28 @@ with {SIMHASH.strip()}, facts as (select simhash, lang as label, cast(doc_id % 7
 pairs as (select a.doc_id, b.doc_id as other_id, a.label as a_label, b.label as b_label, a.batch_id as a_batch, b.batch_id as b_batch from facts a join facts b on a.simhash = b.simhash and a.doc_id < b.doc_id)
 select doc_id, other_id from pairs where not coalesce(a_label <> b_label, false) and not coalesce(a_batch = b_batch, false)""", False)
 def near_copies(v: Views) -> DataFrame:
-    facts = fingerprints.simhash(docs(v)).join(v.table("documents").select("doc_id", "lang"), "doc_id").filter("simhash <> 0")
+    facts = stored(fingerprints.simhash(docs(v)), "prints").join(v.table("documents").select("doc_id", "lang"), "doc_id").filter("simhash <> 0")
     # copies of one language and batch are one row, so that a group of any size has few
-    groups = facts.groupBy("simhash", "lang", (F.col("doc_id") % 7).alias("batch")).agg(F.min("doc_id").alias("doc_id"))
+    groups = stored(facts.groupBy("simhash", "lang", (F.col("doc_id") % 7).alias("batch")).agg(F.min("doc_id").alias("doc_id")), "groups")
     end = lambda p: groups.select("simhash", F.col("doc_id").alias(f"{p}_doc"), F.col("lang").alias(f"{p}_label"), F.lit(None).cast("date").alias(f"{p}_day"), F.col("batch").alias(f"{p}_batch_id"))
     pairs = end("a").join(end("b"), "simhash").filter("a_doc < b_doc")
     return matching.not_copies(pairs).select(F.col("a_doc").alias("doc_id"), F.col("b_doc").alias("other_id"))
 
 
+OPENING = SIMHASH.replace("from documents)", "from (select version_id as doc_id, content as text from sections where number = 1))").strip()
+
+
 @query("unrelated_versions", f"""
-, opened as (select version_id, ('0x' || substr(md5(content), 1, 15))::bigint as simhash, title || ' ' || content as opening from sections where number = 1),
+, {OPENING}, opened as (select version_id, simhash, title || ' ' || content as opening from sections join prints on doc_id = version_id where number = 1),
 rows as (
   select policy_id, version_id, simhash, list_distinct({TOKENS.format("opening")}) as x, lag(version_id) over w as previous_id, lag(simhash) over w as s0, list_distinct({TOKENS.format("lag(opening) over w")}) as y
   from versions join opened using (version_id) window w as (partition by policy_id order by effective_from, version_id)),
 apart as (select *, cast(bit_count(xor(simhash, s0)) as int) as bits, round(case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y))::double / least(len(x), len(y)) else 0 end, 6) as overlap from rows)
-select policy_id, version_id, previous_id, bits, overlap from apart where bits >= 24 and overlap < 0.65""")
+select policy_id, version_id, previous_id, bits, overlap from apart where bits >= 12 and overlap < 0.65""")
 def unrelated_versions(v: Views) -> DataFrame:
     first = v.sections().filter("number = 1")
-    print_ = F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("long")
-    texts = first.select("version_id", print_.alias("simhash"), F.concat_ws(" ", "title", "content").alias("opening"))
-    return matching.unrelated_versions(v.versions(), texts, 24, 0.65)
+    texts = first.select("version_id", F.concat_ws(" ", "title", "content").alias("opening")).join(fingerprints.simhash(first, "version_id", "content"), "version_id")
+    return matching.unrelated_versions(v.versions(), texts, 12, 0.65)
 
 
 KEYWORDS = [("legal", "license"), ("legal", "rights"), ("web", "http"), ("web", "click"), ("spanish", "que"), ("german", "und"), ("french", "les")]
