@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.text import title_key
+from codicil.operators.structure import merge_continuations
+from codicil.sources.scratch import stored
 
 # Figures in texts, most specific kind first.
 NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?"
@@ -43,34 +52,132 @@ def consecutive(versions: DataFrame) -> DataFrame:
 
 
 def compare_versions(sections: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sections added, removed, modified or unchanged between the versions of each pair, aligned by number."""
-    columns = [c for c in ("title", "content")]
-    old = pairs.join(sections, pairs["old_id"] == sections["version_id"]).select("old_id", "new_id", "number", *[F.col(c).alias(f"old_{c}") for c in columns])
-    new = pairs.join(sections, pairs["new_id"] == sections["version_id"]).select("old_id", "new_id", "number", *[F.col(c).alias(f"new_{c}") for c in columns])
-    met = old.join(new, ["old_id", "new_id", "number"], "full")
-    change = F.when(F.col("old_content").isNull(), "added").when(F.col("new_content").isNull(), "removed").when(F.col("old_content") == F.col("new_content"), "unchanged").otherwise("modified")
-    return met.withColumn("change", change)
+    """Sections added, removed, modified or unchanged between the versions of each pair.
+
+    Sections are (version_id, number, title, content), where given with order_index (else in the order of their numbers) and
+    level. Parts ``... (continued)`` are joined first, then sections are aligned (`align_sections`). Unchanged are those with the
+    same title and content. `number` is that of the new section, or of the old one; `by` says what aligned them.
+    """
+    rows = sections if "order_index" in sections.columns else sections.withColumn("order_index", F.col("number"))
+    rows = rows if "level" in rows.columns else rows.withColumn("level", F.lit(1))
+    rows = merge_continuations(rows).select("version_id", F.col("order_index").alias("place"), "number", "level", "title", "content")
+    side = lambda name: pairs.join(rows.withColumnRenamed("version_id", name), name)
+    old, new = side("old_id"), side("new_id")
+    met = align_sections(old, new)
+    told = lambda df, p: df.select("old_id", "new_id", F.col("place").alias(f"{p}_place"), *[F.col(c).alias(f"{p}_{c}") for c in ("number", "title", "content")])
+    met = met.join(told(old, "old"), ["old_id", "new_id", "old_place"], "left").join(told(new, "new"), ["old_id", "new_id", "new_place"], "left")
+    same = F.col("old_content").eqNullSafe(F.col("new_content")) & F.col("old_title").eqNullSafe(F.col("new_title"))
+    change = F.when(F.col("by").isin("added", "removed"), F.col("by")).when(same, "unchanged").otherwise("modified")
+    number = F.coalesce("new_number", "old_number")
+    return met.select("old_id", "new_id", "old_place", "new_place", number.alias("number"), "old_title", "old_content", "new_title", "new_content", "by", change.alias("change"))
+
+
+TITLE_RATIO, CONTENT_RATIO = 0.75, 0.6
+
+
+def shared_share(a: Counter, b: Counter) -> float:
+    """Twice the characters that two texts share, by how many of all they have: at least as much as their matching blocks."""
+    total = a.total() + b.total()
+    return 2 * (a & b).total() / total if total else 1.0
+
+
+@lru_cache(maxsize=1 << 16)
+def alike_titles(a: str, b: str) -> bool:
+    """Whether the matching blocks of two titles make up `TITLE_RATIO` of both."""
+    if 2 * min(len(a), len(b)) < TITLE_RATIO * (len(a) + len(b)) or shared_share(Counter(a), Counter(b)) < TITLE_RATIO:
+        return False
+    return SequenceMatcher(None, a, b).ratio() >= TITLE_RATIO
+
+
+def pair_alike(old: list[dict], new: list[dict]) -> list[tuple]:
+    """Sections of one pair of versions that nothing exact has aligned: each old one, in order, takes the first new one left that
+    matches. First titles of which one holds the other, over contents that share most characters; then alike titles."""
+    letters: dict[int, Counter] = {}
+
+    def body(row: dict) -> Counter:
+        if id(row) not in letters:
+            letters[id(row)] = Counter(row["content"] or "")
+        return letters[id(row)]
+
+    def nested(o: dict, n: dict) -> bool:
+        a, b = o["title"], n["title"]
+        return bool(a and b) and (a in b or b in a) and shared_share(body(o), body(n)) >= CONTENT_RATIO
+
+    out = []
+    for by, match in (("nested title", nested), ("alike title", lambda o, n: alike_titles(o["title"], n["title"]))):
+        kept = []
+        for o in old:
+            at = next((i for i, n in enumerate(new) if match(o, n)), None)
+            if at is None:
+                kept.append(o)
+            else:
+                out.append((o["place"], new.pop(at)["place"], by))
+        old = kept
+    return out + [(o["place"], None, "removed") for o in old] + [(None, n["place"], "added") for n in new]
+
+
+def pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`pair_alike` of every pair; rows come by pair, side and place, and a pair may go on in the next batch."""
+    schema, out = None, []
+
+    def made() -> pa.RecordBatch:
+        kinds = [schema.field("old_id").type, schema.field("new_id").type, pa.int32(), pa.int32(), pa.string()]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["old_id", "new_id", "old_place", "new_place", "by"])
+
+    def rows() -> Iterator[dict]:
+        nonlocal schema
+        for batch in batches:
+            schema = batch.schema
+            yield from batch.to_pylist()
+
+    for pair, group in groupby(rows(), key=lambda r: (r["old_id"], r["new_id"])):
+        members = list(group)
+        out += [(*pair, *found) for found in pair_alike([r for r in members if r["side"] == 0], [r for r in members if r["side"] == 1])]
+        if len(out) > 10_000:
+            yield made()
+    if out:
+        yield made()
 
 
 def align_sections(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sections of both sides of a pair (old_id, new_id, place, number, title) that belong together: those with the same number,
-    then of the rest those with the same title key. Of several alike the k-th meets the k-th; each section is used once.
+    """Sections of both sides of a pair (old_id, new_id, place, number, title; level and content where given) that belong together.
+
+    In passes over what is left: equal numbers, front matter (level 0), equal title keys, then titles of which one holds the
+    other if the contents share 60 % of their characters, then titles whose matching blocks make up 75 %. Of several alike the
+    k-th meets the k-th; each section is used once. Null numbers and levels match nothing; null titles count as empty, and
+    empty titles are equal. A place is unique on its side.
 
-    Returns old_id, new_id, old_place, new_place, by; a place is null where a section has no partner.
+    The exact passes are windows over one shuffle by pair. Only pairs with sections left on both sides go on to the last two,
+    one pair at a time, whose matches depend on each other; a pair's sections left are held in one task.
+
+    Returns old_id, new_id, old_place, new_place, by; a place is null where a section has no partner (by: removed, added).
     """
     pair = ["old_id", "new_id"]
-    left = old.select(*pair, F.col("place").alias("old_place"), "number", title_key(F.col("title")).alias("title"))
-    right = new.select(*pair, F.col("place").alias("new_place"), "number", title_key(F.col("title")).alias("title"))
-    met = []
-    for key in ("number", "title"):
-        numbered = lambda df, place: df.filter(F.col(key).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(*pair, key).orderBy(place)))  # noqa: B023, E731
-        both = numbered(left, "old_place").join(numbered(right, "new_place").select(*pair, key, "k", "new_place"), [*pair, key, "k"]).select(*pair, "old_place", "new_place", F.lit(key).alias("by"))
-        met.append(both)
-        left = left.join(both.select(*pair, "old_place"), [*pair, "old_place"], "left_anti")
-        right = right.join(both.select(*pair, "new_place"), [*pair, "new_place"], "left_anti")
-    none = F.lit(None).cast("int")
-    alone = left.select(*pair, "old_place", none.alias("new_place"), F.lit("removed").alias("by")).unionByName(right.select(*pair, none.alias("old_place"), "new_place", F.lit("added").alias("by")))
-    return met[0].unionByName(met[1]).unionByName(alone)
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        level = F.col("level") if "level" in df.columns else F.lit(1)
+        return df.select(*pair, F.lit(number).alias("side"), F.col("place").cast("int").alias("place"), F.col("number").cast("string").alias("number"), level.alias("level"), title_key(F.col("title")).alias("title"))
+
+    rows = side(old, 0).unionByName(side(new, 1)).repartition(*pair).withColumn("by", F.lit(None).cast("string")).withColumn("partner", F.lit(None).cast("int"))
+    for by, key in (("number", F.col("number")), ("front", F.when(F.col("level") == 0, "front")), ("title", F.col("title"))):
+        rows = rows.withColumn("key_", F.when(F.col("by").isNull(), key))
+        rows = rows.withColumn("k_", F.row_number().over(Window.partitionBy(*pair, "side", "key_").orderBy("place")))
+        both = Window.partitionBy(*pair, "key_", "k_")
+        rows = rows.withColumn("met_", F.col("key_").isNotNull() & (F.count("*").over(both) == 2)).withColumn("sum_", F.sum("place").over(both))
+        rows = rows.withColumn("partner", F.when(F.col("met_"), F.col("sum_") - F.col("place")).otherwise(F.col("partner")).cast("int")).withColumn("by", F.when(F.col("met_"), by).otherwise(F.col("by")))
+    left_on = lambda s: F.count_if(F.col("by").isNull() & (F.col("side") == s)).over(Window.partitionBy(*pair)) > 0
+    rows = stored(rows.withColumn("open", F.col("by").isNull() & left_on(0) & left_on(1)).select(*pair, "side", "place", "title", "by", "partner", "open"), "aligned")
+
+    exact = rows.filter("by is not null and side = 0").select(*pair, F.col("place").alias("old_place"), F.col("partner").alias("new_place"), "by")
+    place = lambda s: F.when(F.col("side") == s, F.col("place"))
+    alone = rows.filter("by is null and not open").select(*pair, place(0).alias("old_place"), place(1).alias("new_place"), F.when(F.col("side") == 0, "removed").otherwise("added").alias("by"))
+    body = lambda df, s: df.select(*pair, F.lit(s).alias("side"), F.col("place").cast("int").alias("place"), F.col("content") if "content" in df.columns else F.lit("").alias("content"))
+    rest = rows.filter("open").select(*pair, "side", "place", "title").join(body(old, 0).unionByName(body(new, 1)), [*pair, "side", "place"], "left")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in pair)
+    rest = rest.repartition(*pair).sortWithinPartitions(*pair, "side", "place")
+    return exact.unionByName(alone).unionByName(rest.mapInArrow(pairs_alike, f"{kinds}, old_place int, new_place int, by string"))
 
 
 def found_facts(text: Column) -> Column:
@@ -83,30 +190,19 @@ def found_facts(text: Column) -> Column:
     return F.flatten(F.array(*found))
 
 
-def numeric_changes(diff: DataFrame) -> DataFrame:
-    """Figures of modified sections that only one side has, paired by kind in reading order.
+def numeric_changes(diff: DataFrame, keys: Sequence[str] = ("old_id", "new_id", "number")) -> DataFrame:
+    """Figures of modified sections (rows unique by `keys`) that only one side has, paired by kind in reading order.
 
-    A figure that both sides have as often is no change: the k-th occurrence of a value meets the k-th. All of it happens
-    inside the row of the section; only what has changed is spread.
+    A figure that both sides have as often is no change: the k-th occurrence of a value meets the k-th. Every figure becomes a
+    row once; all steps are windows over one shuffle by section.
     """
-    keys = ["old_id", "new_id", "number"]
-    rows = diff.filter("change = 'modified'").select(*keys, found_facts(F.col("old_content")).alias("o"), found_facts(F.col("new_content")).alias("n"))
-    same = lambda x, y: (x["kind"] == y["kind"]) & (x["value"] == y["value"])
-    before = lambda c, i, like: F.size(F.filter(F.slice(c, F.lit(1), i), like))
-
-    def counted(c: str) -> Column:
-        return F.transform(c, lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), before(F.col(c), i, lambda y: same(x, y)).alias("k")))
-
-    def placed(c: str) -> Column:
-        return F.transform(c, lambda x, i: F.struct(x["kind"].alias("kind"), before(F.col(c), i, lambda y: x["kind"] == y["kind"]).alias("j"), x["value"].alias("value")))
-
-    rows = rows.select(*keys, counted("o").alias("o"), counted("n").alias("n"))
-    rows = rows.select(*keys, F.array_except("o", "n").alias("o"), F.array_except("n", "o").alias("n")).filter(F.size("o") + F.size("n") > 0)
-    rows = rows.select(*keys, placed("o").alias("o"), placed("n").alias("n"))
-    spots = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["j"].alias("j")))
-    value = lambda c, e: F.get(F.filter(c, lambda x: (x["kind"] == e["kind"]) & (x["j"] == e["j"])), 0)["value"]
-    every = F.transform(F.array_union(spots("o"), spots("n")), lambda e: F.struct(e["kind"].alias("kind"), value("o", e).alias("old_value"), value("n", e).alias("new_value")))
-    return rows.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
+    told = lambda c, old: F.transform(found_facts(F.col(c)), lambda f: F.struct(F.lit(old).alias("old"), f["kind"].alias("kind"), f["value"].alias("value"), f["place"].alias("place")))
+    rows = diff.filter("change = 'modified'").select(*keys, F.explode(F.concat(told("old_content", True), told("new_content", False))).alias("f")).select(*keys, "f.*").repartition(*keys)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "kind", "value", "old").orderBy("place")))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "kind", "value", "k"))).filter("n = 1")
+    rows = rows.withColumn("j", F.row_number().over(Window.partitionBy(*keys, "kind", "old").orderBy("place")))
+    of = lambda old: F.max(F.when(F.col("old") == old, F.col("value")))
+    return rows.groupBy(*keys, "kind", "j").agg(of(True).alias("old_value"), of(False).alias("new_value")).drop("j")
 
 
 def summary_lines(changes: DataFrame) -> DataFrame:
@@ -129,13 +225,16 @@ def changed_sentences(diff: DataFrame, most: int = 4) -> DataFrame:
     return both.select("old_id", "new_id", "number", F.array_join(only("o", "n"), " | ").alias("removed"), F.array_join(only("n", "o"), " | ").alias("added"))
 
 
-def section_similarity(diff: DataFrame) -> DataFrame:
-    """2 * sum of smaller character counts / all characters of both sides of modified sections, to six places."""
-    keys = ["old_id", "new_id", "number"]
-    changed = diff.filter("change = 'modified'")
-    counts = lambda c: changed.select(*keys, F.explode(F.split(c, "")).alias("ch")).filter("ch <> ''").groupBy(*keys, "ch").agg(F.count("*").alias(c))
-    met = counts("old_content").join(counts("new_content"), [*keys, "ch"], "full").fillna(0, ["old_content", "new_content"])
-    return met.groupBy(*keys).agg(F.round(2 * F.sum(F.least("old_content", "new_content")) / F.sum(F.col("old_content") + F.col("new_content")), 6).alias("ratio"))
+def section_similarity(diff: DataFrame, keys: Sequence[str] = ("old_id", "new_id", "number")) -> DataFrame:
+    """2 * sum of smaller character counts / all characters of both sides of modified sections, to six places.
+
+    Counted inside the row: the other side's count of each character is what its removal takes from the text.
+    """
+    changed = diff.filter("change = 'modified'").select(*keys, F.coalesce("old_content", F.lit("")).alias("o"), F.coalesce("new_content", F.lit("")).alias("n"))
+    count = lambda text, ch: F.length(text) - F.length(F.replace(text, ch))
+    shared = F.aggregate(F.array_distinct(F.split("o", "")), F.lit(0), lambda acc, ch: acc + F.least(count(F.col("o"), ch), count(F.col("n"), ch)))
+    total = F.length("o") + F.length("n")
+    return changed.select(*keys, F.round(F.when(total > 0, 2 * shared / total).otherwise(1.0), 6).alias("ratio"))
 
 
 def version_extremes(facts: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.operators import compare, evidence, retrieval
 from codicil.plans.catalog_search import POSTINGS, asked, docs
+from codicil.plans.alignment import aligned_sql
 from codicil.plans.views import Views, with_views
 from codicil.streaming import streams
 
@@ -29,11 +30,11 @@ def facts_sql(table: str, keys: str, column: str) -> str:
     return " union all ".join(out)
 
 
-DIFF = """
-, pairs as (select lag(version_id) over (partition by policy_id order by effective_from, version_id) as old_id, version_id as new_id from versions where status = 'active' qualify old_id is not null),
-o as (select old_id, new_id, number, title as old_title, content as old_content from pairs join sections on version_id = old_id),
-n as (select old_id, new_id, number, title as new_title, content as new_content from pairs join sections on version_id = new_id),
-diff as (select *, case when old_content is null then 'added' when new_content is null then 'removed' when old_content = new_content then 'unchanged' else 'modified' end as change from o full join n using (old_id, new_id, number)),
+DIFF = f"""{aligned_sql(", whole as (select version_id, number as place, number, 1 as level, title, content from sections)")},
+diff as (
+  select a.old_id, a.new_id, coalesce(n.number, o.number) as number, o.title as old_title, o.content as old_content, n.title as new_title, n.content as new_content,
+    case when "by" in ('added', 'removed') then "by" when o.content = n.content and o.title = n.title then 'unchanged' else 'modified' end as change
+  from aligned a left join whole o on o.version_id = a.old_id and o.place = old_place left join whole n on n.version_id = a.new_id and n.place = new_place),
 modified as (select * from diff where change = 'modified')"""
 FACTS = f"""{DIFF},
 old_facts as (select *, row_number() over (partition by old_id, new_id, number, kind, value order by place) as k from ({facts_sql("modified", "old_id, new_id, number", "old_content")})),

@@ -106,7 +106,8 @@ def parts(v: Views) -> DataFrame:
 
 @query("merged_sections", f"""{PARTS}, based as (select *, regexp_replace(title, ' \\(continued\\)$', '') as base from parts),
 runs as (select *, case when ends_with(title, '(continued)') and lag(base) over w = base and lag(number) over w is not distinct from number then 0 else 1 end as fresh from based window w as (partition by version_id order by order_index)),
-numbered as (select *, sum(fresh) over (partition by version_id order by order_index) as run from runs)
+counted as (select *, sum(fresh) over (partition by version_id order by order_index) as run0 from runs),
+numbered as (select *, struct_pack(a := run0, b := case when first(ends_with(title, '(continued)')) over (partition by version_id, run0 order by order_index) then order_index end) as run from counted)
 select version_id, min(order_index) as order_index, first(number order by order_index) as number, first(title order by order_index) as title, string_agg(content, chr(10) || chr(10) order by order_index) as content, count(*) as n_parts
 from numbered group by version_id, run""")
 def merged_sections(v: Views) -> DataFrame:
