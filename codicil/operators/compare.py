@@ -60,7 +60,7 @@ def compare_versions(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     rows = sections if "order_index" in sections.columns else sections.withColumn("order_index", F.col("number"))
     rows = rows if "level" in rows.columns else rows.withColumn("level", F.lit(1))
-    rows = merge_continuations(rows).select("version_id", F.col("order_index").alias("place"), "number", "level", "title", "content")
+    rows = stored(merge_continuations(rows).select("version_id", F.col("order_index").alias("place"), "number", "level", "title", "content"), "sections")
     side = lambda name: pairs.join(rows.withColumnRenamed("version_id", name), name)
     old, new = side("old_id"), side("new_id")
     met = align_sections(old, new)
