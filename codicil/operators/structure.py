@@ -12,6 +12,9 @@ TOP_WORDS = ("chapter", "part", "annexure", "annex", "appendix", "schedule")
 SENTENCE_WORDS = r"(?i)\b(shall|must|will|should|may|is|are|was|were|has|have)\b"
 EDGE_LINES, LEAST_PAGES = 2, 4
 TARGET, UNIT, OVERLAP = 1500, 2200, 300
+BARE_NUMBER = r"^\d{1,2}(?:\.\d{1,3}){1,5}\.?$"
+SAME_ROW, SAME_LINE, LEAST_ROWS = 3.0, 1.5, 3
+DEEPEST = 6  # levels of headings
 
 
 def edge_key(text: Column) -> Column:
@@ -83,7 +86,8 @@ def build_sections(classified: DataFrame, running: DataFrame) -> DataFrame:
     """Sections of each document: a heading and the lines to the next, without running lines (doc_id, key).
 
     Lines before the first heading are section 0. `path` names the headings above: for each smaller level the last one, unless
-    a heading of a still smaller level came since. A document's lines are one window.
+    a heading of a still smaller level came since; each level's last heading is a running maximum. A document's lines are one
+    window; `carry_headings` does without that.
     """
     kept = classified.withColumn("key", edge_key(F.col("text"))).join(running.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
@@ -94,13 +98,68 @@ def build_sections(classified: DataFrame, running: DataFrame) -> DataFrame:
     found = rows.groupBy("doc_id", "section").agg(head.alias("h"), body.alias("lines"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
     found = found.select("doc_id", "section", F.col("h.level").alias("level"), F.col("h.number").alias("number"), F.col("h.title").alias("title"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("content"), "page_start", "page_end")
     above = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.when(F.col("level").isNotNull(), F.struct("section", "level", "title"))).over(above)
-    # of the headings above, those whose level is below that of every later one and of this
-    parents = F.aggregate(
-        F.reverse("seen"), F.struct(F.col("level").alias("low"), F.array().cast("array<string>").alias("names")),
-        lambda acc, x: F.when(x["level"] < acc["low"], F.struct(x["level"].alias("low"), F.array_prepend(acc["names"], x["title"]).alias("names"))).otherwise(acc),
-    )
-    return found.withColumn("seen", seen).withColumn("path", F.array_join(F.array_append(parents["names"], F.coalesce("title", F.lit(""))), " > ")).drop("seen")
+    # the last heading of each level above: it is a parent if its level is below this one's and no lower level came since
+    lasts = [F.max(F.when(F.col("level") == n, F.struct("section", "title"))).over(above).alias(f"last{n}") for n in range(1, DEEPEST)]
+    found = found.select("*", *lasts)
+    names, since = [], F.lit(-1)
+    for n in range(1, DEEPEST):
+        at = F.coalesce(F.col(f"last{n}.section"), F.lit(-1))
+        names.append(F.when((F.col("level") > n) & (at > since), F.col(f"last{n}.title")))
+        since = F.greatest(since, at)
+    path = F.array_join(F.array_append(F.array_compact(F.array(*names)), F.coalesce("title", F.lit(""))), " > ")
+    return found.withColumn("path", path).drop(*[f"last{n}" for n in range(1, DEEPEST)])
+
+
+def page_windows(lines: DataFrame, width: int = 200) -> DataFrame:
+    """Lines (doc_id, page, ...) with the window of `width` pages that they lie in: keys of bounded size for documents of any size."""
+    return lines.withColumn("window", F.floor((F.col("page") - 1) / width).cast("int"))
+
+
+def carry_headings(classified: DataFrame, width: int = 200) -> DataFrame:
+    """Each line (doc_id, page, line_no, level, number, title) with the number of headings so far and the heading it stands under.
+
+    A window of pages is one group, so no task holds a document. What a window hands on, its headings' count and its last
+    heading, is summed over the windows before, one row each, and meets the window's lines again.
+    """
+    rows = page_windows(classified, width)
+    inside = Window.partitionBy("doc_id", "window").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.when(F.col("level").isNotNull(), F.struct("page", "line_no", "level", "number", "title"))
+    rows = rows.withColumn("count_", F.count("level").over(inside)).withColumn("head_", F.last(head, ignorenulls=True).over(inside))
+    ends = rows.groupBy("doc_id", "window").agg(F.count("level").alias("own"), F.max(head).alias("end"))
+    before = Window.partitionBy("doc_id").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("doc_id", "window", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("earlier"), F.last("end", ignorenulls=True).over(before).alias("handed"))
+    met = rows.join(ends, ["doc_id", "window"])
+    under = F.coalesce("head_", "handed")
+    return met.select(*classified.columns, "window", (F.col("earlier") + F.col("count_")).cast("int").alias("section"), under["number"].alias("under_number"), under["title"].alias("under_title"))
+
+
+def table_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks (doc_id, page, block) that are tables of two columns: three bold lines or more with a regular one within 1.5 of their
+    height (y)."""
+    beside = F.expr(f"count_if(not bold) over (partition by doc_id, page, block order by y range between {SAME_LINE} preceding and {SAME_LINE} following)")
+    paired = lines.select("doc_id", "page", "block", "bold", "y").withColumn("beside", beside).filter("bold and beside > 0")
+    return paired.groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= LEAST_ROWS)
+
+
+def merge_rows(lines: DataFrame) -> DataFrame:
+    """Lines in which a bare section number is joined to the line after it, where that is set on the same row (y within 3).
+
+    Lines of tables (`table_blocks`) stay. The joined line has the larger size, is bold if either is, and takes the number's place.
+    Of several in a row every second is joined to the next.
+    """
+    tables = table_blocks(lines).select("doc_id", "page", "block").withColumn("in_table", F.lit(True))
+    rows = lines.join(tables, ["doc_id", "page", "block"], "left")
+    w = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    after = lambda c: F.lead(c).over(w)
+    joins = F.col("in_table").isNull() & F.rlike(F.trim("text"), F.lit(BARE_NUMBER)) & (F.abs(after("y") - F.col("y")) <= SAME_ROW)
+    rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("i", F.row_number().over(w))
+    rows = rows.withColumn("stop", F.max(F.when(~F.col("joins"), F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("takes", F.col("joins") & ((F.col("i") - F.coalesce("stop", F.lit(0))) % 2 == 1))
+    joined = F.concat(F.regexp_replace(F.trim("text"), r"\.$", ""), F.lit(" "), F.trim(after("text")))
+    pick = lambda c, both: F.when(F.col("takes"), both).otherwise(F.col(c)).alias(c)
+    gone = F.coalesce(F.lag("takes").over(w), F.lit(False)).alias("gone")
+    made = {"text": pick("text", joined), "size": pick("size", F.greatest("size", after("size"))), "bold": pick("bold", F.col("bold") | after("bold"))}
+    return rows.select(*[made.get(c, F.col(c)) for c in lines.columns], gone).filter("not gone").drop("gone")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -133,44 +192,71 @@ def units(content: Column) -> Column:
     return F.filter(F.flatten(parts), lambda u: F.trim(u) != "")
 
 
+def page_at(marks: Column, offset: Column, default: Column) -> Column:
+    """The page of an offset: that of the last mark (offset, page; ascending) at or before it, else of the first mark; without marks
+    the default."""
+    last = F.try_element_at(F.filter(marks, lambda m: m["offset"] <= offset), F.lit(-1))["page"]
+    return F.when(F.coalesce(F.size(marks), F.lit(0)) <= 0, default).otherwise(F.coalesce(last, F.get(marks, 0)["page"]))
+
+
 def chunk_sections(sections: DataFrame, key: list[str]) -> DataFrame:
     """Chunks of each section: units packed to about `TARGET` characters, each with the last sentence of the chunk before in front
     if it has at most `OVERLAP`.
 
-    A section is packed inside its row, so sections are independent. Returns the key, chunk_index, text, token_count, chunk_hash.
+    A section is packed inside its row, so sections are independent. Returns the key, chunk_index, text, token_count, chunk_hash,
+    char_start (of its first unit in the content); where sections have page_marks (array of offset, page) and page_start, also the
+    pages on which a chunk begins and ends.
     """
-    rows = sections.select(*key, F.coalesce("path", F.lit("")).alias("path_"), units(F.coalesce("content", F.lit(""))).alias("u")).filter(F.size("u") > 0)
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
+    paged = {"page_marks", "page_start"} <= set(sections.columns)
+    content = F.coalesce("content", F.lit(""))
+    more = [F.col("page_marks").alias("marks_"), F.col("page_start").alias("page_")] if paged else []
+    rows = sections.select(*key, F.coalesce("path", F.lit("")).alias("path_"), content.alias("content_"), units(content).alias("u"), *more).filter(F.size("u") > 0)
+    item = "array<struct<chunk:int,start:int,stop:int>>"
+    begin = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.lit(1).alias("at"), F.array().cast(item).alias("of"))
 
     def pack(acc: Column, unit: Column) -> Column:
         full = (acc["size"] > 0) & (acc["size"] + F.length(unit) > TARGET)
         chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
         size = F.when(full, F.lit(0)).otherwise(acc["size"]) + F.length(unit) + 2
-        return F.struct(size.cast("int").alias("size"), chunk.cast("int").alias("chunk"), F.array_append(acc["of"], chunk.cast("int")).alias("of"))
+        start = F.call_function("locate", unit, F.col("content_"), acc["at"]) - 1
+        spot = F.struct(chunk.cast("int").alias("chunk"), start.alias("start"), (start + F.length(unit)).alias("stop"))
+        return F.struct(size.cast("int").alias("size"), chunk.cast("int").alias("chunk"), (start + F.length(unit) + 1).alias("at"), F.array_append(acc["of"], spot).alias("of"))
 
-    rows = rows.withColumn("of", F.aggregate("u", start, pack)["of"])
-    bodies = F.transform(F.sequence(F.lit(0), F.array_max("of")), lambda c: F.array_join(F.transform(F.filter(F.arrays_zip("u", "of"), lambda x: x["of"] == c), lambda x: x["u"]), "\n\n"))
-    rows = rows.select(*key, "path_", bodies.alias("b"))
+    rows = rows.withColumn("of", F.aggregate("u", begin, pack)["of"])
+    inside = lambda c: F.filter(F.arrays_zip("u", "of"), lambda x: x["of"]["chunk"] == c)
+    chunk = lambda m: F.struct(F.array_join(F.transform(m, lambda x: x["u"]), "\n\n").alias("body"), m[0]["of"]["start"].alias("start"), F.element_at(m, -1)["of"]["stop"].alias("stop"))
+    made = F.transform(F.sequence(F.lit(0), F.element_at("of", -1)["chunk"]), lambda c: chunk(inside(c)))
+    rows = rows.select(*key, "path_", made.alias("b"), *(["marks_", "page_"] if paged else []))
 
     def tail(body: Column) -> Column:
         parts = F.filter(F.transform(F.split(body, r"(?<=[.;!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
         last = F.element_at(parts, -1)
         return F.when((F.size(parts) > 1) & (F.length(last) <= OVERLAP), F.concat(last, F.lit(" "))).otherwise("")
 
-    rows = rows.withColumn("before", F.transform("b", tail))
-    texts = F.transform("b", lambda b, i: F.when(i == 0, b).otherwise(F.trim(F.concat(F.coalesce(F.get(F.col("before"), i - 1), F.lit("")), b))))
-    out = rows.select(*key, "path_", F.posexplode(texts).alias("chunk_index", "text"))
-    return out.select(*key, "chunk_index", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).cast("int").alias("token_count"), F.sha2(F.concat("path_", F.lit("\n"), "text"), 256).alias("chunk_hash"))
+    rows = rows.withColumn("before", F.transform("b", lambda b: tail(b["body"])))
+    texts = F.transform("b", lambda b, i: F.struct(F.when(i == 0, b["body"]).otherwise(F.trim(F.concat(F.coalesce(F.get(F.col("before"), i - 1), F.lit("")), b["body"]))).alias("text"), b["start"].alias("start"), b["stop"].alias("stop")))
+    out = rows.select(*key, "path_", *(["marks_", "page_"] if paged else []), F.posexplode(texts).alias("chunk_index", "c"))
+    text = F.col("c.text")
+    pages = [page_at(F.col("marks_"), F.col("c.start"), F.col("page_")).alias("page_start"), page_at(F.col("marks_"), F.greatest(F.col("c.stop") - 1, F.col("c.start")), F.col("page_")).alias("page_end")] if paged else []
+    return out.select(*key, "chunk_index", text.alias("text"), F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("int").alias("token_count"), F.sha2(F.concat("path_", F.lit("\n"), text), 256).alias("chunk_hash"), F.col("c.start").alias("char_start"), *pages)
 
 
 def expand_context(found: DataFrame, chunks: DataFrame, width: int, chars: int) -> DataFrame:
     """Found chunks (query_id, section_id, chunk_index) with the last `chars` characters of up to `width` chunks before them in
-    their section, and the first of those after."""
-    w = Window.partitionBy("section_id").orderBy("chunk_index")
-    near = lambda a, b: F.array_join(F.collect_list("text").over(w.rowsBetween(a, b)), " ")
-    rows = chunks.select("section_id", "chunk_index", "text", near(-width, -1).alias("b"), near(1, width).alias("a"))
-    met = found.join(rows, ["section_id", "chunk_index"])
-    return met.select(*found.columns, F.right("b", F.lit(chars)).alias("before"), F.left("a", F.lit(chars)).alias("after"))
+    their section, and the first of those after.
+
+    Each found chunk asks for its neighbours' keys, so only these are read and cut; a chunk that several queries found is
+    gathered once.
+    """
+    own = found.select("section_id", "chunk_index").distinct()
+    steps = F.explode(F.sequence(F.lit(-width), F.lit(width))).alias("step")
+    near = own.select("section_id", F.col("chunk_index").alias("at"), steps).withColumn("chunk_index", F.col("at") + F.col("step"))
+    met = near.join(chunks.select("section_id", "chunk_index", "text"), ["section_id", "chunk_index"])
+    cut = F.when(F.col("step") < 0, F.right("text", F.lit(chars))).otherwise(F.left("text", F.lit(chars)))
+    side = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("step", "cut")))), lambda x: x["cut"]), " ")
+    gathered = met.withColumn("cut", cut).groupBy("section_id", "at").agg(side(F.col("step") < 0).alias("b"), side(F.col("step") > 0).alias("a"), F.count_if(F.col("step") == 0).alias("there"))
+    gathered = gathered.filter("there > 0").select("section_id", F.col("at").alias("chunk_index"), F.right("b", F.lit(chars)).alias("before"), F.left("a", F.lit(chars)).alias("after"))
+    return found.join(gathered, ["section_id", "chunk_index"]).select(*found.columns, "before", "after")
 
 
 def page_lane(queries: DataFrame, chunks: DataFrame, each: int = 12, span: int = 5) -> DataFrame:

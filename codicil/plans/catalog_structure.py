@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.operators import structure
@@ -12,11 +12,11 @@ from codicil.plans.views import Views, with_views
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, views: bool = True):
     def add(build):
         QUERIES[name] = lambda spark, directory: build(Views(spark, directory))
         if sql:
-            SQL[name] = with_views(sql)
+            SQL[name] = with_views(sql) if views else sql
         return build
 
     return add
@@ -114,16 +114,101 @@ def merged_sections(v: Views) -> DataFrame:
     return structure.merge_continuations(parts(v))
 
 
-@query("chunk_sections", None)
+def cut_at(text: str) -> str:
+    """SQL of the trimmed parts of a text between marks that white space follows, or line feeds."""
+    return f"list_filter(list_transform(string_split(regexp_replace(regexp_replace({text}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def packed(source: str) -> str:
+    """SQL of the chunks of a table (doc_id, path, content, marks): units, then one more unit of every text in each step."""
+    raw = "list_filter(string_split(regexp_replace(regexp_replace({p}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda s: trim(s) <> '')"
+    return f"""with recursive source as ({source}),
+paragraphs as (select doc_id, unnest(string_split(content, chr(10) || chr(10))) as p, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) as i from source),
+pieces as (
+  select doc_id, i, flatten(list_transform(case when length(p) <= {structure.UNIT} then [p] else {raw.format(p="p")} end, lambda s: case when length(p) <= {structure.UNIT} then [s] else list_transform(range(1, greatest(1, length(s)) + 1, {structure.UNIT}), lambda k: substr(s, k, {structure.UNIT})) end)) as us from paragraphs),
+units as (select doc_id, u, row_number() over (partition by doc_id order by i, j) as n from (select doc_id, i, unnest(us) as u, generate_subscripts(us, 1) as j from pieces) where trim(u) <> ''),
+steps(doc_id, n, size, chunk, start, stop) as (
+  select u.doc_id, n, length(u) + 2, 0, strpos(content, u) - 1, strpos(content, u) - 1 + length(u) from units u join source using (doc_id) where n = 1
+  union all
+  select u.doc_id, u.n, case when size + length(u) > {structure.TARGET} then 0 else size end + length(u) + 2, chunk + case when size + length(u) > {structure.TARGET} then 1 else 0 end,
+    stop + strpos(substr(content, stop + 1), u) - 1, stop + strpos(substr(content, stop + 1), u) - 1 + length(u) from steps s join units u on u.doc_id = s.doc_id and u.n = s.n + 1 join source c on c.doc_id = s.doc_id),
+bodies as (select s.doc_id, chunk, string_agg(u, chr(10) || chr(10) order by s.n) as body, min(start) as start, max(stop) as stop from steps s join units u on u.doc_id = s.doc_id and u.n = s.n group by s.doc_id, chunk),
+tails as (select *, {cut_at("body")} as parts from bodies),
+texts as (
+  select doc_id, chunk as chunk_index, start, stop, case when chunk = 0 then body else trim(coalesce(lag(case when len(parts) > 1 and length(parts[-1]) <= {structure.OVERLAP} then parts[-1] || ' ' else '' end) over (partition by doc_id order by chunk), '') || body) end as text from tails)
+select t.doc_id, chunk_index, text, cast(greatest(1, ceil(length(text) / 4)) as int) as token_count, sha256(path || chr(10) || text) as chunk_hash, start as char_start"""
+
+
+@query("chunk_sections", f"""{packed("select doc_id, '' as path, coalesce(text, '') as content from documents")} from texts t join source using (doc_id)""", False)
 def chunk_sections(v: Views) -> DataFrame:
     return structure.chunk_sections(docs(v).select("doc_id", F.lit("").alias("path"), F.col("text").alias("content")), ["doc_id"])
 
 
+PAGED = "select doc_id, lang || ' > text' as path, coalesce(text, '') as content, case when doc_id % 5 = 0 then [] else list_transform(range(0, length(coalesce(text, '')), 700), lambda x: {'offset': x + 10, 'page': x // 700 + 3}) end as marks from documents"
+
+
+@query("chunk_pages", f"""{packed(PAGED)},
+  case when len(marks) = 0 then 2 else coalesce(list_filter(marks, lambda m: m.offset <= start)[-1].page, marks[1].page) end as page_start,
+  case when len(marks) = 0 then 2 else coalesce(list_filter(marks, lambda m: m.offset <= greatest(stop - 1, start))[-1].page, marks[1].page) end as page_end
+from texts t join source using (doc_id)""", False)
+def chunk_pages(v: Views) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    marks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / 700), F.lit(0)).cast("int")), lambda k: F.struct((k * 700 + 10).alias("offset"), (k + 3).alias("page")))
+    marks = F.when((F.col("doc_id") % 5 == 0) | (F.length(text) == 0), F.array().cast("array<struct<offset:int,page:int>>")).otherwise(marks)
+    rows = v.table("documents").select("doc_id", F.concat("lang", F.lit(" > text")).alias("path"), text.alias("content"), marks.alias("page_marks"), F.lit(2).alias("page_start"))
+    return structure.chunk_sections(rows, ["doc_id"])
+
+
+LAID = """
+, laid_out as (
+  select l_orderkey as doc_id, cast(l_linenumber % 2 + 1 as int) as page, cast(l_partkey % 3 as int) as block, l_linenumber * 10 + l_suppkey % 3 as line_no, case l_partkey % 4 when 0 then (l_linenumber % 9) || '.' || (l_suppkey % 30) || case when l_quantity > 25 then '.' else '' end when 1 then 'Term ' || l_partkey else '12 Scope ' end as text,
+    (8 + l_partkey % 5)::double as size, l_partkey % 2 = 0 as bold, (l_linenumber * 2 + l_suppkey % 4)::double / 2 as y from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) = 1),
+doubled as (select * from laid_out union all select doc_id, page, block, line_no + 5, text || '.1', size, not bold, y + 0.5 from laid_out union all select doc_id, page, block, line_no + 500, 'Row', size, bold, y + 100 from laid_out),
+tables as (
+  select doc_id, page, block, count(*) as n_rows from doubled a where bold and exists (select 1 from doubled b where b.doc_id = a.doc_id and b.page = a.page and b.block = a.block and not b.bold and abs(b.y - a.y) <= 1.5) group by all having count(*) >= 3)"""
+
+
+def laid_out(v: Views) -> DataFrame:
+    p, n, s = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    one = v.table("lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))).filter("k = 1")
+    text = F.when(p % 4 == 0, F.concat(n % 9, F.lit("."), s % 30, F.when(F.col("l_quantity") > 25, ".").otherwise(""))).when(p % 4 == 1, F.concat(F.lit("Term "), p)).otherwise("12 Scope ")
+    rows = one.select(F.col("l_orderkey").alias("doc_id"), (n % 2 + 1).cast("int").alias("page"), (p % 3).cast("int").alias("block"), (n * 10 + s % 3).alias("line_no"), text.alias("text"), (p % 5 + 8).cast("double").alias("size"), (p % 2 == 0).alias("bold"), ((n * 2 + s % 4).cast("double") / 2).alias("y"))
+    beside = rows.select("doc_id", "page", "block", F.col("line_no") + 5, F.concat("text", F.lit(".1")), "size", ~F.col("bold"), F.col("y") + 0.5).toDF(*rows.columns)
+    return rows.unionByName(beside).unionByName(rows.select("doc_id", "page", "block", F.col("line_no") + 500, F.lit("Row"), "size", "bold", F.col("y") + 100).toDF(*rows.columns))
+
+
+@query("table_blocks", f"{LAID} select * from tables")
+def table_blocks(v: Views) -> DataFrame:
+    return structure.table_blocks(laid_out(v))
+
+
+@query("merge_rows", f"""{LAID},
+able as (
+  select d.*, t.doc_id is null and regexp_matches(trim(text), '{structure.BARE_NUMBER}') and coalesce(abs(lead(d.y) over w - d.y) <= 3, false) as joins, row_number() over w as i, lead(text) over w as t2, lead(size) over w as s2, lead(bold) over w as b2
+  from doubled d left join tables t using (doc_id, page, block) window w as (partition by d.doc_id, d.page order by line_no)),
+walked as (
+  select doc_id, page, list_reduce(list([{{'i': i, 'takes': joins, 'joins': joins}}] order by i), lambda acc, x: list_concat(acc, [{{'i': x[1].i, 'takes': x[1].joins and not acc[-1].takes, 'joins': x[1].joins}}])) as ws from able group by all),
+taken as (select doc_id, page, w.i as i, w.takes as takes from (select doc_id, page, unnest(ws) as w from walked)),
+flagged as (select a.*, takes, coalesce(lag(takes) over (partition by a.doc_id, a.page order by a.i), false) as gone from able a join taken t on t.doc_id = a.doc_id and t.page = a.page and t.i = a.i)
+select doc_id, page, block, line_no, case when takes then regexp_replace(trim(text), '\\.$', '') || ' ' || trim(t2) else text end as text, case when takes then greatest(size, s2) else size end as size, case when takes then bold or b2 else bold end as bold, y from flagged where not gone""")
+def merge_rows(v: Views) -> DataFrame:
+    return structure.merge_rows(laid_out(v))
+
+
+@query("carry_headings", f"""{HEADS}
+select * exclude (h), h.n as under_number, h.t as under_title from (
+  select doc_id, page, line_no, cast((page - 1) // 2 as int) as window, cast(count(level) over w as int) as section, last_value(case when level is not null then {{'n': number, 't': title}} end ignore nulls) over w as h
+  from classified window w as (partition by doc_id order by page, line_no rows unbounded preceding))""")
+def carry_headings(v: Views) -> DataFrame:
+    return structure.carry_headings(classified(v), 2).select("doc_id", "page", "line_no", "window", "section", "under_number", "under_title")
+
+
 @query("expand_context", """
-, rows as (
-  select version_id as section_id, number as chunk_index, string_agg(content, ' ') over (w rows between 2 preceding and 1 preceding) as b, string_agg(content, ' ') over (w rows between 1 following and 2 following) as a
-  from sections window w as (partition by version_id order by number))
-select section_id % 97 as query_id, section_id, chunk_index, right(coalesce(b, ''), 60) as before, left(coalesce(a, ''), 60) as after from rows where chunk_index = 2 or chunk_index = 4""")
+, found as (select version_id as section_id, number as chunk_index from sections where number = 2 or number = 4),
+near as (
+  select f.*, coalesce(string_agg(content, ' ' order by number) filter (number < chunk_index), '') as b, coalesce(string_agg(content, ' ' order by number) filter (number > chunk_index), '') as a
+  from found f join sections s on s.version_id = f.section_id and s.number between chunk_index - 2 and chunk_index + 2 group by all)
+select section_id % 97 as query_id, section_id, chunk_index, right(b, 60) as before, left(a, 60) as after from near""")
 def expand_context(v: Views) -> DataFrame:
     chunks = v.sections().select(F.col("version_id").alias("section_id"), F.col("number").alias("chunk_index"), F.col("content").alias("text"))
     found = chunks.filter("chunk_index in (2, 4)").select((F.col("section_id") % 97).alias("query_id"), "section_id", "chunk_index")
