@@ -55,7 +55,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for p, d in zip(chosen, digits, strict=True):
         total += d.astype(kind) * weight
         weight *= p
-    total -= np.where(total > weight // 2, weight, 0).astype(kind)
+    total -= (total > weight // 2).astype(kind) * weight
     return np.clip(total, -FAR, FAR).astype(np.int64)
 
 

@@ -203,6 +203,8 @@ def text_runs(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def may_have_runs(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Texts in which enough grams come again: a run of LEAST words and TIMES periods holds GRAM + 1 of them at least."""
+    if len(words) < LEAST:
+        return np.zeros(len(sizes), bool)
     w = mix64(words.astype(np.uint64) + np.uint64(1))
     with np.errstate(over="ignore"):
         h = np.zeros(len(w), np.uint64)
