@@ -122,19 +122,24 @@ def extractive_answers(v: Views) -> DataFrame:
 WORD = "'[a-z0-9]+'"
 
 
-@query("lexical_rerank", f"""with {POOL},
-words as (select item_id as query_id, list_distinct({TOKENS.format("text")}) as q, array_to_string(regexp_extract_all(lower(text), {WORD}), ' ') as phrase from benchmark),
-rows as (select p.*, q, phrase, {TOKENS.format("text")} as t, count(*) over (partition by query_id) as n from pool p join words using (query_id)),
+#: the lexical score of every row of a table `pool` (query_id, item_id, text)
+RERANK = f"""
+phrased as (select item_id as query_id, list_distinct({TOKENS.format("text")}) as q, array_to_string(regexp_extract_all(lower(text), {WORD}), ' ') as phrase from benchmark),
+rows as (select p.*, q, phrase, {TOKENS.format("text")} as t, count(*) over (partition by query_id) as n from pool p join phrased using (query_id)),
 held as (select *, list_intersect(q, list_distinct(t)) as held from rows),
 df as (select query_id, term, count(*) as df from (select query_id, unnest(held) as term from held) group by all),
-terms as (select query_id, term, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6)::decimal(18, 6) as idf from (select query_id, unnest(q) as term from words) left join df using (query_id, term) join (select query_id, any_value(n) as n from rows group by 1) using (query_id)),
+terms as (select query_id, term, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6)::decimal(18, 6) as idf from (select query_id, unnest(q) as term from phrased) left join df using (query_id, term) join (select query_id, any_value(n) as n from rows group by 1) using (query_id)),
 totals as (select query_id, sum(idf) as total from terms group by 1),
 got as (select query_id, item_id, sum(idf) as got from (select query_id, item_id, unnest(held) as term from held) join terms using (query_id, term) group by all),
-spots as (select *, list_filter(list_transform(t, lambda x, i: case when list_contains(q, x) then i end), lambda i: i is not null) as places from held)
+spots as (select *, list_filter(list_transform(t, lambda x, i: case when list_contains(q, x) then i end), lambda i: i is not null) as places from held),
+reranked as (
 select query_id, item_id, round(least(1.0, 0.75 * case when total > 0 then coalesce(got, 0)::double / total::double else 0 end
   + 0.15 * case when len(held) > 1 then least(1.0::double, len(held) * 3 / (list_max(places) - list_min(places) + 1)) else 0 end
   + case when length(phrase) > 8 and contains(array_to_string(regexp_extract_all(lower(text), {WORD}), ' '), phrase) then 0.15 else 0 end), 4) as score
-from spots join totals using (query_id) left join got using (query_id, item_id)""", False)
+from spots join totals using (query_id) left join got using (query_id, item_id))"""
+
+
+@query("lexical_rerank", f"with {POOL}, {RERANK} select query_id, item_id, score from reranked", False)
 def lexical_rerank(v: Views) -> DataFrame:
     return answers.rerank(asked(v), pool(v).drop("rank"))
 
