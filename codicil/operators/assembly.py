@@ -32,7 +32,9 @@ def assemble_evidence(queries: DataFrame, cands: DataFrame, passages: DataFrame,
     text = passages.select("doc_id", "text")
     scored = rerank(queries, found.join(text, "doc_id").select("query_id", F.col("doc_id").alias("item_id"), "text")).select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("rerank_score"))
     best = F.max("fused").over(Window.partitionBy("query_id"))
-    blended = F.round(RERANK_SHARE * F.col("rerank_score") + (1 - RERANK_SHARE) * F.when(best > 0, F.col("fused") / best).otherwise(0.0), 4)
+    exact = lambda x, kind="decimal(10,6)": x.cast(kind)  # noqa: E731  # halves are rounded alike everywhere
+    fused = exact(F.round(F.when(best > 0, F.col("fused") / best).otherwise(0.0), 6))
+    blended = F.round(exact(F.col("rerank_score")) * exact(F.lit(RERANK_SHARE), "decimal(2,1)") + fused * exact(F.lit(1 - RERANK_SHARE), "decimal(2,1)"), 4).cast("double")
     rows = found.join(scored, ["query_id", "doc_id"]).withColumn("score", blended)
     words = F.md5(F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9]+)")), " "))
     rows = first(rows.join(text.select("doc_id", words.alias("same")), "doc_id"), ["query_id"], [F.desc("score"), "doc_id"], max(4 * top, limit))

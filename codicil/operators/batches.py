@@ -9,6 +9,7 @@ from codicil.functions.text import title_key
 from codicil.operators.hybrid import cosine, first
 from codicil.operators.matching import norm, score_candidates
 from codicil.operators.retrieval import match_candidates
+from codicil.sources.scratch import stored
 
 # How alike names must be, how many candidates are scored, and how many chunks a check samples.
 NAME_MATCH, CANDIDATES, SAMPLES = 0.6, 5, 5
@@ -54,8 +55,14 @@ def existing_policy(uploads: DataFrame, policies: DataFrame) -> DataFrame:
     left = uploads.select("document_id", title_key(F.col("u_title")).alias("title")).filter("title <> ''")
     right = policies.select("policy_id", title_key(F.col("p_title")).alias("title")).filter("title <> ''")
     a, b = left.groupBy("title").agg(F.min("document_id").alias("left_id")), right.groupBy("title").agg(F.min("policy_id").alias("right_id"))
-    alike = match_candidates(a, b, NAME_MATCH)
-    named = left.join(a, "title").drop("title").join(alike, "left_id").join(right.join(b, "title").drop("title"), "right_id").select("document_id", "policy_id", "similarity")
+    alike = stored(match_candidates(a, b, NAME_MATCH), "alike")
+    # the best policies of each title are found once; an intended policy is looked up by itself
+    few = first(right.join(b, "title"), ["title"], ["policy_id"], CANDIDATES, "k").select("right_id", "policy_id")
+    of_title = first(alike.join(few, "right_id"), ["left_id"], [F.desc("similarity"), "policy_id"], CANDIDATES, "k").select("left_id", "policy_id", "similarity")
+    keyed = left.join(a, "title").select("document_id", "left_id")
+    chosen = uploads.filter("intended_policy_id is not null").select("document_id", F.col("intended_policy_id").alias("policy_id"))
+    meant = chosen.join(keyed, "document_id").join(right.join(b, "title").select("policy_id", "right_id"), "policy_id").join(alike, ["left_id", "right_id"])
+    named = keyed.join(of_title, "left_id").select("document_id", "policy_id", "similarity").unionByName(meant.select("document_id", "policy_id", "similarity"))
     every = pairs.withColumn("similarity", F.lit(0.0)).unionByName(named).groupBy("document_id", "policy_id").agg(F.max("similarity").alias("similarity"))
     every = every.join(uploads.select("document_id", "intended_policy_id"), "document_id").filter(F.col("intended_policy_id").isNull() | (F.col("intended_policy_id") == F.col("policy_id")))
     best = first(every, ["document_id"], [F.desc("similarity"), "policy_id"], CANDIDATES, "k").select("document_id", "policy_id", "similarity")

@@ -41,7 +41,7 @@ BAD = f"regexp_matches(lower(s), '{matching.INSTRUCTIONS}')"
 EVIDENCE = f"""{POSTINGS}, {SIMHASH.strip()},
 told as (select doc_id, doc_id // 3 as document_id, source as family, doc_id // 10 as section_id, doc_id % 10 as chunk_index, coalesce(text, '') || case when doc_id % 6 = 0 then '{ADDED}' else '' end as text from documents),
 pool as (select query_id, doc_id as item_id, score as fused, text from keyword join told using (doc_id) where rank <= 40), {RERANK.strip()},
-blended as (select query_id, item_id as doc_id, text, r.score as rerank_score, round(0.5 * r.score + 0.5 * fused / max(fused) over (partition by query_id), 4) as score from pool join reranked r using (query_id, item_id)),
+blended as (select query_id, item_id as doc_id, text, r.score as rerank_score, round(r.score::decimal(10, 6) * 0.5::decimal(2, 1) + round(fused / max(fused) over (partition by query_id), 6)::decimal(10, 6) * 0.5::decimal(2, 1), 4)::double as score from pool join reranked r using (query_id, item_id)),
 placed as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) as same from blended),
 ranked as (select * from placed qualify row_number() over (partition by query_id, same order by rank) = 1),
 rows_ as (select r.query_id, r.doc_id, r.rank, simhash, family from ranked r join prints using (doc_id) join told using (doc_id)),
