@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.text import hamming, normalised
 from codicil.sources.scratch import stored
+from codicil.sources.tables import spread
 
 
 def content_hash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,13 +72,14 @@ def near_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:
     cuts = [64 * i // (2 * distance) for i in range(2 * distance + 1)]
     masks = [((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     sets = list(combinations(range(2 * distance), distance))
-    keys = F.array(*[F.struct(F.array(*[F.lit(b) for b in some]).alias("blocks"), F.col("simhash").bitwiseAND(F.lit(sum(masks[b] for b in some))).alias("value")) for some in sets])
-    spread = groups.select("*", F.explode(keys).alias("key"))
-    a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(sum(masks[b] for b in some))) for some in sets])
+    keyed = groups.select("*", F.posexplode(keys).alias("some", "value"))
+    a, b = spread(keyed).alias("a"), spread(keyed).alias("b")
+    met = a.join(b, (F.col("a.some") == F.col("b.some")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     apart = F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))
+    blocks = F.array(*[F.array(*[F.lit(b) for b in some]) for some in sets])
     same = F.filter(F.array(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda i: i.isNotNull())
-    met = met.filter((F.bit_count(apart) <= distance) & (F.slice(same, 1, distance) == F.col("a.key.blocks")))
+    met = met.filter((F.bit_count(apart) <= distance) & (F.slice(same, 1, distance) == F.get(blocks, F.col("a.some"))))
     return met.select(
         F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), F.col("a.n").alias("n_copies"), F.col("b.n").alias("n_other"),
         hamming(F.col("a.simhash"), F.col("b.simhash")).alias("distance"),

@@ -2,7 +2,7 @@
 
 import re
 
-from codicil.operators import structure
+from codicil.operators import fingerprints, structure
 
 
 def optimized(df):
@@ -21,3 +21,10 @@ def test_clauses_are_cut_to_their_first_chunks_before_queries_meet_them(spark):
     assert len(rows) == 120 and sorted(c for q, c in rows if q == 1) == [0, 3, 6, 9] and sorted(c for q, c in rows if q == 2) == [1, 2, 4, 5]
     plan = optimized(found)
     assert plan.index("Join") < plan.index("Window")
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    prints = spark.createDataFrame([(1, 0), (2, 7), (3, 15), (4, -1), (5, -2), (6, -2)], "doc_id long, simhash long")
+    found = fingerprints.near_fingerprints(prints)
+    assert {(r.doc_id, r.other_id, r.n_copies, r.n_other, r.distance) for r in found.collect()} == {(1, 2, 1, 1, 3), (2, 3, 1, 1, 1), (4, 5, 1, 2, 1)}
+    assert "Broadcast" not in executed(found)
