@@ -10,6 +10,7 @@ from codicil.operators.hybrid import Corpus, cosine, first, part
 from codicil.operators.retrieval import RANK_OFFSET, match_candidates
 from codicil.operators.scope import USER, in_scope, principals_for
 from codicil.operators.timeline import effective_on
+from codicil.sources.tables import spread
 
 # Relations that change a text, and how many count.
 AMENDING = ("AMENDS", "REPLACES", "SUPERSEDES", "CLARIFIES")
@@ -34,17 +35,22 @@ def attach_amendments(items: DataFrame, relations: DataFrame, principals: DataFr
     of its policy whose number is one of its clauses or below it, or all if it names none; from its effective date on (a null
     `as_of` takes any). Passages meet relations by policy and clause, their numbers being expanded to those above. With principals,
     items have a user_id, relations the scope of their document (organization_id, branch_id, own_policy_id), and only documents
-    that the user may see count. Returns query_id, item_id, source_document_id, title, relation_type, effective_from.
+    that the user may see count; users meet relations by their organisation and by the policies assigned to them as well. Returns query_id, item_id, source_document_id, title, relation_type, effective_from.
     """
     scope = ["organization_id", "branch_id", "own_policy_id"] if principals is not None else []
     clause = F.explode(F.when(F.size(F.coalesce("clauses", F.array().cast("array<string>"))) == 0, F.array(F.lit(""))).otherwise(F.array_distinct("clauses"))).alias("clause")
     rows = confirmed(relations).select("policy_id", "source_document_id", "title", "relation_type", "effective_from", *scope, clause)
     more = ["user_id"] if principals is not None else []
-    met = items.select("query_id", "item_id", "policy_id", "as_of", *more, F.explode(above(F.col("number"))).alias("clause")).join(rows, ["policy_id", "clause"])
-    met = met.filter(F.col("as_of").isNull() | (F.col("effective_from") <= F.col("as_of")))
-    if principals is not None:
-        mine = assignments.select("user_id", F.col("policy_id").alias("own_policy_id")).distinct().withColumn("mine", F.lit(True))
-        met = met.join(principals_for(principals), "user_id").filter(in_scope()).join(mine, ["user_id", "own_policy_id"], "left").filter((F.col("p_role") != USER) | F.col("mine"))
+    asked = items.select("query_id", "item_id", "policy_id", "as_of", *more, F.explode(above(F.col("number"))).alias("clause"))
+    dated, keys = F.col("as_of").isNull() | (F.col("effective_from") <= F.col("as_of")), ["policy_id", "clause"]
+    if principals is None:
+        met = spread(asked).join(rows, keys).filter(dated)
+    else:
+        asked = asked.join(principals_for(principals), "user_id").withColumn("organization_id", F.col("p_organization_id"))
+        wide = spread(asked.filter(F.col("p_role") != USER)).join(rows, [*keys, "organization_id"])
+        mine = assignments.select("user_id", F.col("policy_id").alias("own_policy_id")).distinct()
+        own = spread(asked.filter(F.col("p_role") == USER)).join(spread(mine), "user_id").join(spread(rows), [*keys, "organization_id", "own_policy_id"])
+        met = wide.select(*own.columns).unionByName(own).filter(dated & in_scope())
     return met.select("query_id", "item_id", "source_document_id", "title", "relation_type", "effective_from").distinct()
 
 

@@ -2,7 +2,9 @@
 
 import re
 
-from codicil.operators import fingerprints, structure
+from pyspark.sql import functions as F
+
+from codicil.operators import amendments, fingerprints, structure
 
 
 def optimized(df):
@@ -23,6 +25,19 @@ def test_clauses_are_cut_to_their_first_chunks_before_queries_meet_them(spark):
     assert plan.index("Join") < plan.index("Window")
 
 
+def test_exploded_assignments_are_not_broadcast_to_amended_passages(spark):
+    items = spark.createDataFrame([(1, 1, 7, "5.2"), (2, 2, 7, "5.2"), (3, 3, 7, "5.2")], "query_id long, user_id long, policy_id long, number string").selectExpr("*", "query_id * 10 as item_id", "cast(null as date) as as_of")
+    relations = spark.createDataFrame([(i, "t", 7, "AMENDS", "confirmed", True, ["5"], i % 2, None if i % 3 else i % 4, i) for i in range(12)], "source_document_id long, title string, policy_id long, relation_type string, status string, ready boolean, clauses array<string>, organization_id long, branch_id long, own_policy_id long").withColumn("effective_from", F.lit("2020-01-01").cast("date"))
+    people = spark.createDataFrame([(1, 1, 1, "admin"), (2, 1, 1, "manager"), (3, 1, 1, "user")], "user_id long, organization_id long, branch_id long, role string")
+    mine = spark.range(12).select(F.lit(3).cast("long").alias("user_id"), F.explode(F.array(F.col("id"), F.col("id") + 100)).alias("policy_id")).filter("policy_id in (5, 9, 4)")
+    found = amendments.attach_amendments(items, relations, people, mine)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.source_document_id)
+    assert got == {1: {1, 3, 5, 7, 9, 11}, 2: {1, 5, 7, 9, 11}, 3: {5, 9}}
+    assert not re.search(r"BroadcastHashJoin \[[^]]*own_policy_id", executed(found))
+
+
 def test_keys_of_fingerprints_are_not_broadcast(spark):
     prints = spark.createDataFrame([(1, 0), (2, 7), (3, 15), (4, -1), (5, -2), (6, -2)], "doc_id long, simhash long")
     found = fingerprints.near_fingerprints(prints)
