@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, fingerprints, structure
+from codicil.operators import amendments, fingerprints, scope, structure
 
 
 def optimized(df):
@@ -43,3 +43,13 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     found = fingerprints.near_fingerprints(prints)
     assert {(r.doc_id, r.other_id, r.n_copies, r.n_other, r.distance) for r in found.collect()} == {(1, 2, 1, 1, 3), (2, 3, 1, 1, 1), (4, 5, 1, 2, 1)}
     assert "Broadcast" not in executed(found)
+
+
+def test_audiences_are_not_shuffled_to_be_distinct(spark):
+    policies = spark.createDataFrame([(1, 1, 1), (1, 1, None), (2, 1, None), (3, 2, 1), (4, 1, 1), (4, 1, 1)], "policy_id long, organization_id long, branch_id long")
+    users = spark.createDataFrame([(1, "manager", 1, 1), (2, "manager", 1, 2), (2, "user", 1, 2), (3, "user", 1, 1), (5, "admin", 1, 1)], "user_id long, role string, organization_id long, branch_id long")
+    mine = spark.createDataFrame([(1, 4), (2, 4), (2, 1), (3, 3), (3, 3), (3, 9)], "user_id long, policy_id long")
+    found = scope.audience(policies, users, mine)
+    rows = sorted((r.policy_id, r.user_id) for r in found.collect())
+    assert rows == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 1), (4, 2)]
+    assert optimized(found).startswith("Union")
