@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, fingerprints, scope, structure
+from codicil.operators import amendments, batches, fingerprints, scope, structure
 
 
 def optimized(df):
@@ -53,3 +53,12 @@ def test_audiences_are_not_shuffled_to_be_distinct(spark):
     rows = sorted((r.policy_id, r.user_id) for r in found.collect())
     assert rows == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 1), (4, 2)]
     assert optimized(found).startswith("Union")
+
+
+def test_policies_of_a_number_are_cut_before_uploads_meet_them(spark):
+    kind = "u_number string, u_document_number string, u_title string, u_category string, u_issuer string, u_simhash long, u_keys array<string>"
+    uploads = spark.createDataFrame([(1, "PN 1", None, None, None, None, None, None, None), (2, "PN 1", None, None, None, None, None, None, 40), (3, None, "D1", "Gold rules", None, None, None, None, None)], "document_id long, " + kind + ", intended_policy_id long")
+    policies = spark.createDataFrame([(i, "PN-1", "D-1", f"Gold rule {i}", None, None, None, None) for i in range(60)], ("policy_id long, " + kind).replace("u_", "p_"))
+    found = batches.existing_policy(uploads, policies)
+    assert {(r.document_id, r.policy_id, r.reason) for r in found.collect()} == {(1, 0, "policy_number"), (2, 40, "policy_number"), (3, 0, "document_number")}
+    assert len(re.findall(r"windowspecdefinition\(key#", optimized(found))) >= 2
