@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.text import title_key
 from codicil.operators.metadata import EFFECTIVE, NUMBER, smart_title
+from codicil.sources.tables import spread
 
 # What titles say, what they never are, how they are set, and what each way to find one weighs.
 TYPE_WORDS = r"(?i)\b(policy|circular|guidelines?|manual|procedure|sop|notice|framework|faqs?|directions?|handbook|process)\b"
@@ -108,7 +109,7 @@ def close_words(broken: DataFrame, vocabulary: DataFrame) -> DataFrame:
     b = vocabulary.filter("n >= 2 and length(term) > 3").select("doc_id", "term", "n")
     keyed = lambda df, c, k: df.withColumn("key", F.explode(deletions(F.col(c), k)))
     # words of up to seven letters have one edit, so their longer partners up to eight are looked up by one deletion
-    met = keyed(a, "word", F.col("k")).join(keyed(b, "term", F.when(F.length("term") >= 9, 2).otherwise(1)), ["doc_id", "key"])
+    met = spread(keyed(a, "word", F.col("k"))).join(spread(keyed(b, "term", F.when(F.length("term") >= 9, 2).otherwise(1))), ["doc_id", "key"])
     more = F.length("term") - F.length("word")
     near = met.filter((more >= 1) & (more <= F.col("k")) & (F.levenshtein("term", "word") <= F.col("k")) & (F.col("term") != F.concat("word", F.lit("s"))) & (F.col("term") != F.concat("word", F.lit("es"))))
     return near.groupBy("doc_id", "word").agg(F.max(F.struct("n", "term"))["term"].alias("term"))
@@ -125,7 +126,7 @@ def repair_titles(titles: DataFrame, texts: DataFrame, acronyms: list[str] | Non
     vocabulary = texts.select("doc_id", F.explode(letters(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     words = titles.select("doc_id", "title", F.posexplode(F.split(F.trim("title"), r"\s+")).alias("i", "w")).withColumn("bare", F.lower(F.regexp_replace("w", "[^A-Za-z]", "")))
     own = titles.select("doc_id", F.explode(letters(F.col("title"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("m"))
-    used = words.join(vocabulary.withColumnRenamed("term", "bare"), ["doc_id", "bare"], "left").join(own.withColumnRenamed("term", "bare"), ["doc_id", "bare"], "left")
+    used = spread(words).join(spread(vocabulary.withColumnRenamed("term", "bare")), ["doc_id", "bare"], "left").join(spread(own.withColumnRenamed("term", "bare")), ["doc_id", "bare"], "left")
     never = (F.col("bare") == "") | F.col("bare").isin(*JOINING, "a", "i", *[x.lower() for x in acronyms or []])
     rows = used.withColumn("lost", ~never & ((F.length("bare") == 1) | (F.coalesce("n", F.lit(0)) <= F.coalesce("m", F.lit(0)))))
     w = Window.partitionBy("doc_id").orderBy("i")
@@ -137,8 +138,8 @@ def repair_titles(titles: DataFrame, texts: DataFrame, acronyms: list[str] | Non
     found = close_words(broken, vocabulary)
     upper = lambda c: F.rlike(F.regexp_replace(c, "[^A-Za-z]", ""), F.lit("^[A-Z]+$"))
     cased = lambda word, like: F.when(upper(like), F.upper(word)).when(F.rlike(F.regexp_replace(like, "[^A-Za-z]", ""), F.lit("^[A-Z]")), F.initcap(word)).otherwise(word)
-    whole = runs.join(found.withColumnRenamed("word", "all"), ["doc_id", "all"]).select("doc_id", "run", "at", cased(F.col("term"), F.col("written")).alias("whole"))
-    each = rows.join(whole, ["doc_id", "run"], "left").join(found.select("doc_id", F.col("word").alias("bare"), "term"), ["doc_id", "bare"], "left")
+    whole = spread(runs).join(spread(found.withColumnRenamed("word", "all")), ["doc_id", "all"]).select("doc_id", "run", "at", cased(F.col("term"), F.col("written")).alias("whole"))
+    each = spread(rows).join(spread(whole), ["doc_id", "run"], "left").join(spread(found.select("doc_id", F.col("word").alias("bare"), "term")), ["doc_id", "bare"], "left")
     piece = F.when(~F.col("lost"), F.col("w")).when(F.col("whole").isNotNull(), F.when(F.col("i") == F.col("at"), F.col("whole"))).otherwise(F.coalesce(cased(F.col("term"), F.col("w")), F.col("w")))
     mended = each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), " ").alias("repaired"))
-    return titles.select("doc_id", "title").join(mended, "doc_id", "left")
+    return titles.select("doc_id", "title").join(spread(mended), "doc_id", "left")

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, batches, fingerprints, scope, structure
+from codicil.operators import amendments, batches, fingerprints, scope, structure, titles
 
 
 def optimized(df):
@@ -62,3 +62,11 @@ def test_policies_of_a_number_are_cut_before_uploads_meet_them(spark):
     found = batches.existing_policy(uploads, policies)
     assert {(r.document_id, r.policy_id, r.reason) for r in found.collect()} == {(1, 0, "policy_number"), (2, 40, "policy_number"), (3, 0, "document_number")}
     assert len(re.findall(r"windowspecdefinition\(key#", optimized(found))) >= 2
+
+
+def test_deletions_of_words_are_not_broadcast(spark):
+    broken = spark.createDataFrame([(1, "manul"), (1, "gidlines")], "doc_id long, word string")
+    words = spark.createDataFrame([(1, "manual", 2), (1, "guidelines", 3)], "doc_id long, term string, n long")
+    found = titles.close_words(broken, words)
+    assert {(r.word, r.term) for r in found.collect()} == {("manul", "manual"), ("gidlines", "guidelines")}
+    assert "Broadcast" not in executed(found)
