@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, batches, fingerprints, scope, structure, titles
+from codicil.operators import amendments, batches, fingerprints, scope, structure, titles, retrieval
 
 
 def optimized(df):
@@ -70,3 +70,17 @@ def test_deletions_of_words_are_not_broadcast(spark):
     found = titles.close_words(broken, words)
     assert {(r.word, r.term) for r in found.collect()} == {("manul", "manual"), ("gidlines", "guidelines")}
     assert "Broadcast" not in executed(found)
+
+
+def test_terms_meet_only_chunks_that_the_asker_may_see(spark):
+    chunks = spark.createDataFrame([(i, f"gold loan w{i}", 1 if i < 8 else 2, i % 2 if i % 3 else None, i) for i in range(16)], "chunk_id long, content string, organization_id long, branch_id long, policy_id long")
+    people = spark.createDataFrame([(1, 1, 1, "admin"), (2, 1, 1, "manager"), (3, 1, 1, "user"), (4, 2, None, "manager"), (5, None, 1, "admin"), (6, 1, 0, None)], "user_id long, organization_id long, branch_id long, role string")
+    queries = spark.createDataFrame([(i * 10, i, "gold") for i in range(1, 8)], "query_id long, user_id long, text string")
+    mine = spark.createDataFrame([(3, 0), (3, 1), (3, 2), (3, 9), (3, 1), (6, 4), (6, 1), (1, 9)], "user_id long, policy_id long")
+    found = retrieval.scoped_lane(queries, chunks, people, mine)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert {q: sorted(c) for q, c in got.items()} == {10: list(range(8)), 20: [0, 1, 3, 5, 6, 7], 30: [0, 1], 40: [9, 12, 15], 60: [4]}
+    joins = re.findall(r"Join \w+, (.*)", optimized(found))
+    assert any("organization_id" in j and "term" in j for j in joins) and not any("term" in j and "organization_id" not in j for j in joins)
