@@ -285,10 +285,10 @@ with units as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10)))
 posts as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOKENS.format("text")}) as term from documents) group by all), freq as (select term, least(count(*), 20000) as df from posts group by term), total as (select count(*) as n from documents),
 asked as (select item_id as query_id, unnest(list_distinct({TOKENS.format("text")})) as term from benchmark),
 weighted as (select query_id, term, round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) as weight from asked join freq using (term), total),
-best as (select query_id, doc_id as section_id, cast(sum(cast(round(weight * tf / (tf + 1), 6) as decimal(18, 6))) as double) as section_score from posts join weighted using (term) group by query_id, doc_id),
+best as (select query_id, doc_id as section_id, cast(sum((2 * cast(round(weight * 1000000) as bigint) * tf + tf + 1) // (2 * (tf + 1))) as double) / 1000000 as section_score from posts join weighted using (term) group by query_id, doc_id),
 top_sections as (select * from best qualify row_number() over (partition by query_id order by section_score desc, section_id) <= 200),
 parts as (select doc_id * 100000 + i as chunk_id, term, count(*) as tf from (select doc_id, i, unnest({TOKENS.format("text")}) as term from units) group by all),
-own as (select query_id, chunk_id, cast(sum(cast(round(weight * tf / (tf + 1), 6) as decimal(18, 6))) as double) as chunk_score from parts join weighted using (term) group by all),
+own as (select query_id, chunk_id, cast(sum((2 * cast(round(weight * 1000000) as bigint) * tf + tf + 1) // (2 * (tf + 1))) as double) / 1000000 as chunk_score from parts join weighted using (term) group by all),
 met as (select b.query_id, section_id, doc_id * 100000 + i as chunk_id, section_score from top_sections b join units u on u.doc_id = b.section_id)
 select m.query_id, section_id, m.chunk_id, round(0.6 * section_score + 0.4 * coalesce(chunk_score, 0), 6) as score, cast(row_number() over (partition by m.query_id order by round(0.6 * section_score + 0.4 * coalesce(chunk_score, 0), 6) desc, m.chunk_id) as int) as rank
 from met m left join own o on o.query_id = m.query_id and o.chunk_id = m.chunk_id qualify rank <= 30""", False)

@@ -84,3 +84,9 @@ def test_terms_meet_only_chunks_that_the_asker_may_see(spark):
     assert {q: sorted(c) for q, c in got.items()} == {10: list(range(8)), 20: [0, 1, 3, 5, 6, 7], 30: [0, 1], 40: [9, 12, 15], 60: [4]}
     joins = re.findall(r"Join \w+, (.*)", optimized(found))
     assert any("organization_id" in j and "term" in j for j in joins) and not any("term" in j and "organization_id" not in j for j in joins)
+
+
+def test_ties_of_parts_of_scores_go_up_whatever_the_last_bit(spark):
+    rows = spark.range(1_000_001, 1_002_000).selectExpr("id", "id / 1000000D as weight", "explode(sequence(1L, 5L)) as tf").withColumn("part", retrieval.exact_part())
+    for r in rows.collect():
+        assert r.part == (2 * r.id * r.tf + r.tf + 1) // (2 * (r.tf + 1))
