@@ -10,6 +10,7 @@ from codicil.operators.hybrid import Corpus, cosine, first, part
 from codicil.operators.retrieval import RANK_OFFSET, match_candidates
 from codicil.operators.scope import USER, in_scope, principals_for
 from codicil.operators.timeline import effective_on
+from codicil.sources.scratch import stored
 from codicil.sources.tables import spread
 
 # Relations that change a text, and how many count.
@@ -62,6 +63,7 @@ def amendment_candidates(c: Corpus, chosen: DataFrame, relations: DataFrame, tod
     """
     wanted = chosen.select("query_id", "policy_id").distinct().join(confirmed(relations).select("policy_id", F.col("source_document_id").alias("document_id")), "policy_id").select("query_id", "document_id").distinct()
     wanted = first(wanted.join(chosen.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_anti"), ["query_id"], ["document_id"], MOST_DOCUMENTS, "k").drop("k")
+    wanted = stored(wanted, "wanted")  # few rows: chunks with their vectors are not shuffled to meet them
     near = c.allowed(wanted.join(c.chunks.select("chunk_id", "document_id", "vector"), "document_id").select("query_id", "chunk_id", "vector"))
     words = c.posts.join(c.terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part(F.col("weight"))).cast("double").alias("words"))
     rows = near.join(words, ["query_id", "chunk_id"], "left").join(c.plans.select("query_id", F.col("vector").alias("asked")), "query_id").withColumn("alike", cosine("asked", "vector"))

@@ -50,12 +50,12 @@ def library(v: Views) -> tuple[DataFrame, DataFrame]:
     )
     policies = d.select(of.alias("policy_id")).distinct().select("policy_id", (F.col("policy_id") % 3).alias("organization_id"), F.when(F.col("policy_id") % 5 != 0, F.col("policy_id") % 4).alias("branch_id"), F.concat(F.lit("PN-"), "policy_id").alias("number"), F.concat(F.lit("Credit Guide "), "policy_id").alias("name"))
     periods = hybrid.version_periods(versions).withColumn("document_id", F.col("version_id")).join(policies.select("policy_id", "organization_id", "branch_id"), "policy_id").select(*hybrid.SCOPE)
-    vectors = v.table("embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("vector"))
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("vector")).filter("at < 500")  # chunks ask for no others
     chunks = lines.select(
         (k * 1000000 + i).alias("chunk_id"), (k * 1000000 + F.floor(i / 4)).alias("section_id"), i.alias("chunk_index"), F.concat(k % 7 + 1, F.lit("."), i % 9 + 1).alias("number"), F.concat(F.lit("Chapter "), k % 7 + 1, F.lit(" > Part "), i).alias("path"),
         F.concat(F.lit("Rule BNK-"), k % 50).alias("title"), "content", (F.floor(i / 3) + 1).cast("int").alias("page_start"), (F.floor(i / 3) + 1 + F.when(i % 5 == 0, 1).otherwise(0)).cast("int").alias("page_end"), ((k * 7 + i) % 500).alias("at"), k.alias("document_id"),
     )
-    return chunks.join(vectors, "at", "left").drop("at").join(periods, "document_id"), policies
+    return chunks.join(periods, "document_id").join(F.broadcast(vectors), "at", "left").drop("at"), policies
 
 
 def corpus(v: Views) -> tuple[hybrid.Corpus, DataFrame]:

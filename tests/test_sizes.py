@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, batches, fingerprints, scope, structure, titles, retrieval
+from codicil.operators import amendments, batches, fingerprints, hybrid, retrieval, scope, structure, titles
+from codicil.plans import catalog_hybrid
+from codicil.plans.views import Views
 
 
 def optimized(df):
@@ -90,3 +92,14 @@ def test_ties_of_parts_of_scores_go_up_whatever_the_last_bit(spark):
     rows = spark.range(1_000_001, 1_002_000).selectExpr("id", "id / 1000000D as weight", "explode(sequence(1L, 5L)) as tf").withColumn("part", retrieval.exact_part())
     for r in rows.collect():
         assert r.part == (2 * r.id * r.tf + r.tf + 1) // (2 * (r.tf + 1))
+
+
+def test_vectors_of_chunks_are_not_shuffled_to_meet_questions(spark):
+    chunks, _ = catalog_hybrid.library(Views(spark, "/root/testdata/sf0.001"))
+    plan = executed(chunks)
+    assert re.search(r"BroadcastHashJoin \[at#", plan) and not re.search(r"Exchange hashpartitioning\(at#", plan)
+    c = catalog_hybrid.corpus(Views(spark, "/root/testdata/sf0.001"))[0]
+    whole, cut = hybrid.vector_lane(c), hybrid.vector_lane(c, 8)
+    assert "CoGroup" not in executed(whole)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id) for r in df.collect())
+    assert rows(whole) and rows(whole) == rows(cut)
