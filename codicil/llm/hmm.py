@@ -35,9 +35,8 @@ class Settings:
     ending_classes: int = 1 << 13
     own: int = 32  # least count of a word with a class of its own
     discount: float = 0.5  # taken from each seen word of an ending's class for its unknown words
-    rounds: int = 2  # Baum-Welch rounds over all training documents
-    start_rounds: int = 25  # rounds that find the starting point
-    start_tokens: int = 400_000  # of at most so many tokens: a bounded sample, used for the starting point alone
+    rounds: int = 3  # Baum-Welch rounds over all training documents
+    start_rounds: int = 1  # earlier rounds, likewise over all
     weight: float = 100.0  # of the corpus' frequencies in a state's emissions
 
     @property
@@ -294,31 +293,12 @@ def training_part(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["classes"], "<i4")[np.repeat(learnt, sizes)], sizes[learnt]
 
 
-def starting_point(sequences: DataFrame, prior: np.ndarray, s: Settings) -> Model:
-    """A model of a bounded sample: at most `start_tokens` tokens of one piece, after `start_rounds` rounds in one task."""
-    shared = sequences.sparkSession.sparkContext.broadcast(prior)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(1)
-        stay = np.full((s.states, s.states), 0.1 / s.states) + 0.9 * np.eye(s.states)
-        emit = shared.value[:, None] * rng.gamma(2.0, size=(len(shared.value), s.states))
-        model = Model(np.full(s.states, 1 / s.states), stay, emit / emit.sum(0))
-        for row in (r for b in batches for r in b.to_pylist()):
-            classes, sizes = training_part(row)
-            n = max(1, int(np.searchsorted(np.cumsum(sizes), s.start_tokens, side="right")))
-            sizes = np.minimum(sizes[:n], s.start_tokens)
-            for _ in range(s.start_rounds):
-                sums = Sums(s.states, s.classes)
-                likelihoods(model, classes[: sizes.sum()], sizes, sums)
-                model = sums.model(shared.value, s.weight)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (model.start, model.move, model.emit)], names=["start", "move", "emit"])
-
-    ranked = sequences.filter(F.exists("held", lambda h: ~h)).select("sizes", "held", "classes").orderBy(F.xxhash64("piece")).limit(1)
-    found = ranked.coalesce(1).mapInArrow(tidy(run), "start binary, move binary, emit binary").first()
-    if found is None:
-        return Sums(s.states, s.classes).model(prior, s.weight)
-    read = lambda name: np.frombuffer(found[name], "<f8")
-    return Model(read("start"), read("move").reshape(s.states, s.states), read("emit").reshape(-1, s.states))
+def starting_point(prior: np.ndarray, s: Settings) -> Model:
+    """States that tend to last, each with the classes of the corpus weighed by a seeded draw: no text is read for it."""
+    rng = np.random.default_rng(1)
+    stay = np.full((s.states, s.states), 0.1 / s.states) + 0.9 * np.eye(s.states)
+    emit = prior[:, None] * rng.gamma(2.0, size=(len(prior), s.states))
+    return Model(np.full(s.states, 1 / s.states), stay, emit / emit.sum(0))
 
 
 def learn(sequences: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> Model:
@@ -387,8 +367,8 @@ def score_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     sequences = stored(coded(pieces, slots, totals, s), "hmm-sequences")
     discard(pieces, counts)
 
-    model = starting_point(sequences, prior, s)
-    for _ in range(s.rounds):
+    model = starting_point(prior, s)
+    for _ in range(s.start_rounds + s.rounds):
         model = learn(sequences, model, prior, s)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
