@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from codicil.operators import amendments, batches, fingerprints, hybrid, retrieval, scope, structure, titles
-from codicil.plans import catalog_hybrid
+from codicil.plans import catalog_hybrid, catalog_structure
 from codicil.plans.views import Views
 
 
@@ -103,3 +103,15 @@ def test_vectors_of_chunks_are_not_shuffled_to_meet_questions(spark):
     assert "CoGroup" not in executed(whole)
     rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id) for r in df.collect())
     assert rows(whole) and rows(whole) == rows(cut)
+
+
+def test_patterns_of_headings_are_matched_once_for_a_line(spark):
+    lines = spark.createDataFrame([(1, 1, i, t, s, b) for i, (t, s, b) in enumerate([("Chapter  2: Loans", 10.0, False), ("3.1  Gold loans", 10.0, False), ("plain text, 3 words", 10.0, False), ("Big Title", 14.0, True), ("\tsection 4 \n Fees", 10.0, False), ("section 4 (a) applies", 10.0, False), ("3. Not set off", 10.0, False)])], "doc_id long, page int, line_no int, text string, size double, bold boolean")
+    found = structure.classify_lines(lines, structure.body_size(lines)).filter("level is not null")
+    assert sorted((r.line_no, r.level, r.number, r.title) for r in found.collect()) == [(0, 1, "Chapter 2", "Loans"), (1, 2, "3.1", "Gold loans"), (3, 1, None, "Big Title"), (4, 2, "Section 4", "Fees")]
+    assert optimized(found).count("regexp_replace(text") == 1
+
+
+def test_sections_are_shuffled_by_version_once(spark):
+    plan = executed(catalog_structure.classified(Views(spark, "/root/testdata/sf0.001")))
+    assert not re.search(r"hashpartitioning\((?:version_id|doc_id)#[^)]*\), ENSURE_REQUIREMENTS", plan) and "REPARTITION_BY_COL" in plan
