@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, batches, fingerprints, hybrid, retrieval, scope, structure, titles
-from codicil.plans import catalog_hybrid, catalog_structure
+from codicil.operators import amendments, batches, fingerprints, hybrid, retrieval, scope, structure, titles, worklists
+from codicil.plans import catalog_hybrid, catalog_structure, catalog_work
 from codicil.plans.views import Views
 
 
@@ -115,3 +115,17 @@ def test_patterns_of_headings_are_matched_once_for_a_line(spark):
 def test_sections_are_shuffled_by_version_once(spark):
     plan = executed(catalog_structure.classified(Views(spark, "/root/testdata/sf0.001")))
     assert not re.search(r"hashpartitioning\((?:version_id|doc_id)#[^)]*\), ENSURE_REQUIREMENTS", plan) and "REPARTITION_BY_COL" in plan
+
+
+def test_tickets_are_counted_without_pairs_of_principals_and_tickets(spark):
+    tickets = spark.createDataFrame([(i, i % 4 if i % 7 else None, i % 2, "help" if i % 3 else "data", "error" if i % 5 else "login", ["open", "in_progress", "closed"][i % 3]) for i in range(80)], "ticket_id long, author_id long, organization_id long, queue string, kind string, status string")
+    people = spark.createDataFrame([(0, 0, "user"), (1, 1, "manager"), (2, 0, "manager"), (3, None, "manager"), (None, 1, "manager"), (9, 1, "admin"), (9, 0, "manager")], "user_id long, organization_id long, role string")
+    queues = spark.createDataFrame([("manager", "help"), ("admin", "help"), ("admin", "data")], "role string, queue string")
+    seen = worklists.visible_tickets(tickets, people, queues)
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    for box, f in (("all", {}), ("mine", {"status": "open"}), ("queue", {"kind": "error"}), ("open", {}), ("queue", {"status": "none"})):
+        ends = [] if box == "queue" else [F.min("ticket_id"), F.max("ticket_id")]
+        got = worklists.ticket_counts(tickets, people, queues, box, **f)
+        assert told(got) == told(worklists.find_tickets(seen, box, **f).groupBy("user_id").agg(F.count("*"), *ends))
+    # whoever joins the tickets' columns makes pairs
+    assert not re.search(r"Join Inner, [^\n]*author_id", optimized(catalog_work.visible_tickets(Views(spark, "/root/testdata/sf0.001"))))
