@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,22 +90,66 @@ def suggest_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return near.withColumn("k", k).filter("k = 1").select("word", "term", "n")
 
 
-def hash_embedding(docs: DataFrame, size: int = 64) -> DataFrame:
+def places(features: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each feature: the first eight hex digits of its md5, and whether the ninth is odd."""
+    md5 = hashlib.md5
+    digests = np.frombuffer(b"".join([md5(f).digest() for f in features.cast(pa.binary()).to_pylist()]), np.uint8).reshape(-1, 16)
+    return (digests[:, :4].copy().view(">u4")[:, 0] % size).astype(np.int64), np.where(digests[:, 4] & 16, 1, -1)
+
+
+def feature_sums(docs: np.ndarray, terms: pa.Array, n_docs: int, size: int) -> np.ndarray:
+    """Tenths of each document's features at each place (n_docs x size); `docs` is the document of each term. A feature that comes
+    again in the piece is hashed once."""
+    out = np.zeros(n_docs * size, np.int64)
+
+    def add(docs: np.ndarray, features: pa.Array, which: np.ndarray, weight: int) -> None:
+        at, sign = places(features, size)
+        np.add(out, np.bincount(docs * size + at[which], weights=(weight * sign)[which], minlength=len(out)).astype(np.int64), out=out)
+
+    coded = terms.dictionary_encode()
+    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    add(docs, words, codes, 10)
+    near = docs[:-1] == docs[1:]
+    pairs, which = np.unique((codes[:-1] * len(words) + codes[1:])[near], return_inverse=True)
+    add(docs[:-1][near], pc.binary_join_element_wise(words.take(pa.array(pairs // max(1, len(words)))), words.take(pa.array(pairs % max(1, len(words)))), " "), which, 7)
+    cut = [["#" + w[i : i + 3] for i in range(len(w) - 2)] if len(w) > 4 else [] for w in words.to_pylist()]
+    flat = pa.array([p for c in cut for p in c], pa.string()).dictionary_encode()
+    n = np.array([len(c) for c in cut], np.int64)
+    # the pieces of each term that stands in the text: from where its word's begin, as many as it has
+    each = n[codes]
+    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    add(np.repeat(docs, each), flat.dictionary, flat.indices.to_numpy().astype(np.int64)[np.repeat((np.cumsum(n) - n)[codes], each) + step], 3)
+    return out.reshape(n_docs, size)
+
+
+def hash_embedding(docs: DataFrame, size: int = 64, piece: int = 100_000) -> DataFrame:
     """Signed feature hashing of each text as rows (doc_id, place, value): terms weigh 1, pairs of neighbours 0.7, pieces of three
-    characters of longer terms 0.3; a text's values have length 1. The first eight hex digits of md5 give the place, the ninth the sign."""
-    t = tokens(F.col("text"))
-    n = F.greatest(F.size(t) - 1, F.lit(0))
-    item = lambda text, w: F.struct(text.alias("f"), F.lit(w).alias("w"))
-    one = F.transform(t, lambda x: item(x, 1.0))
-    two = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: item(F.concat(a, F.lit(" "), b), 0.7))
-    three = F.flatten(F.transform(F.filter(t, lambda x: F.length(x) > 4), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: item(F.concat(F.lit("#"), F.substring(x, i, F.lit(3))), 0.3))))
-    rows = docs.select("doc_id", F.explode(F.concat(one, two, three)).alias("x")).groupBy("doc_id", "x.f", "x.w").agg(F.count("*").alias("n"))  # each feature is hashed once
-    h = F.md5("f")
-    place = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = rows.select("doc_id", place.alias("place"), (sign * F.col("w") * F.col("n")).cast("decimal(18,1)").alias("v")).groupBy("doc_id", "place").agg(F.sum("v").cast("double").alias("v"))
-    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
-    return sums.withColumn("value", F.round(F.col("v") / length, 6)).filter("v <> 0").select("doc_id", "place", "value")
+    characters of longer terms 0.3; a text's values have length 1. The first eight hex digits of md5 give the place, the ninth the sign.
+
+    Features are summed where a text is read, about `piece` terms or one text at a time; only a text's sums are shuffled.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + piece, "right")))
+                part = lists.slice(at, stop - at)
+                whose = np.repeat(np.arange(stop - at), np.diff(ends[at:stop], prepend=before))
+                sums = feature_sums(whose, part.flatten(), stop - at, size)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, stop - at), pa.ListArray.from_arrays(np.arange(0, sums.size + 1, size, dtype=np.int32), pa.array(sums.ravel()))], names=["doc_id", "v"])
+                at = stop
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).mapInArrow(summed, f"doc_id {key}, v array<bigint>")
+    sums = rows.groupBy("doc_id").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)])
+    sums = sums.select("doc_id", F.array(*[F.col(f"v{i}") / 10 for i in range(size)]).alias("v"))
+    sums = sums.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    found = sums.select("doc_id", "length", F.posexplode("v").alias("place", "x")).filter("x <> 0")
+    return found.select("doc_id", "place", F.round(F.when(F.col("length") > 0, F.col("x") / F.col("length")), 6).alias("value"))
 
 
 def visible_doc_freq(terms: DataFrame, chunks: DataFrame, stop_words: list[str]) -> DataFrame:

@@ -1,10 +1,14 @@
 """Plans and rows of queries whose work once grew faster than their tables."""
 
+import hashlib
+import itertools
+import math
 import re
 
 from pyspark.sql import functions as F
 
-from codicil.operators import amendments, batches, fingerprints, hybrid, retrieval, scope, structure, titles, worklists
+from codicil.functions import text
+from codicil.operators import amendments, batches, fingerprints, hybrid, metadata, retrieval, scope, structure, titles, worklists
 from codicil.plans import catalog_hybrid, catalog_structure, catalog_work
 from codicil.plans.views import Views
 
@@ -129,3 +133,19 @@ def test_tickets_are_counted_without_pairs_of_principals_and_tickets(spark):
         assert told(got) == told(worklists.find_tickets(seen, box, **f).groupBy("user_id").agg(F.count("*"), *ends))
     # whoever joins the tickets' columns makes pairs
     assert not re.search(r"Join Inner, [^\n]*author_id", optimized(catalog_work.visible_tickets(Views(spark, "/root/testdata/sf0.001"))))
+
+
+def test_features_of_texts_are_summed_where_they_are_read(spark):
+    texts = [(1, "Gold loan gold-loan, gold loan 7.5 rates"), (2, None), (3, ""), (4, "interest " * 40 + "x1 interests"), (4, "Limits"), (None, "limits apply"), (5, "a of ö")]
+    found = metadata.hash_embedding(spark.createDataFrame(texts, "doc_id long, text string"), 16, 3)
+    sums = {}
+    for doc, t in texts:
+        words = [w for w in re.findall(text.TOKEN, (t or "").lower()) if len(w) > 1 and w not in text.STOP_WORDS]
+        every = [(w, 10) for w in words] + [(f"{a} {b}", 7) for a, b in itertools.pairwise(words)] + [("#" + w[i : i + 3], 3) for w in words if len(w) > 4 for i in range(len(w) - 2)]
+        for f, weight in every:
+            h, one = hashlib.md5(f.encode()).hexdigest(), sums.setdefault(doc, {})
+            one[int(h[:8], 16) % 16] = one.get(int(h[:8], 16) % 16, 0) + (weight if int(h[8], 16) % 2 else -weight)
+    length = {d: math.sqrt(sum((v / 10) ** 2 for v in s.values())) for d, s in sums.items()}
+    want = {(d, p): round(v / 10 / length[d], 6) for d, s in sums.items() for p, v in s.items() if v}
+    assert {(r.doc_id, r.place): r.value for r in found.collect()} == want and len(want) > 20
+    assert not re.search(r"hashpartitioning\([^)]*\bf#", executed(found))  # no feature is shuffled
