@@ -146,8 +146,9 @@ def hash_embedding(docs: DataFrame, size: int = 64, piece: int = 100_000) -> Dat
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).mapInArrow(summed, f"doc_id {key}, v array<bigint>")
     sums = rows.groupBy("doc_id").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)])
-    sums = sums.select("doc_id", F.array(*[F.col(f"v{i}") / 10 for i in range(size)]).alias("v"))
-    sums = sums.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    # in whole tenths, so that no order of a sum decides how a value is rounded
+    sums = sums.select("doc_id", F.array(*[f"v{i}" for i in range(size)]).alias("v"))
+    sums = sums.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)))
     found = sums.select("doc_id", "length", F.posexplode("v").alias("place", "x")).filter("x <> 0")
     return found.select("doc_id", "place", F.round(F.when(F.col("length") > 0, F.col("x") / F.col("length")), 6).alias("value"))
 
