@@ -160,3 +160,13 @@ def test_pages_are_joined_inside_their_rows(spark):
         assert "ObjectHashAggregate" not in executed(catalog_structure.QUERIES[name](spark, v.directory))
     texts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 3, "c")], "doc_id long, page int, text string")
     assert sorted((r.doc_id, r.chunk_index, r.text) for r in structure.page_chunks(texts).collect()) == [(1, 0, "a\nb"), (1, 1, "b"), (2, 0, "c"), (2, 2, "c")]
+
+
+def test_uploads_do_not_meet_every_version_of_their_policy(spark):
+    known = spark.createDataFrame([(1, 10, "v1", "2020-01-01", "a"), (1, 11, "v2", "2021-01-01", None), (None, 12, "v9", "2022-01-01", "b"), (2, 13, None, None, "c")], "policy_id long, version_id long, version_label string, effective_from string, content_hash string")
+    asked = [(1, 1, "v7", "2023-01-01", "a"), (2, 1, "v2", "2023-01-01", None), (3, 1, "v3", "2020-01-01", "x"), (4, 1, "v3", "2020-06-01", "x"), (5, 1, "v1.5", "2020-06-01", "x"), (6, 1, "v3", "2022-01-01", "x"), (6, 1, "v3", "2022-01-01", "x"), (7, None, "v9", "2022-01-01", "b"), (8, 2, None, None, None), (9, 3, "v1", "2020-01-01", "a")]
+    days = lambda df, c: df.withColumn(c, F.col(c).cast("date"))
+    found = matching.version_check(days(spark.createDataFrame(asked, "document_id long, policy_id long, label string, day string, content_hash string"), "day"), days(known, "effective_from"))
+    want = [(1, "content_duplicate"), (2, "label_exists"), (3, "day_exists"), (4, "order_mismatch"), (5, "historical"), (6, "new_version"), (7, "new_version"), (8, "new_version"), (9, "new_version")]
+    assert sorted((r.document_id, r.finding) for r in found.collect()) == want
+    assert "Join" not in optimized(found)
