@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from codicil.functions import text
-from codicil.operators import amendments, batches, fingerprints, hybrid, matching, metadata, retrieval, scope, structure, titles, worklists
+from codicil.operators import amendments, batches, compare, fingerprints, hybrid, matching, metadata, retrieval, scope, structure, titles, worklists
 from codicil.plans import catalog_hybrid, catalog_structure, catalog_work
 from codicil.plans.views import Views
 
@@ -170,3 +170,10 @@ def test_uploads_do_not_meet_every_version_of_their_policy(spark):
     want = [(1, "content_duplicate"), (2, "label_exists"), (3, "day_exists"), (4, "order_mismatch"), (5, "historical"), (6, "new_version"), (7, "new_version"), (8, "new_version"), (9, "new_version")]
     assert sorted((r.document_id, r.finding) for r in found.collect()) == want
     assert "Join" not in optimized(found)
+
+
+def test_patterns_of_figures_are_matched_once_for_a_text(spark):
+    rows = spark.createDataFrame([(1, "Rs. 1,200 and 7.5% on 2024-01-02 for 3 years, 5 % or INR 40"), (2, None), (3, "no figure")], "id long, content string")
+    found = compare.numeric_facts(rows, ["id"])
+    assert sorted((r.id, r.kind, r.value, r.place) for r in found.collect()) == [(1, "amount", "1200", 1), (1, "amount", "40", 2), (1, "date", "2024-01-02", 1), (1, "duration", "3 year", 1), (1, "percent", "5", 2), (1, "percent", "7.5", 1)]
+    assert optimized(found).count(compare.PATTERNS["date"]) == 2  # to find and to blank
