@@ -92,3 +92,21 @@ def test_changed_figures_and_similarity_of_odd_texts(spark):
     ratio = {r.number: r.ratio for r in compare.section_similarity(diff).collect()}
     assert ratio["2"] == 0.0 and ratio["3"] == 1.0 and ratio["5"] > 0.99
     assert ratio["1"] == round(2 * (Counter(rows[0][4]) & Counter(rows[0][5])).total() / (len(rows[0][4]) + len(rows[0][5])), 6)
+
+
+def test_versions_meet_in_one_shuffle_by_pair(spark):
+    rows = spark.createDataFrame([(1, 1, "A", "x"), (2, 1, "A", "y"), (2, 2, "B", None)], "version_id long, number int, title string, content string")
+    found = compare.compare_versions(rows, spark.createDataFrame([(1, 2)], "old_id long, new_id long"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [old_id") == 1 and plan.count("Join") == 1 and not re.search(r"Window .*old_id", plan)
+    assert sorted((r.number, r.by, r.change, r.old_content, r.new_content) for r in found.collect()) == [(1, "number", "modified", "x", "y"), (2, "added", "added", None, "")]
+
+
+def test_pairs_that_batches_cut_are_aligned_whole(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        test_alignment_equals_plain_passes(spark)
+    finally:
+        spark.conf.set(setting, before)
