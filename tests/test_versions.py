@@ -110,3 +110,12 @@ def test_pairs_that_batches_cut_are_aligned_whole(spark):
         test_alignment_equals_plain_passes(spark)
     finally:
         spark.conf.set(setting, before)
+
+
+def test_similarity_counts_each_text_in_its_own_row():
+    import pyarrow as pa
+
+    texts = [("aab", "abb"), ("", "x"), ("", ""), ("é😀" * 5, "😀"), ("q" * 3_000_000, "qr"), ("ab", "ab")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *(pa.array([t[i] for t in texts]) for i in range(2))], names=["k", "o", "n"])
+    got = [tuple(r.values()) for b in compare.shared_characters(iter([batch])) for r in b.to_pylist()]
+    assert got == [(k, (Counter(o) & Counter(n)).total(), len(o) + len(n)) for k, (o, n) in enumerate(texts)]
