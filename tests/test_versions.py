@@ -119,3 +119,33 @@ def test_similarity_counts_each_text_in_its_own_row():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *(pa.array([t[i] for t in texts]) for i in range(2))], names=["k", "o", "n"])
     got = [tuple(r.values()) for b in compare.shared_characters(iter([batch])) for r in b.to_pylist()]
     assert got == [(k, (Counter(o) & Counter(n)).total(), len(o) + len(n)) for k, (o, n) in enumerate(texts)]
+
+
+def test_figures_meet_inside_their_row(spark):
+    rng = random.Random(5)
+    text = lambda: rng.choice([None, "", " ".join(rng.choice(["5%", "6 %", "Rs. 7", "2020-01-02", "3 months", "4 Days", "INR 1,00,000", "word"]) for _ in range(rng.randrange(9)))])
+    rows = [(1, 2, i, "modified", text(), text()) for i in range(80)]
+    diff = spark.createDataFrame(rows, "old_id long, new_id long, number int, change string, old_content string, new_content string")
+    found = compare.numeric_changes(diff)
+    assert not re.search("Repartition|Window|Aggregate", found._jdf.queryExecution().optimizedPlan().toString())
+    got = Counter(map(tuple, found.collect()))
+    want = Counter()
+    for o, n, i, _, *texts in rows:
+        facts = []
+        for t in texts:
+            each, left = {}, t or ""
+            for kind, pattern in compare.PATTERNS.items():
+                each[kind] = [re.sub(r"^(\S+)\s+(\w+?)s?$", r"\1 \2", v) if kind == "duration" else v for v in (m.lower().replace(",", "") for m in re.findall(pattern, left))]
+                left = re.sub(pattern, " ", left)
+            facts.append(each)
+        for kind in compare.PATTERNS:
+            only = []
+            for a, b in ((facts[0][kind], facts[1][kind]), (facts[1][kind], facts[0][kind])):
+                have, kept = Counter(b), []
+                for v in a:
+                    have[v] -= 1
+                    kept += [v] if have[v] < 0 else []
+                only.append(kept)
+            for j in range(max(map(len, only))):
+                want[(o, n, i, kind, *(x[j] if j < len(x) else None for x in only))] += 1
+    assert got == want and len(want) > 100
