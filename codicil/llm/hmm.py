@@ -52,6 +52,10 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    def cast(self, kind: type) -> Model:
+        """The model in another precision: that of the recursion over it."""
+        return Model(*(x.astype(kind, copy=False) for x in (self.start, self.move, self.emit)))
+
 
 class Sums:
     """Expected counts of first states, moves and emissions."""
@@ -91,7 +95,7 @@ def chains(model: Model, classes: np.ndarray, lengths: np.ndarray, begin: np.nda
     laid = np.empty(len(classes), classes.dtype)
     laid[lay.place] = classes
     emitted = model.emit[laid]
-    alpha, scale, one = np.empty_like(emitted), np.empty(len(classes)), np.ones(k)
+    alpha, scale, one = np.empty_like(emitted), np.empty(len(classes), emitted.dtype), np.ones(k, emitted.dtype)
     edges, active = lay.edges.tolist(), lay.active.tolist()
     for t, n in enumerate(active):
         now = alpha[edges[t] : edges[t + 1]]
@@ -186,7 +190,7 @@ def likelihoods(model: Model, classes: np.ndarray, lengths: np.ndarray, sums: Su
     before.append(np.full((len(short), k), np.nan))
     long = np.flatnonzero(lengths > LIMIT)
     cuts = [np.unique(np.r_[edges[i] : edges[i + 1] : SEGMENT, edges[i + 1]]) for i in long]
-    for i, c, (last, follow) in zip(long, cuts, around(model, classes, cuts) if len(long) else [], strict=True):
+    for i, c, (last, follow) in zip(long, cuts, around(model.cast(np.float64), classes, cuts) if len(long) else [], strict=True):
         owner.append(np.full(len(last), i))
         at.append(c[:-1])
         size.append(np.diff(c))
@@ -302,8 +306,11 @@ def starting_point(prior: np.ndarray, s: Settings) -> Model:
 
 
 def learn(sequences: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> Model:
-    """One Baum-Welch round over all training texts: each task's expected counts are rows, which Spark sums by class."""
-    shared = sequences.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    """One Baum-Welch round over all training texts: each task's expected counts are rows, which Spark sums by class.
+
+    Recursions run in single precision (each step is scaled), their counts are summed in double.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast(model.cast(np.float32))  # of fixed size
     names = [f"e{i}" for i in range(s.states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
