@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.llm.common import discard, documents, small_batches, stored, tidy
@@ -22,6 +23,9 @@ LEAF = 16  # points of an R-tree's leaf
 CENTERS = 4  # nodes of a block that are tried with all its others first
 SLICE = 1500  # rows of a block that one task joins at most
 CHUNK = 2_000_000  # bytes of text handled at a time, or one text
+ROWS = 2000  # texts, or sets of fine groups, that one task tests, about
+BLOCK_ROWS = 100_000  # rows of blocks that one task joins, about
+VALUES = 2_000_000  # fine groups compared at a time, or those of one route
 FREQUENT = 1000  # a shingle in more than 1/FREQUENT of all texts comes last in the order of prefixes
 
 
@@ -117,9 +121,11 @@ def frequent_shingles(base: DataFrame) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Size, identifier, prefix, count vector and 2**16 fine groups of the shingle set of batches (doc_id, text).
+    """Size, identifier, prefix and fine groups of the shingle set of batches (doc_id, text).
 
-    The prefix: linked sets share one of the first size - least overlap + 1 elements, in an order common to all sets.
+    The prefix: linked sets share one of the first size - least overlap + 1 elements, in an order common to all sets. A fine
+    group is the first 16 bits of a shingle's identifier; of a set's groups, which ascend, all low bytes come first, then all
+    high ones, which are few runs.
     """
     for batch in batches:
         for a, b, texts in chunks(batch, 1, CHUNK):
@@ -129,7 +135,6 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             total = np.zeros(len(sizes), np.uint64)
             np.add.at(total, text, mix64(h ^ np.uint64(0xA5A5A5A5)))
             node = mix64(total + sizes.astype(np.uint64)).view(np.int64)
-            counts = np.bincount(text * GROUPS + (h >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * GROUPS).reshape(-1, GROUPS)
             signed = h.view(np.int64)
             spot = np.minimum(np.searchsorted(last, signed), max(0, len(last) - 1))
             rank = (last[spot] == signed) if len(last) else np.zeros(len(h), bool)
@@ -139,17 +144,31 @@ def describe(batches: Iterator[pa.RecordBatch], last: np.ndarray) -> Iterator[pa
             length = np.where(sizes > 0, sizes - (-(-sizes * PERCENT // 100)) + 1, 0)
             inside = np.arange(len(h)) - edges[text]
             chosen = order[inside < length[text]]
-            fine = ((h >> np.uint64(42)) & np.uint64(0xFFFF)).astype("<u2")
+            low, high = ((h >> np.uint64(shift)).astype(np.uint8) for shift in (48, 56))
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(signed[chosen]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix, pa.array([narrow(c).tobytes() for c in counts], pa.binary()),
-                    pa.array([fine[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node), prefix,
+                    pa.array([low[x:y].tobytes() + high[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "prefix", "counts", "fine"],
+                names=["doc_id", "n", "node", "prefix", "fine"],
             )
 
 
+def fine_groups(rows: list[bytes]) -> np.ndarray:
+    """Low and high bytes of the fine groups of sets, set after set, as two rows."""
+    return np.concatenate([np.zeros((2, 0), np.uint8), *[np.frombuffer(r, np.uint8).reshape(2, -1) for r in rows]], axis=1)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count vectors of batches (node, n, fine): how many shingles have each high byte."""
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        high = fine_groups(batch.column(2).to_pylist())[1].astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + high, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([narrow(c).tobytes() for c in counts], pa.binary())], names=["node", "n", "counts"])
+
+
 def vectors(counts: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Count vectors from their bytes: 16 bits a count, or 32 in rows that `narrow` left wide."""
     rows = counts.to_pylist()
@@ -158,15 +177,6 @@ def vectors(counts: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(r, np.uint16 if len(r) == 2 * GROUPS else np.uint32).astype(np.uint32) for r in rows])
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, n_a, n_b, counts_a, counts_b), those that the bound does not exclude."""
-    for batch in batches:
-        sizes = [batch.column(i).to_numpy() for i in (2, 3)]
-        keep = overlap_bound(vectors(batch.column(4)), vectors(batch.column(5))) >= least_overlap(*sizes)
-        some = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], names=["a", "b"])
-
-
 def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each block of rows (route, side, node, n, root, counts), by an R-tree of the block.
 
@@ -201,66 +211,82 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows (route, center, node, text): in each route, the center's set against the others', exactly."""
-    kept = []
-    for batch in batches:
-        for a, b, texts in chunks(batch, 3, CHUNK):
-            h, sizes = shingle_sets(texts)
-            total = np.zeros(len(sizes), np.uint64)
-            np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), mix64(h ^ np.uint64(0xA5A5A5A5)))
-            route, center, node = (batch.column(i).slice(a, b - a).to_numpy() for i in range(3))
-            # rows that only share a doc_id with the wanted text are left out
-            real = mix64(total + sizes.astype(np.uint64)).view(np.int64) == node
-            kept.append((route[real], center[real], node[real], sizes[real], mix64(h ^ mix64(np.repeat(route.view(np.uint64), sizes)))[np.repeat(real, sizes)]))
-    if not kept:
-        return
-    route, center, node, sizes, key = (np.concatenate(x) for x in zip(*kept, strict=True))
-    del kept
+def whole_routes(route: np.ndarray, weight: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Row numbers of some routes after the other, whole ones, whose rows weigh about `most` together."""
+    order = np.argsort(route, kind="stable")
+    total = np.cumsum(weight[order])
+    last = np.flatnonzero(np.r_[route[order][1:] != route[order][:-1], True][: len(order)])
+    cuts = np.unique(np.r_[0, last[np.searchsorted(total[last], np.arange(most, total[-1] if len(total) else 0, most))] + 1, len(order)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield order[a:b]
+
+
+def held_by_centers(route: np.ndarray, center: np.ndarray, node: np.ndarray, sizes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with `sizes` keys each, which are no centers, how many keys each has in common with its route's center, and the center's size (0: none)."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     is_center = center == node
     held = np.unique(key[is_center[owner]])
-    if not len(held) or is_center.all():
-        return
-    spot = np.minimum(np.searchsorted(held, key), len(held) - 1)
-    common = np.bincount(owner, held[spot] == key, len(sizes)).astype(np.int64)
     _, number = np.unique(route, return_inverse=True)
-    size_of = np.zeros(number.max() + 1, np.int64)
+    size_of = np.zeros(number.max(initial=-1) + 1, np.int64)
     size_of[number[is_center]] = sizes[is_center]
-    union = sizes + size_of[number] - common
-    good = ~is_center & (size_of[number] > 0) & (100 * common >= PERCENT * union)
-    yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
+    if not len(held):
+        return ~is_center, np.zeros(len(sizes), np.int64), size_of[number]
+    spot = np.minimum(np.searchsorted(held, key), len(held) - 1)
+    return ~is_center, np.bincount(owner, held[spot] == key, len(sizes)).astype(np.int64), size_of[number]
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among rows (route, center, node, text): in each route, the center's set against the others', exactly.
+
+    A task's texts are held as bytes; only the shingles of some routes at a time are.
+    """
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    del rows
+    for some in whole_routes(table.column(0).to_numpy(), pc.binary_length(table.column(3)).to_numpy().astype(np.int64), CHUNK):
+        kept = []
+        for batch in table.take(pa.array(some)).to_batches():
+            for a, b, texts in chunks(batch, 3, CHUNK):
+                h, sizes = shingle_sets(texts)
+                total = np.zeros(len(sizes), np.uint64)
+                np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), mix64(h ^ np.uint64(0xA5A5A5A5)))
+                route, center, node = (batch.column(i).slice(a, b - a).to_numpy() for i in range(3))
+                # rows that only share a doc_id with the wanted text are left out
+                real = mix64(total + sizes.astype(np.uint64)).view(np.int64) == node
+                kept.append((route[real], center[real], node[real], sizes[real], mix64(h ^ mix64(np.repeat(route.view(np.uint64), sizes)))[np.repeat(real, sizes)]))
+        route, center, node, sizes, key = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
+        other, common, size_of = held_by_centers(route, center, node, sizes, key)
+        good = other & (size_of > 0) & (100 * common >= PERCENT * (sizes + size_of - common))
+        yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
 
 
 def closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (route, center, node, n, fine), the pairs of center and node that the bound over fine groups leaves.
 
-    A fine group is 16 bits of a shingle's identifier; the sum of smaller counts is the size of a common multiset.
+    The sum of smaller counts is the size of a common multiset. Some routes are handled at a time.
     """
     rows = [b for b in batches if b.num_rows]
     if not rows:
         return
     table = pa.Table.from_batches(rows)
-    route, center, node, n = (table.column(i).to_numpy() for i in range(4))
-    _, number = np.unique(route, return_inverse=True)
-    value = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u2").astype(np.uint64)
-    owner = np.repeat(np.arange(len(n)), n)
-    # sort the values of each row, and number equal ones
-    key = (owner.astype(np.uint64) << np.uint64(16)) | value
-    key.sort()
-    begin = np.r_[True, key[1:] != key[:-1]]
-    again = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
-    key = (number[owner].astype(np.uint64) << np.uint64(32)) | ((key & np.uint64(0xFFFF)) << np.uint64(16)) | np.minimum(again, 0xFFFF).astype(np.uint64)
-    is_center = center == node
-    held = np.unique(key[is_center[owner]])
-    if not len(held):
-        return
-    spot = np.minimum(np.searchsorted(held, key), len(held) - 1)
-    common = np.bincount(owner, held[spot] == key, len(n)).astype(np.int64)
-    size_of = np.zeros(number.max() + 1, np.int64)
-    size_of[number[is_center]] = n[is_center]
-    good = ~is_center & (size_of[number] > 0) & (common >= least_overlap(n, size_of[number]))
-    yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
+    del rows
+    every = [table.column(i).to_numpy() for i in range(4)]
+    for some in whole_routes(every[0], every[3], VALUES):
+        route, center, node, n = (x[some] for x in every)
+        _, number = np.unique(route, return_inverse=True)
+        low, high = fine_groups(table.column(4).take(pa.array(some)).to_pylist()).astype(np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        # the values of each row ascend: number equal ones
+        key = (owner.astype(np.uint64) << np.uint64(16)) | (high << np.uint64(8)) | low
+        begin = np.r_[True, key[1:] != key[:-1]]
+        again = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
+        key = (number[owner].astype(np.uint64) << np.uint64(32)) | ((key & np.uint64(0xFFFF)) << np.uint64(16)) | np.minimum(again, 0xFFFF).astype(np.uint64)
+        other, common, size_of = held_by_centers(route, center, node, n, key)
+        good = other & (size_of > 0) & (common >= least_overlap(n, size_of))
+        yield pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(node[good])], names=["a", "b"])
 
 
 def routed(pairs: DataFrame) -> DataFrame:
@@ -271,11 +297,36 @@ def routed(pairs: DataFrame) -> DataFrame:
     return member.unionByName(own).select(F.xxhash64("center", "slice").alias("route"), "center", "node")
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), each once, those that the bound over fine groups leaves."""
-    pairs = stored(pairs.distinct(), "pairs")
+def by_route(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Rows dealt out by route, about `most` of the `n` rows to a task: a task holds its rows, whatever the table's size."""
+    return rows.repartition(max(n // most + 1, rows.sparkSession.sparkContext.defaultParallelism), "route")
+
+
+def shared_elements(shared: DataFrame) -> DataFrame:
+    """Rows (node, n, marks): elements of a prefix that other prefixes have, in 32 bits; null where two of a prefix are equal in these."""
+    found = shared.groupBy("node", "n").agg(F.collect_set(F.hash("token")).alias("marks"), F.count("*").alias("m"))
+    return found.select("node", "n", F.when(F.size("marks") == F.col("m"), F.col("marks")).alias("marks"))
+
+
+def sharing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), each once, those whose prefixes share as many elements as linked sets must, by `shared_elements`: these may
+    agree where elements do not, so no pair is lost.
+
+    The smallest l elements that sets with an overlap of at least o have in common lie in the first size - o + l elements of both.
+    A prefix is as long for l = o - ceil(larger size * PERCENT / 100) + 1, so sets that meet by chance in an element or two go.
+    """
+    ends = [marks.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("marks").alias(f"marks_{e}")) for e in ("a", "b")]
+    met = pairs.distinct().join(ends[0], "a").join(ends[1], "b")
+    least = f"(({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}) - ((greatest(n_a, n_b) * {PERCENT} + 99) div 100) + 1"
+    unknown = F.col("marks_a").isNull() | F.col("marks_b").isNull()
+    return met.filter(unknown | (F.size(F.array_intersect("marks_a", "marks_b")) >= F.expr(least))).select("a", "b")
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), each once, those that the shared elements and then the bound over fine groups leave."""
+    pairs = stored(sharing(pairs, marks), "pairs")
     fine = routed(pairs).join(nodes.select("node", "n", "fine"), "node").select("route", "center", "node", "n", "fine")
-    near = stored(fine.repartition("route").mapInArrow(tidy(closer), "a long, b long"), "near")
+    near = stored(by_route(fine, 2 * pairs.count(), ROWS).mapInArrow(tidy(closer), "a long, b long"), "near")
     discard(pairs)
     return near
 
@@ -294,7 +345,7 @@ def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # a node's roles: its partners as a member, its partners / 256 as a center
     roles = routed(pairs).join(nodes.select("node", "first_doc"), "node").groupBy("first_doc").agg(F.collect_list(F.struct("route", "center", "node")).alias("roles"))
     rows = texts.join(roles, texts["doc_id"] == roles["first_doc"]).select("text", F.explode("roles").alias("r")).select("r.route", "r.center", "r.node", "text")
-    return stored(rows.repartition("route").mapInArrow(tidy(verify), "a long, b long"), "links")
+    return stored(by_route(rows, 2 * pairs.count(), ROWS).mapInArrow(tidy(verify), "a long, b long"), "links")
 
 
 def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -348,54 +399,59 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     Equal sets first become one node. Nodes meet in blocks by the elements of their prefix, so no linked pair is missed.
     First `CENTERS` nodes of each block, the smallest by several hashes, are tried with all others, so that of a large group
     of near copies few are left apart; components of these links are found; then only blocks
-    that hold several components are joined, each by an R-tree over count vectors, large ones in slices of `SLICE`.
+    that hold several components are joined, those of more than `LEAF` nodes by an R-tree over count vectors, large ones in
+    slices of `SLICE`. Before any set is read, a pair's prefixes must share enough elements.
     """
     spark = docs.sparkSession
     small_batches(spark)
     none = -(1 << 63)
     base = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
     last = spark.sparkContext.broadcast(frequent_shingles(base))
-    described = base.mapInArrow(tidy(lambda b: describe(b, last.value)), "doc_id long, n long, node long, prefix array<long>, counts binary, fine binary")
-    wide = stored(described, "sets")
-    own = ("doc_id", "n", "prefix", "counts", "fine")
-    nodes = wide.filter("n > 0").groupBy("node").agg(F.min(F.struct(*own)).alias("x"))
-    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("first_doc"), *[F.col(f"x.{c}").alias(c) for c in own[1:]]), "nodes")
+    described = base.mapInArrow(tidy(lambda b: describe(b, last.value)), "doc_id long, n long, node long, prefix array<long>, fine binary")
+    wide = stored(described.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # only the numbers of the rows are shuffled to find equal sets, not what they hold
+    real = wide.filter("n > 0").select("row", "doc_id", "node")
+    lowest = real.groupBy("node").agg(F.min(F.struct("doc_id", "row"))["row"].alias("kept"))
+    copies = stored(real.join(lowest, "node").filter("row <> kept").select("row"), "copies")
+    single = wide.filter("n > 0").join(copies, "row", "left_anti")
+    # elements of several prefixes with a few nodes of each: most are of one set only, and go after their one shuffle
+    by = Window.partitionBy("token")
+    first = lambda k: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).over(by)
+    token = single.select(F.explode("prefix").alias("token"), "node", "n").withColumn("size", F.count("*").over(by)).filter("size > 1")
+    shared = stored(token.withColumn("centers", F.array_distinct(F.array(*map(first, range(CENTERS))))), "shared")
+    nodes = stored(single.select("node", F.col("doc_id").alias("first_doc"), "n", "fine"), "nodes")
     sets = stored(wide.select("doc_id", "n", "node"), "rows")
-    discard(wide)
-    # elements of several prefixes: counted first in rows of two numbers, as most are of one set only
-    token = nodes.select(F.explode("prefix").alias("token"), "node")
-    size = token.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    met = stored(token.join(size, "token"), "met")
-    shared = stored(met.join(nodes.select("node", "n"), "node").select("token", "node", "n", "size"), "shared")
-    discard(met)
-    first = lambda k: F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k)))
-    blocks = shared.groupBy("token").agg(F.array_distinct(F.array(*map(first, range(CENTERS)))).alias("centers"))
+    discard(wide, copies)
+    marks = stored(shared_elements(shared), "marks")
     # first round: a few nodes of a block with all others
-    star = shared.join(blocks, "token").select("node", "n", F.explode("centers").alias("c")).filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)")
-    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"counts_{e}")) for e in ("a", "b")]
-    star = star.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
-    star = near_pairs(star.mapInArrow(tidy(bounded), "a long, b long"), nodes)
+    star = shared.select("node", "n", F.explode("centers").alias("c")).filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)")
+    star = near_pairs(star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")), nodes, marks)
     one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # each node with one partner, then the others
     texts = texts_of(star, nodes, base)
     roots = joined(tested(one, nodes, texts), None)
     roots = linked_further(star.join(one, ["a", "b"], "left_anti"), roots, nodes, texts)
     discard(star, texts)
     # second round: blocks with several components
-    rooted = nodes.join(roots, "node", "left").select("node", "n", "counts", F.coalesce("root", "node").alias("root"))
-    open_rows = shared.filter("size > 2").select("token", "node").join(rooted.select("node", "root"), "node")
+    open_rows = shared.filter("size > 2").select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = open_rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 <> r1")
-    mixed = mixed.select("token", F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
-    rows = open_rows.select("token", "node").join(mixed, "token")
+    rows = stored(open_rows.join(mixed.select("token", "members"), "token"), "open")
+    discard(shared)
+    # blocks no larger than a leaf of the tree: all pairs
+    ends = [rows.filter(F.col("members") <= LEAF).select("token", F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("root").alias(f"root_{e}")) for e in ("a", "b")]
+    few = ends[0].join(ends[1], "token").filter(f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b")
+    large = rows.filter(F.col("members") > LEAF).withColumn("slices", F.ceil(F.col("members") / SLICE).cast("int"))
+    total = large.agg(F.sum("slices")).first()[0] or 0
     mine = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     # a slice meets itself (side 2) and, as points, each later slice (side 1)
     others = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side")),
     )
-    dealt = rows.select("token", "node", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node")
-    dealt = dealt.join(rooted, "node").select("route", "side", "node", "n", "root", "counts")
-    more = near_pairs(dealt.repartition("route").mapInArrow(tidy(join_blocks), "a long, b long"), nodes)
+    dealt = large.select("token", "node", "root", F.explode(others).alias("o")).select(F.xxhash64("token", "o.i", "o.j").alias("route"), F.col("o.side").alias("side"), "node", "root")
+    held = nodes.join(large.select("node").distinct(), "node", "left_semi").select("node", "n", "fine").mapInArrow(tidy(counted), "node long, n long, counts binary")
+    dealt = dealt.join(held, "node").select("route", "side", "node", "n", "root", "counts")
+    more = by_route(dealt, total, BLOCK_ROWS).mapInArrow(tidy(join_blocks), "a long, b long")
+    more = near_pairs(few.unionByName(more), nodes, marks)
     roots = linked_further(more, roots, nodes, base)
     found = nodes.select("node", "first_doc").join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     lowest = found.groupBy("root").agg(F.min("first_doc").alias("component"))
@@ -404,5 +460,5 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     back = lambda c: F.when(c != none, c)
     out = sets.join(found, "node", "left").select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
     out = stored(out, "components")
-    discard(sets, nodes, shared, more, roots)
+    discard(sets, nodes, marks, rows, more, roots)
     return out

@@ -69,6 +69,36 @@ def test_jaccard_components_equal_all_pairs(spark):
     assert sorted(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_jaccard_join_reads_no_sets_that_meet_by_chance_and_keeps_every_linked_pair(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [[str(w) for w in rng.choice(words, 300)] for _ in range(12)]
+    texts += [t[:k] + ["new"] + t[k:] for t in texts[:6] for k in (0, 150)]  # near copies
+    texts += [t[:240] for t in texts[:3]]  # four fifths of another
+    line = [f"line{i}" for i in range(6)]
+    texts = [[*t, *line] for t in texts]  # all share two shingles
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(t) for t in texts])], names=["doc_id", "text"])
+    sets = pa.Table.from_batches(list(jaccard_join.describe(iter([batch]), np.zeros(0, np.int64)))).to_pylist()
+    shared = spark.createDataFrame([(t, r["doc_id"], r["n"]) for r in sets for t in r["prefix"]], "token long, node long, n long")
+    pairs = spark.createDataFrame([(a, b) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    kept = {tuple(r) for r in jaccard_join.sharing(pairs, jaccard_join.shared_elements(shared)).collect()}
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    linked = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])}
+    assert len(linked) >= 18 and linked <= kept and len(kept) < 2 * len(linked)
+
+
+def test_jaccard_join_tests_some_routes_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "VALUES", 50)
+    seen = []
+    spied = jaccard_join.held_by_centers
+    monkeypatch.setattr(jaccard_join, "held_by_centers", lambda route, *more: seen.append(len(route)) or spied(route, *more))
+    row = lambda n: bytes([0] * n) + bytes(range(n))
+    rows = [(i % 10, 100 + i % 10, 100 + i % 10 if i < 10 else i, 20, row(20)) for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["route", "center", "node", "n", "fine"])
+    got = sorted((a, b) for out in jaccard_join.closer(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    assert got == sorted((100 + i % 10, i) for i in range(10, 30)) and len(seen) > 5
+
+
 def test_jaccard_join_takes_empty_tables_null_ids_and_repeated_rows(spark):
     assert jaccard_join.similarity_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]
