@@ -262,10 +262,9 @@ terms as (select query_id, unnest(list_distinct({tokens_q})) as term from asked_
 scope_live as (select u.document_id, t.policy_id, p.organization_id, p.branch_id from uploads u join timeline t using (version_id) join policies p on p.policy_id = t.policy_id
   where u.status = 'ready' and t.effective_from <= {day} and (t.effective_to is null or t.effective_to > {day})),
 open_chunks as (select chunk_id, title || ' ' || content as text, s.* from chunks c join scope_live s using (document_id)),
-posts as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest({tokens}) as term from open_chunks) group by all), freq as (select term, least(count(*), 20000) as df from posts group by term), total as (select count(*) as n from open_chunks),
-ranked as (select t.query_id, t.term, df, n, row_number() over (partition by query_id order by df, t.term) as k, count(*) filter (df < least(20000, n * 0.2)) over (partition by query_id) as rare from terms t join freq using (term), total),
-chosen as (select query_id, term, df, n from ranked where n < 2000 or (k <= 10 and df < least(20000, n * 0.2)) or (rare = 0 and k <= 3)),
-scored as (select query_id, chunk_id, cast(sum(cast(round(round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) * tf / (tf + 1), 6) as decimal(18, 6))) as double) as score from posts join chosen using (term) group by all),
+posts as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest({tokens}) as term from open_chunks) group by all), freq as (select term, count(*) as df from posts group by term), total as (select count(*) as n from open_chunks),
+weighted as (select query_id, term, round(ln(1 + (greatest(n, df)::double - df + 0.5) / (df + 0.5)), 6) as weight from terms join freq using (term), total),
+scored as (select query_id, chunk_id, cast(sum((2 * cast(round(weight * 1000000) as bigint) * tf + tf + 1) // (2 * (tf + 1))) as double) / 1000000 as score from posts join weighted using (term) group by all),
 allowed as (
   select s.* from scored s join asked_by q using (query_id) join principals p on p.user_id = q.user_id join open_chunks r using (chunk_id)
   where r.organization_id = p.organization_id and (p.role = 'admin' or r.branch_id is null or r.branch_id = p.branch_id) and (p.role <> 'user' or exists (select 1 from assignments a where a.user_id = p.user_id and a.policy_id = r.policy_id)))

@@ -92,6 +92,26 @@ def test_terms_meet_only_chunks_that_the_asker_may_see(spark):
     assert any("organization_id" in j and "term" in j for j in joins) and not any("term" in j and "organization_id" not in j for j in joins)
 
 
+def test_scoped_search_counts_every_term_at_any_size(spark):
+    """2,100 chunks: terms of all of them count as they do for fewer, and a frequency is no capped one."""
+    for n in (90, 2100):
+        rows = spark.range(n).selectExpr("id as chunk_id", "concat('exceed', if(id % 3 = 0, ' gold', ''), if(id % 30 = 0, ' loan', '')) as content", "1L as organization_id", "cast(null as long) as branch_id", "id % 40 as policy_id")
+        people = spark.createDataFrame([(1, 1, 1, "admin"), (2, 1, 1, "manager"), (3, 1, 1, "user")], "user_id long, organization_id long, branch_id long, role string")
+        queries = spark.createDataFrame([(10 * u + i, u, text) for u in (1, 2, 3) for i, text in enumerate(("exceed gold loan", "exceed", "exceed gold months"))], "query_id long, user_id long, text string")
+        mine = spark.createDataFrame([(3, 0), (3, 1)], "user_id long, policy_id long")
+        weight = lambda df: math.floor(math.log(1 + (n - df + 0.5) / (df + 0.5)) * 1e6 + 0.5)  # noqa: B023, E731
+        part = {"exceed": (weight(n) + 1) // 2, "gold": (weight(n // 3) + 1) // 2, "loan": (weight(n // 30) + 1) // 2}
+        has = lambda i: {"exceed", *(["gold"] if i % 3 == 0 else []), *(["loan"] if i % 30 == 0 else [])}
+        got = {}
+        for r in retrieval.scoped_lane(queries, rows, people, mine).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score))
+        assert len(got) == 9
+        for u in (1, 2, 3):
+            for i, text in enumerate(("exceed gold loan", "exceed", "exceed gold months")):
+                all_ = sorted((-sum(part[t] for t in has(c) & set(text.split())), c) for c in range(n) if u < 3 or c % 40 < 2)[:50]
+                assert sorted(got[10 * u + i]) == [(k + 1, c, -s / 1e6) for k, (s, c) in enumerate(all_)]
+
+
 def test_ties_of_parts_of_scores_go_up_whatever_the_last_bit(spark):
     rows = spark.range(1_000_001, 1_002_000).selectExpr("id", "id / 1000000D as weight", "explode(sequence(1L, 5L)) as tf").withColumn("part", retrieval.exact_part())
     for r in rows.collect():
