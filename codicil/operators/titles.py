@@ -119,27 +119,47 @@ def repair_titles(titles: DataFrame, texts: DataFrame, acronyms: list[str] | Non
     """Titles (doc_id, title) in which words that the document's text (doc_id, text) never uses outside the title are replaced.
 
     A word is lost if it is one letter, or the text has it no more often than the title; joining words, `a`, `i` and `acronyms`
-    never are. A run of lost words is first mended as one (``E HICS``: ethics), else word by word (`close_words`); the word's case
-    stays. Returns doc_id, title, repaired; documents without text keep their title.
+    never are. A run of lost words is first mended as one (``E HICS``: ethics), else word by word by the word that `close_words`
+    finds; the word's case stays. Returns doc_id, title, repaired; documents without text keep their title.
+
+    Titles meet their texts once; all else happens in their row, so neither words nor what edits leave of them are shuffled.
     """
-    letters = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]+)")), F.lower)
-    vocabulary = texts.select("doc_id", F.explode(letters(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    words = titles.select("doc_id", "title", F.posexplode(F.split(F.trim("title"), r"\s+")).alias("i", "w")).withColumn("bare", F.lower(F.regexp_replace("w", "[^A-Za-z]", "")))
-    own = titles.select("doc_id", F.explode(letters(F.col("title"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("m"))
-    used = spread(words).join(spread(vocabulary.withColumnRenamed("term", "bare")), ["doc_id", "bare"], "left").join(spread(own.withColumnRenamed("term", "bare")), ["doc_id", "bare"], "left")
-    never = (F.col("bare") == "") | F.col("bare").isin(*JOINING, "a", "i", *[x.lower() for x in acronyms or []])
-    rows = used.withColumn("lost", ~never & ((F.length("bare") == 1) | (F.coalesce("n", F.lit(0)) <= F.coalesce("m", F.lit(0)))))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    rows = rows.withColumn("run", F.sum((~F.col("lost")).cast("int")).over(w)).select("doc_id", "title", "i", "w", "bare", "lost", "run")
-    # a run of lost words has the number of sound words before it
-    runs = rows.filter("lost").groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("i", "w", "bare"))).alias("ws"), F.min("i").alias("at"))
-    runs = runs.withColumn("all", F.array_join(F.transform("ws", lambda x: x["bare"]), "")).withColumn("written", F.array_join(F.transform("ws", lambda x: x["w"]), ""))
-    broken = runs.select("doc_id", F.col("all").alias("word")).unionByName(rows.filter("lost").select("doc_id", F.col("bare").alias("word")))
-    found = close_words(broken, vocabulary)
+    letters = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z]+)")), F.lower)
+    pages = texts.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    rows = titles.select("doc_id", "title").join(spread(pages), "doc_id", "left").select("doc_id", "title", letters(F.col("text")).alias("terms"), letters(F.col("title")).alias("own"), F.split(F.trim("title"), r"\s+").alias("w"))
+    times = lambda values, x: F.size(F.filter(values, lambda t: t == x))
+    never = ["", *JOINING, "a", "i", *[x.lower() for x in acronyms or []]]
+
+    def word(w: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("i"), w.alias("w"), F.lower(F.regexp_replace(w, "[^A-Za-z]", "")).alias("bare"))
+
+    rows = rows.withColumn("w", F.transform("w", word))
+    rows = rows.withColumn("lost", F.transform("w", lambda x: ~x["bare"].isin(*never) & ((F.length(x["bare"]) == 1) | (times(F.col("terms"), x["bare"]) <= times(F.col("own"), x["bare"])))))
+    # a run of lost words begins after a sound word or the start; its words are those up to the next sound one
+    begins = lambda i: F.get("lost", i - 1) & ~F.coalesce(F.get("lost", i - 2), F.lit(False))
+    ends = lambda i: F.get("lost", i - 1) & ~F.coalesce(F.get("lost", i), F.lit(False))
+    rows = rows.withColumn("from", F.filter(F.transform("w", lambda x: F.when(begins(x["i"]), x["i"])), lambda i: i.isNotNull())).withColumn("to", F.filter(F.transform("w", lambda x: F.when(ends(x["i"]), x["i"])), lambda i: i.isNotNull()))
+    of = lambda ws, name: F.array_join(F.transform(ws, lambda x: x[name]), "")
+    run = lambda a, b: F.struct(a.alias("at"), b.alias("to"), of(F.slice("w", a, b - a + 1), "bare").alias("bare"), of(F.slice("w", a, b - a + 1), "w").alias("written"))
+    rows = rows.withColumn("runs", F.zip_with("from", "to", run))
+    broken = F.array_union(F.transform("runs", lambda r: r["bare"]), F.transform(F.filter("w", lambda x: F.get("lost", x["i"] - 1)), lambda x: x["bare"]))
+    rows = rows.withColumn("broken", F.filter(broken, lambda b: F.length(b) >= 3)).withColumn("known", F.when(F.size("broken") > 0, F.filter(F.array_distinct("terms"), lambda t: F.length(t) > 3)).otherwise(F.array().cast("array<string>")))
+
+    def close(term: Column, w: Column) -> Column:
+        """Whether `close_words` may take the term for the broken word, how often it is used aside."""
+        k, more = F.when(F.length(w) >= 8, 2).otherwise(1), F.length(term) - F.length(w)
+        return (more >= 1) & (more <= k) & (F.levenshtein(term, w) <= k) & (term != F.concat(w, F.lit("s"))) & (term != F.concat(w, F.lit("es")))
+
+    rows = rows.withColumn("near", F.transform("broken", lambda b: F.filter("known", lambda t: close(t, b))))
+    best = lambda ts: F.array_max(F.filter(F.transform(ts, lambda t: F.struct(times(F.col("terms"), t).alias("n"), t.alias("term"))), lambda x: x["n"] >= 2))["term"]
+    rows = rows.withColumn("best", F.map_from_arrays("broken", F.transform("near", best)))
     upper = lambda c: F.rlike(F.regexp_replace(c, "[^A-Za-z]", ""), F.lit("^[A-Z]+$"))
-    cased = lambda word, like: F.when(upper(like), F.upper(word)).when(F.rlike(F.regexp_replace(like, "[^A-Za-z]", ""), F.lit("^[A-Z]")), F.initcap(word)).otherwise(word)
-    whole = spread(runs).join(spread(found.withColumnRenamed("word", "all")), ["doc_id", "all"]).select("doc_id", "run", "at", cased(F.col("term"), F.col("written")).alias("whole"))
-    each = spread(rows).join(spread(whole), ["doc_id", "run"], "left").join(spread(found.select("doc_id", F.col("word").alias("bare"), "term")), ["doc_id", "bare"], "left")
-    piece = F.when(~F.col("lost"), F.col("w")).when(F.col("whole").isNotNull(), F.when(F.col("i") == F.col("at"), F.col("whole"))).otherwise(F.coalesce(cased(F.col("term"), F.col("w")), F.col("w")))
-    mended = each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), " ").alias("repaired"))
-    return titles.select("doc_id", "title").join(spread(mended), "doc_id", "left")
+    cased = lambda term, like: F.when(upper(like), F.upper(term)).when(F.rlike(F.regexp_replace(like, "[^A-Za-z]", ""), F.lit("^[A-Z]")), F.initcap(term)).otherwise(term)
+    found = lambda b: F.try_element_at(F.col("best"), b)
+    rows = rows.withColumn("whole", F.filter(F.transform("runs", lambda r: F.struct(r["at"].alias("at"), r["to"].alias("to"), cased(found(r["bare"]), r["written"]).alias("as"))), lambda r: r["as"].isNotNull()))
+
+    def piece(x: Column) -> Column:
+        inside = F.get(F.filter("whole", lambda r: (r["at"] <= x["i"]) & (x["i"] <= r["to"])), 0)
+        return F.when(~F.get("lost", x["i"] - 1), x["w"]).when(inside.isNotNull(), F.when(inside["at"] == x["i"], inside["as"])).otherwise(F.coalesce(cased(found(x["bare"]), x["w"]), x["w"]))
+
+    return rows.select("doc_id", "title", F.array_join(F.transform("w", piece), " ").alias("repaired"))

@@ -78,6 +78,16 @@ def test_deletions_of_words_are_not_broadcast(spark):
     assert "Broadcast" not in executed(found)
 
 
+def test_titles_are_mended_in_their_rows(spark):
+    """Two shuffles, of titles and of texts; pages of one document are one text."""
+    broken = spark.createDataFrame([(1, "OUR CODE OF E HICS"), (2, "T H E annul manul"), (3, ""), (4, None), (5, "X Y")], "doc_id long, title string")
+    pages = spark.createDataFrame([(1, "our our code code ethics"), (1, "ethics"), (2, "annual annual manual"), (2, None), (2, "manual")], "doc_id long, text string")
+    found = titles.repair_titles(broken, pages)
+    assert {r.doc_id: r.repaired for r in found.collect()} == {1: "OUR CODE OF ETHICS", 2: "T H E annual manual", 3: "", 4: None, 5: "X Y"}
+    plan = executed(found).split("Initial Plan")[-1]
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 2 and "term" not in "".join(re.findall(r"hashpartitioning\((.*?),", plan))
+
+
 def test_terms_meet_only_chunks_that_the_asker_may_see(spark):
     chunks = spark.createDataFrame([(i, f"gold loan w{i}", 1 if i < 8 else 2, i % 2 if i % 3 else None, i) for i in range(16)], "chunk_id long, content string, organization_id long, branch_id long, policy_id long")
     people = spark.createDataFrame([(1, 1, 1, "admin"), (2, 1, 1, "manager"), (3, 1, 1, "user"), (4, 2, None, "manager"), (5, None, 1, "admin"), (6, 1, 0, None)], "user_id long, organization_id long, branch_id long, role string")
