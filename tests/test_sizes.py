@@ -78,6 +78,29 @@ def test_deletions_of_words_are_not_broadcast(spark):
     assert "Broadcast" not in executed(found)
 
 
+def test_best_texts_are_found_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORES", 12)  # a few texts at a time
+    words = ["gold", "loan", "rate", "year", "home"]
+    texts = {i: " ".join(words[j] for j in range(5) for _ in range((i * (j + 3)) % 4)) for i in range(80)} | {80: None, 81: ""}
+    weight = {"gold": 1.000001, "loan": 2.5, "rate": 0.0, "year": 0.333333, "home": 3.0}
+    asked = {1: ["gold", "loan"], 2: ["rate"], 3: words, 4: ["none"]}
+    queries = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    rows, weights = spark.createDataFrame(list(texts.items()), "row_id long, text string").repartition(3), spark.createDataFrame(list(weight.items()), "term string, weight double")
+    for block in (4096, 1):
+        found = retrieval.best_texts(queries, rows, weights, 5, block)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.row_id))
+        for q, terms in asked.items():
+            every = []
+            for i, text in texts.items():
+                tf = {t: (text or "").split().count(t) for t in terms}
+                if any(tf.values()):
+                    every.append((-sum((2 * round(weight[t] * 1e6) * n + n + 1) // (2 * (n + 1)) for t, n in tf.items() if n), i))
+            assert sorted(got.get(q, [])) == sorted(every)[:5]
+        assert len(re.findall(r"\bExchange hashpartitioning", executed(found).split("Initial Plan")[-1])) == 1
+
+
 def test_titles_are_mended_in_their_rows(spark):
     """Two shuffles, of titles and of texts; pages of one document are one text."""
     broken = spark.createDataFrame([(1, "OUR CODE OF E HICS"), (2, "T H E annul manul"), (3, ""), (4, None), (5, "X Y")], "doc_id long, title string")
