@@ -15,7 +15,7 @@ from codicil.llm.words import mix64
 
 LENGTH = 100  # bytes of a passage that is removed when it came before
 GRAM = 25  # bytes of the first buckets; LENGTH is GRAM * 4
-CHUNK = 4_000_000  # bytes of text handled at a time; longer texts are handled in stretches
+CHUNK = 2_000_000  # bytes of text handled at a time; longer texts are handled in stretches
 TASK = 100_000  # open groups that one task of the last shuffle gets, about
 
 
@@ -91,6 +91,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     place = np.uint64((1 << 28) - 1)
     keys = (mix64(grams + np.uint64(5)) & ~place) | np.arange(len(data), dtype=np.uint64)
     chosen = (smallest_in_window(keys, width) & place).astype(np.int64)
+    del keys
     counts = np.maximum(sizes - LENGTH + 1, 0)
     starts = np.repeat(edges[:-1] - np.r_[0, np.cumsum(counts)][:-1], counts) + np.arange(counts.sum())
     at = chosen[starts]
@@ -99,6 +100,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     end = np.r_[begin[1:], len(at)] - 1 if len(begin) else begin
     lo, hi, spot, own = starts[begin], starts[end], at[begin], text[begin]
+    del chosen, starts, at, text, new
     cover = mix64(full[lo] + mix64(full[hi] ^ ((spot - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - spot).astype(np.uint64)))
     return own, lo - edges[own], hi - edges[own], spot - edges[own], grams[spot], cover, digests(data, lo, hi + LENGTH)
 
